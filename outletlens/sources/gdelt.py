@@ -1,0 +1,72 @@
+"""The two source tables and the flat contract.
+
+Production layout: parquet (or any Spark table) partitioned by a DATE column
+``part_day``, which stands for the warehouse's ingestion-time partition
+(midnight of that day). Filters on ``part_day`` with literal bounds become
+static PartitionFilters; the other predicates reach the scan as PushedFilters.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+PART_COL = "part_day"
+
+MENTIONS_SCHEMA = T.StructType([
+    T.StructField("GLOBALEVENTID", T.LongType()),
+    T.StructField("EventTimeDate", T.LongType()),
+    T.StructField("MentionTimeDate", T.LongType()),
+    T.StructField("MentionSourceName", T.StringType()),
+    T.StructField("MentionIdentifier", T.StringType()),
+    T.StructField("MentionDocTone", T.DoubleType()),
+    T.StructField("Confidence", T.IntegerType()),
+    T.StructField(PART_COL, T.DateType()),
+])
+
+EVENTS_SCHEMA = T.StructType([
+    T.StructField("GLOBALEVENTID", T.LongType()),
+    T.StructField("DATEADDED", T.LongType()),
+    T.StructField("Actor1Name", T.StringType()),
+    T.StructField("Actor2Name", T.StringType()),
+    T.StructField("GoldsteinScale", T.DoubleType()),
+    T.StructField(PART_COL, T.DateType()),
+])
+
+# Flat result: one row per mention of a selected event (the CSV dataset format;
+# column names, including the spelling of the last one, are the output contract).
+FLAT_SCHEMA = T.StructType([
+    T.StructField("eventId", T.LongType()),
+    T.StructField("mentionDateAdded", T.LongType()),
+    T.StructField("mentionSourceName", T.StringType()),
+    T.StructField("mentionIdentifier", T.StringType()),
+    T.StructField("mentionDocTone", T.DoubleType()),
+    T.StructField("eventSourceCount", T.LongType()),
+    T.StructField("eventAvgTone", T.DoubleType()),
+    T.StructField("eventDateAdded", T.LongType()),
+    T.StructField("eventActor1", T.StringType()),
+    T.StructField("eventActor2", T.StringType()),
+    T.StructField("eventGoldsteingScale", T.DoubleType()),
+])
+FLAT_COLUMNS = [f.name for f in FLAT_SCHEMA.fields]
+
+
+def read_mentions(spark: SparkSession, path: str) -> DataFrame:
+    """Mentions table partitioned by ``part_day`` (partition discovery)."""
+    return spark.read.parquet(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events table partitioned by ``part_day``."""
+    return spark.read.parquet(path)
+
+
+def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write a source table in the production layout (one folder per day)."""
+    df.write.mode(mode).partitionBy(PART_COL).parquet(path)
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Cast/select to ``schema``; missing columns are an error."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
