@@ -17,6 +17,7 @@ from outletlens.functions.exprs import cents_to_double
 from outletlens.operators import example, graph, selection, stacked
 from outletlens.operators.prepare import prepare
 from outletlens.params import Params
+from outletlens.session import materialise
 from outletlens.sources.fixtures import FIXTURES
 
 # Parameter sets of the fixture queries (FIXTURES.md: P1, P2; FX2 volume set).
@@ -41,7 +42,9 @@ def _flat(spark, sf_dir, p=P1, fixture="fx1"):
 
 
 def _prep(spark, sf_dir, p=P1, fixture="fx1"):
-    return prepare(_flat(spark, sf_dir, p, fixture))
+    """Analyses start from the selection computed once (checkpointed), as in the
+    pipeline, instead of re-planning it for every consumer."""
+    return prepare(materialise(_flat(spark, sf_dir, p, fixture)))
 
 
 def _tone_double(df: DataFrame) -> DataFrame:

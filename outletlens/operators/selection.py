@@ -23,7 +23,7 @@ sort-merge join whose hot partitions AQE splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outletlens.params import Params
@@ -123,11 +123,30 @@ def flat_unlimited(selection: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def apply_limit(flat: DataFrame, limit: int | None) -> DataFrame:
-    """Top ``limit`` rows in ``flat_order()`` (TakeOrderedAndProject); ``None`` keeps
-    every row and adds no single-task merge."""
+def limit_cut(flat: DataFrame, limit: int) -> Column:
+    """Scalar subquery: the ``eventSourceCount`` of the ``limit``-th row in
+    descending order (NULL when there are fewer rows). Computed from a histogram
+    of ``eventSourceCount`` (one row per distinct value, i.e. at most one per
+    outlet count), so the running sum runs over a bounded, tiny input."""
+    hist = flat.groupBy("eventSourceCount").agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.orderBy(F.col("eventSourceCount").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reached = hist.select("eventSourceCount", F.sum("_n").over(w).alias("_cum"))
+    return reached.where(F.col("_cum") >= limit).agg(F.max("eventSourceCount")).scalar()
+
+
+def apply_limit(flat: DataFrame, limit: int | None, prefilter: bool = True) -> DataFrame:
+    """Top ``limit`` rows in ``flat_order()``; ``None`` keeps every row.
+
+    TakeOrderedAndProject keeps ``limit`` rows per partition and merges them in
+    one task, i.e. up to partitions x limit rows. ``prefilter`` first drops the
+    rows whose ``eventSourceCount`` is below the cut value (``limit_cut``), so
+    the merge sees about ``limit`` rows plus the ties at the cut."""
     if limit is None:
         return flat
+    if prefilter:
+        cut = limit_cut(flat, limit)
+        flat = flat.where(cut.isNull() | (F.col("eventSourceCount") >= cut))
     return flat.orderBy(*flat_order()).limit(limit).select(*FLAT_COLUMNS)
 
 
@@ -140,7 +159,9 @@ def select_flat(tables: SourceTables, p: Params, restrict_to_ids: bool = True) -
     mentions are dropped before the first shuffle; AQE broadcasts the id side
     when it is small at runtime.
     """
-    ids = event_ids(tables.mentions, p)
+    # Distinct ids: a map-side partial distinct shrinks the id shuffle by the
+    # mentions-per-event factor; the semi-join reuses its hash partitioning.
+    ids = distinct_event_ids(tables.mentions, p)
     events = events_in_window(tables.events, ids, p)
     confident = confident_mentions(tables.mentions, p)
     if restrict_to_ids:

@@ -15,7 +15,7 @@ from outletlens.params import Params
 from outletlens.plans.batch import run_all_datasets
 from outletlens.plans.pipeline import run_pipeline
 from outletlens.plans.tasks import TASKS, ExampleTask, GraphTask, run_dataset_pipeline
-from outletlens.session import scratch_path
+from outletlens.session import materialise, scratch_path
 from outletlens.sources.files import read_flat_csv, read_json, write_flat_csv, write_json
 from outletlens.sources.fixtures import SourceTables
 
@@ -27,7 +27,7 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 def task_registry(spark: SparkSession, flat: DataFrame) -> DataFrame:
     """Rows per (task, part) of every registered task plus the example task,
     computed as one union of counts (one job; shared exchanges are reused)."""
-    results = run_dataset_pipeline(flat, (*TASKS, ExampleTask()))
+    results = run_dataset_pipeline(materialise(flat), (*TASKS, ExampleTask()))
     counts = [df.agg(F.count(F.lit(1)).alias("rows"))
                 .select(F.lit(task).alias("task"), F.lit(part).alias("part"), "rows")
               for task, parts in results.items() for part, df in parts.items()]

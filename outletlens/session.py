@@ -92,3 +92,11 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def materialise(df, spark: SparkSession | None = None):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
+    shared ``spark.checkpoint.dir`` (survives executor loss; never a local
+    checkpoint). Used where several parts read the same intermediate result."""
+    ensure_checkpoint_dir(spark or df.sparkSession)
+    return df.checkpoint(eager=True)
