@@ -82,22 +82,51 @@ def confident_mentions(mentions: DataFrame, p: Params) -> DataFrame:
                     "MentionDocTone"))
 
 
-def best_events(confident: DataFrame, p: Params) -> DataFrame:
+def best_events(confident: DataFrame, p: Params, with_rows: bool = False) -> DataFrame:
     """Per event: distinct (non-null) sources and mean tone; keep events with at
     least ``minimum_distinct_source_count`` sources.
 
     Two grouping levels instead of COUNT(DISTINCT): (event, source) first, with a
     map-side combine, so a hot event reaches the event-level step as at most one
-    row per source and map task."""
+    row per source and map task. ``with_rows`` also counts the event's mentions
+    inside the mention-time range (``_rows``: its rows in the flat result), in
+    the same aggregation."""
+    in_range = F.col("MentionTimeDate").between(p.begin_int, p.end_int)
+    extra = [F.count(F.when(in_range, F.lit(1))).alias("_rows_src")] if with_rows else []
     per_source = (confident.groupBy(ID, "MentionSourceName")
                   .agg(F.sum("MentionDocTone").alias("_tone_sum"),
-                       F.count("MentionDocTone").alias("_tone_n")))
+                       F.count("MentionDocTone").alias("_tone_n"), *extra))
+    extra = [F.sum("_rows_src").alias("_rows")] if with_rows else []
     return (per_source.groupBy(ID)
             .agg(F.count("MentionSourceName").alias("distinctSourceCount"),
-                 (F.sum("_tone_sum") / F.sum("_tone_n")).alias("avgDocTone"))
+                 (F.sum("_tone_sum") / F.sum("_tone_n")).alias("avgDocTone"), *extra)
             .where(F.col("distinctSourceCount") >= p.minimum_distinct_source_count))
 
 
+def cut_best_events(best: DataFrame, events: DataFrame, limit: int) -> DataFrame:
+    """Best events whose rows can be among the first ``limit`` flat rows.
+
+    Flat rows are ordered by ``eventSourceCount`` (= distinctSourceCount) first,
+    so the ``limit``-th row has the largest source count ``c`` whose events hold
+    at least ``limit`` rows with counts >= ``c``; events below ``c`` cannot
+    contribute. The per-event row counts come with the aggregation (no extra
+    pass); the one-row-per-event table is materialised once (checkpoint in the
+    shared folder) because it feeds both the histogram and the join. The
+    histogram has one row per distinct source count (at most the number of
+    outlets), so its running sum is a tiny single-partition window. Exact: the
+    final ordering and limit still run on what is left."""
+    from outletlens.session import materialise
+
+    kept = materialise(best.join(events.select(ID), ID, "left_semi"))
+    hist = kept.groupBy("distinctSourceCount").agg(F.sum("_rows").alias("_n"))
+    w = (Window.orderBy(F.col("distinctSourceCount").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = (hist.select("distinctSourceCount", F.sum("_n").over(w).alias("_cum"))
+           .where(F.col("_cum") >= limit).agg(F.max("distinctSourceCount")).scalar())
+    return (kept.where(cut.isNull() | (F.col("distinctSourceCount") >= cut))
+            .select(ID, "distinctSourceCount", "avgDocTone"))
+
+
 def mentions_of_best(confident: DataFrame, best: DataFrame, p: Params) -> DataFrame:
     """Confident mentions of the best events with mention time in [begin, end]."""
     return (confident.where(F.col("MentionTimeDate").between(p.begin_int, p.end_int))
@@ -123,42 +152,30 @@ def flat_unlimited(selection: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def limit_cut(flat: DataFrame, limit: int) -> Column:
-    """Scalar subquery: the ``eventSourceCount`` of the ``limit``-th row in
-    descending order (NULL when there are fewer rows). Computed from a histogram
-    of ``eventSourceCount`` (one row per distinct value, i.e. at most one per
-    outlet count), so the running sum runs over a bounded, tiny input."""
-    hist = flat.groupBy("eventSourceCount").agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.orderBy(F.col("eventSourceCount").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    reached = hist.select("eventSourceCount", F.sum("_n").over(w).alias("_cum"))
-    return reached.where(F.col("_cum") >= limit).agg(F.max("eventSourceCount")).scalar()
-
-
-def apply_limit(flat: DataFrame, limit: int | None, prefilter: bool = True) -> DataFrame:
-    """Top ``limit`` rows in ``flat_order()``; ``None`` keeps every row.
-
-    TakeOrderedAndProject keeps ``limit`` rows per partition and merges them in
-    one task, i.e. up to partitions x limit rows. ``prefilter`` first drops the
-    rows whose ``eventSourceCount`` is below the cut value (``limit_cut``), so
-    the merge sees about ``limit`` rows plus the ties at the cut."""
+def apply_limit(flat: DataFrame, limit: int | None) -> DataFrame:
+    """Top ``limit`` rows in ``flat_order()`` (TakeOrderedAndProject); ``None``
+    keeps every row. ``select_flat`` cuts the events first (``cut_best_events``),
+    so the single-task merge sees about ``limit`` rows plus ties."""
     if limit is None:
         return flat
-    if prefilter:
-        cut = limit_cut(flat, limit)
-        flat = flat.where(cut.isNull() | (F.col("eventSourceCount") >= cut))
     return flat.orderBy(*flat_order()).limit(limit).select(*FLAT_COLUMNS)
 
 
-def select_flat(tables: SourceTables, p: Params, restrict_to_ids: bool = True) -> DataFrame:
+def select_flat(tables: SourceTables, p: Params, restrict_to_ids: bool | None = None) -> DataFrame:
     """The whole selection: flat rows of the best events of the window.
 
-    ``restrict_to_ids`` semi-joins the confident mentions with the chosen
-    events *before* the per-event aggregation. The result is identical (the
-    final join keeps only those events) and, with a selective regex, most
-    mentions are dropped before the first shuffle; AQE broadcasts the id side
-    when it is small at runtime.
+    ``restrict_to_ids`` semi-joins the confident mentions with the chosen events
+    *before* the per-event aggregation. The result is identical (the final join
+    keeps only those events); it pays when a regex makes the id list selective
+    (then most mentions drop before the first shuffle, and AQE broadcasts the
+    small id side), so by default it is on only with a regex.
+
+    With a limit, the best events are cut to those that can reach the first
+    ``limit`` rows before the mention join (see ``cut_best_events``); this runs
+    one small job (materialising the per-event table) while building the plan.
     """
+    if restrict_to_ids is None:
+        restrict_to_ids = bool(p.filter_mention_id)
     # Distinct ids: a map-side partial distinct shrinks the id shuffle by the
     # mentions-per-event factor; the semi-join reuses its hash partitioning.
     ids = distinct_event_ids(tables.mentions, p)
@@ -166,7 +183,10 @@ def select_flat(tables: SourceTables, p: Params, restrict_to_ids: bool = True) -
     confident = confident_mentions(tables.mentions, p)
     if restrict_to_ids:
         confident = confident.join(events.select(ID), ID, "left_semi")
-    best = best_events(confident, p)
+    if p.limit is None:
+        best = best_events(confident, p)
+    else:
+        best = cut_best_events(best_events(confident, p, with_rows=True), events, p.limit)
     selection = mentions_of_best(confident, best, p)
     return apply_limit(flat_unlimited(selection, events), p.limit)
 
