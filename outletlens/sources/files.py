@@ -38,18 +38,22 @@ def qualified(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(p).toString()).rstrip("/")
 
 
+def dataset_name(spark: SparkSession, root: str):
+    """Dataset name of a file below ``root``: the first path component below
+    ``root`` up to its first dot. A plain file ``root/khashoggi.csv`` and a
+    Spark-written folder ``root/khashoggi.csv/part-*`` both give ``khashoggi``."""
+    prefix = qualified(spark, root) + "/"
+    rel = F.expr(f"substring(_metadata.file_path, {len(prefix) + 1})")
+    return F.substring_index(F.substring_index(rel, "/", 1), ".", 1)
+
+
 def read_dataset_dir(spark: SparkSession, root: str, schema: T.StructType = FLAT_SCHEMA,
                      name_col: str = "dataset") -> DataFrame:
-    """Every CSV dataset below ``root`` in one scan, with a ``dataset`` column:
-    the first path component below ``root`` up to its first dot. A plain file
-    ``root/khashoggi.csv`` and a Spark-written folder ``root/khashoggi.csv/part-*``
-    both give ``khashoggi``."""
-    prefix = qualified(spark, root) + "/"
+    """Every CSV dataset below ``root`` in one scan, with a ``dataset`` column
+    (see ``dataset_name``)."""
     df = (spark.read.schema(schema).option("header", True)
           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root))
-    rel = F.expr(f"substring(_metadata.file_path, {len(prefix) + 1})")
-    name = F.substring_index(F.substring_index(rel, "/", 1), ".", 1)
-    return df.select(name.alias(name_col), *schema.fieldNames())
+    return df.select(dataset_name(spark, root).alias(name_col), *schema.fieldNames())
 
 
 # --- JSON documents -----------------------------------------------------------------
@@ -81,19 +85,24 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 # --- result parts (parquet) -----------------------------------------------------------
 
 def write_parts(results: Mapping[str, Mapping[str, DataFrame]], root: str, fmt: str = "parquet",
-                partition_by: Sequence[str] = (), mode: str = "overwrite") -> list[str]:
-    """Write every ``task/part`` below ``root``; returns the written paths."""
+                partition_by: Sequence[str] = (), mode: str = "overwrite",
+                dynamic: bool = False) -> list[str]:
+    """Write every ``task/part`` below ``root``; returns the written paths.
+    ``dynamic`` replaces only the ``partition_by`` values present in the data
+    (dynamic partition overwrite), leaving the other datasets' results."""
     written = []
     for task, parts in results.items():
         for part, df in parts.items():
             path = f"{root}/{task}/{part}"
+            data = json_ready(df) if fmt == "json" else df
+            w = data.write.mode(mode)
             if fmt == "json":
-                write_json(df, path, mode, partition_by)
-            else:
-                w = df.write.mode(mode)
-                if partition_by:
-                    w = w.partitionBy(*partition_by)
-                w.format(fmt).save(path)
+                w = w.option("ignoreNullFields", False)
+            if dynamic:
+                w = w.option("partitionOverwriteMode", "dynamic")
+            if partition_by:
+                w = w.partitionBy(*partition_by)
+            w.format(fmt).save(path)
             written.append(path)
     return written
 
