@@ -118,12 +118,12 @@ def q_stacked_outlet_degree_tone(spark, d, p=P1):
 def q_stacked_streamgraph(spark, d, wide=False):
     dd = _dedup(spark, d)
     f = stacked.streamgraph_wide if wide else stacked.streamgraph_long
-    return f(stacked.outlet_degree(dd), stacked.dom_outlets(dd))
+    return f(dd, stacked.dom_outlets(dd))
 
 
 def q_stacked_drilldown(spark, d, p=P1, nested=False):
     dd = _dedup(spark, d, p)
-    out = stacked.drilldown(stacked.outlet_degree_tone(dd), stacked.dom_outlets(dd))
+    out = stacked.drilldown(dd, stacked.dom_outlets(dd))
     return stacked.drilldown_nested(out) if nested else out
 
 

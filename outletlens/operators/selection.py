@@ -103,6 +103,39 @@ def best_events(confident: DataFrame, p: Params, with_rows: bool = False) -> Dat
             .where(F.col("distinctSourceCount") >= p.minimum_distinct_source_count))
 
 
+def best_events_folded(mentions: DataFrame, p: Params, with_rows: bool = False) -> DataFrame:
+    """``best_events`` restricted to the events the id search would choose, from
+    ONE aggregation over the window's mentions (no separate id scan/shuffle).
+
+    The id search (event time in [begin, end], regex if any, no confidence
+    filter) becomes a per-event flag; the source count, mean tone and row count
+    use only confident mentions, through conditional aggregates. Same result as
+    ``best_events(confident ⋉ event_ids)``."""
+    conf = F.col("Confidence") >= p.confidence
+    chosen = F.col("EventTimeDate").between(p.begin_int, p.end_int)
+    if p.filter_mention_id:
+        chosen = chosen & F.col("MentionIdentifier").rlike(p.filter_mention_id)
+    in_range = F.col("MentionTimeDate").between(p.begin_int, p.end_int)
+    tone = F.col("MentionDocTone")
+    extra = [F.count(F.when(conf & in_range, F.lit(1))).alias("_rows_src")] if with_rows else []
+    per_source = (mentions.where(partition_window(p))
+                  .groupBy(ID, "MentionSourceName")
+                  .agg(F.sum(F.when(conf, tone)).alias("_tone_sum"),
+                       F.count(F.when(conf, tone)).alias("_tone_n"),
+                       F.max(conf).alias("_conf"),
+                       F.max(chosen).alias("_chosen"), *extra))
+    extra = [F.sum("_rows_src").alias("_rows")] if with_rows else []
+    per_event = (per_source.groupBy(ID)
+                 .agg(F.count(F.when(F.col("_conf"), F.col("MentionSourceName")))
+                      .alias("distinctSourceCount"),
+                      (F.sum("_tone_sum") / F.sum("_tone_n")).alias("avgDocTone"),
+                      F.max("_conf").alias("_any_conf"),
+                      F.max("_chosen").alias("_any_chosen"), *extra))
+    return (per_event.where(F.col("_any_conf") & F.col("_any_chosen") &
+                            (F.col("distinctSourceCount") >= p.minimum_distinct_source_count))
+            .drop("_any_conf", "_any_chosen"))
+
+
 def cut_best_events(best: DataFrame, events: DataFrame, limit: int) -> DataFrame:
     """Best events whose rows can be among the first ``limit`` flat rows.
 
@@ -161,32 +194,42 @@ def apply_limit(flat: DataFrame, limit: int | None) -> DataFrame:
     return flat.orderBy(*flat_order()).limit(limit).select(*FLAT_COLUMNS)
 
 
-def select_flat(tables: SourceTables, p: Params, restrict_to_ids: bool | None = None) -> DataFrame:
+def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> DataFrame:
     """The whole selection: flat rows of the best events of the window.
 
-    ``restrict_to_ids`` semi-joins the confident mentions with the chosen events
-    *before* the per-event aggregation. The result is identical (the final join
-    keeps only those events); it pays when a regex makes the id list selective
-    (then most mentions drop before the first shuffle, and AQE broadcasts the
-    small id side), so by default it is on only with a regex.
+    Two equivalent plans:
+
+    * ``"fold"``: the id search is a flag inside the per-event aggregation
+      (``best_events_folded``): the window's mentions are scanned twice in all
+      (aggregation, payload), with no id shuffle.
+    * ``"restrict"``: the id search runs first and the confident mentions are
+      semi-joined with the chosen events *before* the aggregation. It pays when
+      a regex makes the id list selective: most mentions drop before the first
+      shuffle, and AQE broadcasts the small id side.
 
-    With a limit, the best events are cut to those that can reach the first
-    ``limit`` rows before the mention join (see ``cut_best_events``); this runs
-    one small job (materialising the per-event table) while building the plan.
+    ``"auto"`` picks ``restrict`` with a regex and ``fold`` without one. With a
+    limit, the best events are cut to those that can reach the first ``limit``
+    rows before the mention join (``cut_best_events``), which runs one small job
+    (materialising the per-event table) while the plan is built.
     """
-    if restrict_to_ids is None:
-        restrict_to_ids = bool(p.filter_mention_id)
-    # Distinct ids: a map-side partial distinct shrinks the id shuffle by the
-    # mentions-per-event factor; the semi-join reuses its hash partitioning.
-    ids = distinct_event_ids(tables.mentions, p)
-    events = events_in_window(tables.events, ids, p)
+    if strategy == "auto":
+        strategy = "restrict" if p.filter_mention_id else "fold"
+    window_events = tables.events.where(partition_window(p))
     confident = confident_mentions(tables.mentions, p)
-    if restrict_to_ids:
+    with_rows = p.limit is not None
+    if strategy == "fold":
+        events = window_events.select(ID, "DATEADDED", "Actor1Name", "Actor2Name", "GoldsteinScale")
+        best = best_events_folded(tables.mentions, p, with_rows)
+    elif strategy == "restrict":
+        # Distinct ids: a map-side partial distinct shrinks the id shuffle by the
+        # mentions-per-event factor; the semi-join reuses its hash partitioning.
+        events = events_in_window(tables.events, distinct_event_ids(tables.mentions, p), p)
         confident = confident.join(events.select(ID), ID, "left_semi")
-    if p.limit is None:
-        best = best_events(confident, p)
+        best = best_events(confident, p, with_rows)
     else:
-        best = cut_best_events(best_events(confident, p, with_rows=True), events, p.limit)
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if with_rows:
+        best = cut_best_events(best, events, p.limit)
     selection = mentions_of_best(confident, best, p)
     return apply_limit(flat_unlimited(selection, events), p.limit)
 

@@ -23,6 +23,8 @@ the graph. Stages:
 (2)+(3) are computed with window counts over (hour, event) instead of a
 group-by joined back: one exchange instead of two, and after the dedup a
 partition holds at most one row per outlet, so a hot event cannot overload it.
+The streamgraph and drill-down aggregate those per-mention counts directly
+(one exchange each) instead of re-aggregating the long degree tables.
 """
 
 from __future__ import annotations
@@ -75,37 +77,53 @@ def _event_hour_window(keys: Sequence[str]):
     return Window.partitionBy(*keys, HOUR, "eventId")
 
 
+def co_outlet_counts(dedup: DataFrame, keys: Sequence[str] = (),
+                     exact_disagreement: bool = False) -> DataFrame:
+    """One row per de-duplicated mention with non-null outlet and its counts
+    over its (hour, event), from a single window pass:
+
+    * ``_all``: other outlets of the (hour, event) (non-null outlets - 1);
+    * ``_same``: other outlets of its own tone class (n_same - 1);
+    * ``_other``: the other tone class, n_other - 1 (n_other with
+      ``exact_disagreement``), NULL when that class is absent from the
+      (hour, event). A class present only through null outlets counts -1.
+    """
+    w = _event_hour_window(keys)
+    pos = F.col("positiveTone")
+    src = F.col(SRC)
+    n_all = F.count(src).over(w)
+    n_pos = F.count(F.when(pos, src)).over(w)            # non-null outlets per class
+    n_neg = F.count(F.when(~pos, src)).over(w)
+    r_pos = F.count(F.when(pos, F.lit(1))).over(w)       # class present at all
+    r_neg = F.count(F.when(~pos, F.lit(1))).over(w)
+    off = 0 if exact_disagreement else 1
+    rows = dedup.select(*keys, HOUR, "eventId", SRC, pos.alias("_pos"),
+                        n_all.alias("_na"), n_pos.alias("_np"), n_neg.alias("_nn"),
+                        r_pos.alias("_rp"), r_neg.alias("_rn"))
+    same = F.when(F.col("_pos"), F.col("_np")).otherwise(F.col("_nn")) - 1
+    other = (F.when(F.col("_pos"), F.when(F.col("_rn") > 0, F.col("_nn") - off))
+             .otherwise(F.when(F.col("_rp") > 0, F.col("_np") - off)))
+    return (rows.where(F.col(SRC).isNotNull())
+            .select(*keys, HOUR, "eventId", SRC, (F.col("_na") - 1).alias("_all"),
+                    same.alias("_same"), other.alias("_other")))
+
+
 def outlet_degree(dedup: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, hour, outlet) -> numOtherSources = sum over its events of the
     other outlets of the same (hour, event)."""
-    w = _event_hour_window(keys)
-    per_row = dedup.withColumn("_n", F.count(SRC).over(w) - 1)
-    return (per_row.where(F.col(SRC).isNotNull())
+    return (co_outlet_counts(dedup, keys)
             .groupBy(*keys, HOUR, SRC)
-            .agg(F.sum("_n").alias("numOtherSources")))
+            .agg(F.sum("_all").alias("numOtherSources")))
 
 
 def outlet_degree_tone(dedup: DataFrame, keys: Sequence[str] = (),
                        exact_disagreement: bool = False) -> DataFrame:
     """(keys, hour, outlet, agreeing) -> numOtherSources. The ``false`` row of an
     (hour, outlet) exists only if some event had the other tone class."""
-    w = _event_hour_window(keys)
-    pos = F.col("positiveTone")
-    n_pos = F.count(F.when(pos, F.col(SRC))).over(w)       # non-null outlets
-    n_neg = F.count(F.when(~pos, F.col(SRC))).over(w)
-    r_pos = F.count(F.when(pos, F.lit(1))).over(w)         # class present at all
-    r_neg = F.count(F.when(~pos, F.lit(1))).over(w)
-    per_row = dedup.select(*keys, HOUR, "eventId", SRC, pos.alias("_pos"),
-                           n_pos.alias("_np"), n_neg.alias("_nn"),
-                           r_pos.alias("_rp"), r_neg.alias("_rn"))
-    off = 0 if exact_disagreement else 1
-    same = F.when(F.col("_pos"), F.col("_np")).otherwise(F.col("_nn")) - 1
-    other = (F.when(F.col("_pos"), F.when(F.col("_rn") > 0, F.col("_nn") - off))
-             .otherwise(F.when(F.col("_rp") > 0, F.col("_np") - off)))
-    pairs = F.array(F.struct(F.lit(True).alias("agreeing"), same.alias("_n")),
-                    F.struct(F.lit(False).alias("agreeing"), other.alias("_n")))
-    exploded = (per_row.where(F.col(SRC).isNotNull())
-                .select(*keys, HOUR, SRC, F.inline(pairs))
+    rows = co_outlet_counts(dedup, keys, exact_disagreement)
+    pairs = F.array(F.struct(F.lit(True).alias("agreeing"), F.col("_same").alias("_n")),
+                    F.struct(F.lit(False).alias("agreeing"), F.col("_other").alias("_n")))
+    exploded = (rows.select(*keys, HOUR, SRC, F.inline(pairs))
                 .where(F.col("_n").isNotNull()))
     return (exploded.groupBy(*keys, HOUR, SRC, "agreeing")
             .agg(F.sum("_n").alias("numOtherSources")))
@@ -120,29 +138,26 @@ def dom_outlets(dedup: DataFrame, keys: Sequence[str] = (),
                  rank_col="outlet_rank")
 
 
-def _with_rank(degree: DataFrame, dom: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Degree rows of the top outlets, with their rank (broadcast: <= n per key)."""
-    return degree.join(F.broadcast(dom.select(*keys, SRC, "outlet_rank")), [*keys, SRC])
+def streamgraph_wide(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
+                     n: int = STACKED_TOP_OUTLETS) -> DataFrame:
+    """One row per hour with at least one top outlet, columns
+    ``outlet_1..outlet_n`` (rank order; names in ``dom``), zero-filled.
 
+    Straight from the per-mention counts: broadcast join with the top list (at
+    most n rows per key), then one aggregation by hour with one conditional sum
+    per rank (a static pivot: no job to find values, one exchange)."""
+    ranked = co_outlet_counts(dedup, keys).join(
+        F.broadcast(dom.select(*keys, SRC, "outlet_rank")), [*keys, SRC])
+    cols = [F.coalesce(F.sum(F.when(F.col("outlet_rank") == i, F.col("_all"))),
+                       F.lit(0).cast("long")).alias(f"outlet_{i}") for i in range(1, n + 1)]
+    return ranked.groupBy(*keys, F.col(HOUR).alias("mentionInterval")).agg(*cols)
 
-def streamgraph_wide(degree: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
-                     n: int = STACKED_TOP_OUTLETS) -> DataFrame:
-    """One row per hour, columns ``outlet_1..outlet_n`` (rank order; the names are
-    in ``dom``), zero-filled. Pivot values are static ranks: no job to find them."""
-    ranked = _with_rank(degree, dom, keys)
-    wide = (ranked.groupBy(*keys, F.col(HOUR).alias("mentionInterval"))
-            .pivot("outlet_rank", list(range(1, n + 1)))
-            .agg(F.sum("numOtherSources")))
-    cols = [F.coalesce(F.col(str(i)), F.lit(0).cast("long")).alias(f"outlet_{i}")
-            for i in range(1, n + 1)]
-    return wide.select(*keys, "mentionInterval", *cols)
-
-
-def streamgraph_long(degree: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
+
+def streamgraph_long(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
                      n: int = STACKED_TOP_OUTLETS) -> DataFrame:
     """(keys, mentionInterval, outlet, numOtherSources): the wide table unpivoted,
     so every (hour, top outlet) cell exists (zero-filled) without a cross join."""
-    wide = streamgraph_wide(degree, dom, keys, n)
+    wide = streamgraph_wide(dedup, dom, keys, n)
     long = wide.unpivot([*keys, "mentionInterval"], [f"outlet_{i}" for i in range(1, n + 1)],
                         "_slot", "numOtherSources")
     long = long.withColumn("outlet_rank", F.substring_index("_slot", "_", -1).cast("int"))
@@ -150,14 +165,18 @@ def streamgraph_long(degree: DataFrame, dom: DataFrame, keys: Sequence[str] = ()
             .select(*keys, "mentionInterval", SRC, "numOtherSources"))
 
 
-def drilldown(degree_tone: DataFrame, dom: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, outlet, mentionInterval) -> ``true``/``false`` degrees, zero-filled;
-    always both columns."""
-    ranked = degree_tone.join(F.broadcast(dom.select(*keys, SRC)), [*keys, SRC], "left_semi")
-    n = F.col("numOtherSources")
-    return (ranked.groupBy(*keys, SRC, F.col(HOUR).alias("mentionInterval"))
-            .agg(F.coalesce(F.sum(F.when(F.col("agreeing"), n)), F.lit(0).cast("long")).alias("true"),
-                 F.coalesce(F.sum(F.when(~F.col("agreeing"), n)), F.lit(0).cast("long")).alias("false")))
+def drilldown(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
+              exact_disagreement: bool = False) -> DataFrame:
+    """(keys, outlet, mentionInterval) -> ``true``/``false`` degrees of the top
+    outlets, zero-filled, always both columns; one aggregation over the
+    per-mention counts (``false`` sums only events where the other class
+    exists)."""
+    rows = co_outlet_counts(dedup, keys, exact_disagreement).join(
+        F.broadcast(dom.select(*keys, SRC)), [*keys, SRC], "left_semi")
+    zero = F.lit(0).cast("long")
+    return (rows.groupBy(*keys, SRC, F.col(HOUR).alias("mentionInterval"))
+            .agg(F.coalesce(F.sum("_same"), zero).alias("true"),
+                 F.coalesce(F.sum("_other"), zero).alias("false")))
 
 
 def drilldown_nested(dd: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -175,14 +194,12 @@ def stacked(full: DataFrame, keys: Sequence[str] = (), unit: str = STACKED_TIME_
     state between the streamgraph and the drill-down)."""
     dedup = hour_dedup(full, keys, unit, short_name)
     dom = dom_outlets(dedup, keys, n)
-    degree = outlet_degree(dedup, keys)
-    degree_tone = outlet_degree_tone(dedup, keys, exact_disagreement)
-    dd = drilldown(degree_tone, dom, keys)
+    dd = drilldown(dedup, dom, keys, exact_disagreement)
     return {
         "dates": dates(dedup, keys),
         "dom_outlets": dom,
-        "streamgraph": streamgraph_long(degree, dom, keys, n),
-        "streamgraph_wide": streamgraph_wide(degree, dom, keys, n),
+        "streamgraph": streamgraph_long(dedup, dom, keys, n),
+        "streamgraph_wide": streamgraph_wide(dedup, dom, keys, n),
         "drilldown": dd,
         "drilldown_nested": drilldown_nested(dd, keys),
     }

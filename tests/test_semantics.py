@@ -250,3 +250,17 @@ def test_stacked_every_mention_positive_gives_zero_false(spark):
                       dict(eventId=1, mentionSourceName="y.com", mentionDocTone=1.0)])
     s = stacked.stacked(prepare(df).full)
     assert rows(s["drilldown"], "mentionSourceName", "true", "false") == [("x", 1, 0), ("y", 1, 0)]
+
+
+@pytest.mark.parametrize("params", [
+    Params("2024-01-05T00:00:00.000Z", "2024-01-06T12:00:00.000Z", 3, 100, 100000, ""),
+    Params("2024-01-05T00:00:00.000Z", "2024-01-06T23:59:00.000Z", 3, 100, 100000, "click"),
+    Params("2024-01-05T00:00:00.000Z", "2024-01-06T23:59:00.000Z", 2, 100, 4, ""),
+    Params("2024-01-05T00:00:00.000Z", "2024-01-06T23:59:00.000Z", 0, 100, None, ""),
+])
+def test_selection_strategies_agree(spark, params):
+    t = _sel_tables(spark)
+    cols = ["eventId", "mentionSourceName", "mentionDateAdded", "eventSourceCount", "eventAvgTone"]
+    fold = rows(selection.select_flat(t, params, strategy="fold"), *cols)
+    restrict = rows(selection.select_flat(t, params, strategy="restrict"), *cols)
+    assert fold == restrict
