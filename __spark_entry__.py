@@ -259,4 +259,21 @@ def oracle_sql() -> dict[str, str]:
         "io_json_roundtrip": W(P1, 'SELECT mentionSourceName, strftime(mentionInterval, \'%Y-%m-%dT%H:%M:%SZ\') '
                                    'AS mentionInterval, "true", "false" FROM dd', stacked=True),
         "cache_hit": W(P1, edges, graph=True),
+        "task_registry": W(P1, """
+SELECT 'graph' AS task, 'edges' AS part, count(*) AS "rows" FROM edges
+UNION ALL SELECT 'graph', 'edge_events', count(*) FROM pairs
+UNION ALL SELECT 'graph', 'nodes', count(DISTINCT mentionSourceName) FROM filt
+UNION ALL SELECT 'graph', 'totals', 1
+UNION ALL SELECT 'graph', 'edges_nested', count(DISTINCT source1) FROM edges
+UNION ALL SELECT 'graph', 'nodes_nested', 1
+UNION ALL SELECT 'stackedGraph', 'dates', count(DISTINCT roundedMentionDate) FROM dedup
+UNION ALL SELECT 'stackedGraph', 'dom_outlets', count(*) FROM dom
+UNION ALL SELECT 'stackedGraph', 'streamgraph', count(*) FROM sg_long
+UNION ALL SELECT 'stackedGraph', 'streamgraph_wide', count(DISTINCT mentionInterval) FROM sg_long
+UNION ALL SELECT 'stackedGraph', 'drilldown', count(*) FROM dd
+UNION ALL SELECT 'stackedGraph', 'drilldown_nested', count(DISTINCT mentionSourceName) FROM dd
+UNION ALL SELECT 'ExampleTask', 'best_events', least(10, count(*)) FROM prep_ev
+UNION ALL SELECT 'ExampleTask', 'mentions', count(*) FROM prep_m WHERE eventId IN (
+  SELECT eventId FROM prep_ev ORDER BY eventSourceCount DESC NULLS LAST, eventId LIMIT 10)""",
+                           graph=True, stacked=True),
     }
