@@ -150,7 +150,7 @@ def cut_best_events(best: DataFrame, events: DataFrame, limit: int) -> DataFrame
     final ordering and limit still run on what is left."""
     from outletlens.session import materialise
 
-    kept = materialise(best.join(events.select(ID), ID, "left_semi"))
+    kept = materialise(best.join(events.select(ID), ID, "left_semi"), how="checkpoint")
     hist = kept.groupBy("distinctSourceCount").agg(F.sum("_rows").alias("_n"))
     w = (Window.orderBy(F.col("distinctSourceCount").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))

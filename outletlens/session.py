@@ -96,9 +96,19 @@ def local_path(path: str) -> str:
     return os.path.abspath(path)
 
 
-def materialise(df, spark: SparkSession | None = None):
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
-    shared ``spark.checkpoint.dir`` (survives executor loss; never a local
-    checkpoint). Used where several parts read the same intermediate result."""
-    ensure_checkpoint_dir(spark or df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df, spark: SparkSession | None = None, how: str = "table"):
+    """Compute ``df`` once and cut its lineage, for intermediates read by several
+    parts. ``how="table"`` writes a parquet table below the shared
+    ``spark.checkpoint.dir`` and reads it back (consumers then get column
+    pruning and pushed filters); ``how="checkpoint"`` uses a reliable
+    ``checkpoint()`` in the same folder. Both survive executor loss; local
+    checkpoints are never used."""
+    import uuid
+
+    spark = spark or df.sparkSession
+    if how == "checkpoint":
+        ensure_checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, "materialised", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
