@@ -132,6 +132,11 @@ def q_ex_best_mentions(spark, d):
     return example.best_mentions(pr.mentions, example.best_events(pr.events))
 
 
+def _two_datasets(spark, d):
+    """Two saved datasets (P1, P2) for the keyed batch plan."""
+    return {"p1": _flat(spark, d, P1), "p2": _flat(spark, d, P2)}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: edges of the co-coverage graph on sf0.001 (min sources 3 there)."""
     return q_graph_edges(spark, SMOKE_DIR, P1.with_(minimum_distinct_source_count=3))
@@ -149,6 +154,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sel_flat": lambda s, d: _flat(s, d, P1),
         "sel_flat_p2": lambda s, d: _flat(s, d, P2),
         "sel_flat_limited": lambda s, d: _flat(s, d, P1_LIMITED),
+        "sel_flat_restrict": lambda s, d: selection.select_flat(_tables(s, d), P1, strategy="restrict"),
+        "sel_flat_p2_fold": lambda s, d: selection.select_flat(_tables(s, d), P2, strategy="fold"),
         "sel_event_ids_p2": lambda s, d: q_sel_event_ids(s, d, P2),
         "sel_empty_guard": q_sel_empty_guard,
         # preparation
@@ -185,9 +192,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # volume fixture (many small events)
         "fx2_sel_flat": lambda s, d: _flat(s, d, FX2, "fx2"),
         "fx2_graph_edges": lambda s, d: q_graph_edges(s, d, FX2, "fx2"),
+        "fx2_graph_nodes": lambda s, d: graph.nodes(_graph_stage(s, d, FX2, "fx2")[2]),
         # plumbing
         "task_registry": lambda s, d: PL.task_registry(s, _flat(s, d, P1)),
-        "batch_datasets": lambda s, d: PL.batch_datasets(s, {"p1": _flat(s, d, P1), "p2": _flat(s, d, P2)}),
+        "batch_datasets": lambda s, d: PL.batch_datasets(s, _two_datasets(s, d)),
+        "batch_graph_nodes": lambda s, d: PL.batch_datasets(s, _two_datasets(s, d), "graph", "nodes"),
+        "batch_stacked_drilldown": lambda s, d: PL.batch_datasets(s, _two_datasets(s, d),
+                                                                  "stackedGraph", "drilldown"),
+        "batch_stacked_streamgraph": lambda s, d: PL.batch_datasets(s, _two_datasets(s, d),
+                                                                    "stackedGraph", "streamgraph"),
         "io_csv_roundtrip": lambda s, d: PL.csv_roundtrip(s, _flat(s, d, P1)),
         "io_json_roundtrip": lambda s, d: PL.json_roundtrip(s, q_stacked_drilldown(s, d)),
         "cache_hit": lambda s, d: PL.cache_hit(s, _tables(s, d), P1, f"fx1:{d}"),
@@ -204,6 +217,15 @@ def oracle_sql() -> dict[str, str]:
                    "CAST(avgTone2Cents AS DOUBLE) / 100 AS avgTone2, url1, url2 FROM pairs")
     edges = "SELECT * FROM edges"
     drilldown = 'SELECT mentionSourceName, mentionInterval, "true", "false" FROM dd'
+    nodes = ("SELECT mentionSourceName, count(*) AS mentionnedEventsCount, "
+             "CAST(CAST(round_even(avg(cents), 0) AS BIGINT) AS DOUBLE) / 100 AS avgTone "
+             "FROM filt GROUP BY mentionSourceName")
+    streamgraph = "SELECT mentionInterval, mentionSourceName, numOtherSources FROM sg_long"
+
+    def batch(body: str, **kw) -> str:
+        return ("SELECT * FROM (" + W(P1, f"SELECT 'p1' AS dataset, * FROM ({body})", **kw)
+                + ")\nUNION ALL\nSELECT * FROM ("
+                + W(P2, f"SELECT 'p2' AS dataset, * FROM ({body})", **kw) + ")")
     return {
         "sel_event_ids": W(P1, ids),
         "sel_events_semi": W(P1, "SELECT * FROM ev"),
@@ -212,6 +234,8 @@ def oracle_sql() -> dict[str, str]:
         "sel_flat": W(P1, flat_cols),
         "sel_flat_p2": W(P2, flat_cols),
         "sel_flat_limited": W(P1_LIMITED, flat_cols),
+        "sel_flat_restrict": W(P1, flat_cols),
+        "sel_flat_p2_fold": W(P2, flat_cols),
         "sel_event_ids_p2": W(P2, ids),
         "sel_empty_guard": (
             W(P1, "SELECT 'P1' AS param_set, NOT EXISTS (SELECT 1 FROM flat) AS empty")
@@ -228,9 +252,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_edges_p2": W(P2, edges, graph=True),
         "graph_totals": W(P1, "SELECT max(meanToneDist) AS maxToneDist, "
                               "max(eventsSharedCount) AS maxSharedEventsCount FROM edges", graph=True),
-        "graph_nodes": W(P1, "SELECT mentionSourceName, count(*) AS mentionnedEventsCount, "
-                             "CAST(CAST(round_even(avg(cents), 0) AS BIGINT) AS DOUBLE) / 100 AS avgTone "
-                             "FROM filt GROUP BY mentionSourceName", graph=True),
+        "graph_nodes": W(P1, nodes, graph=True),
         "stacked_hour_dedup": W(P1, "SELECT * FROM dedup", stacked=True),
         "stacked_dates": W(P1, "SELECT DISTINCT roundedMentionDate AS mentionInterval, "
                                "strftime(roundedMentionDate, '%Y-%m-%d %H:%M:%SZ') AS label FROM dedup",
@@ -241,8 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "stacked_outlet_degree_tone": W(P1, "SELECT * FROM degree_tone", stacked=True),
         "stacked_outlet_degree_tone_p2": W(P2, "SELECT * FROM degree_tone", stacked=True),
         "stacked_dom_outlets": W(P1, "SELECT * FROM dom", stacked=True),
-        "stacked_streamgraph_long": W(P1, "SELECT mentionInterval, mentionSourceName, numOtherSources "
-                                          "FROM sg_long", stacked=True),
+        "stacked_streamgraph_long": W(P1, streamgraph, stacked=True),
         "stacked_streamgraph_wide": W(P1, O.wide_body(), stacked=True),
         "stacked_drilldown": W(P1, drilldown, stacked=True),
         "stacked_drilldown_p2": W(P2, drilldown, stacked=True),
@@ -252,9 +273,11 @@ def oracle_sql() -> dict[str, str]:
                                   "ORDER BY eventSourceCount DESC NULLS LAST, eventId LIMIT 10)", prep=True),
         "fx2_sel_flat": W(FX2, flat_cols, fixture="fx2"),
         "fx2_graph_edges": W(FX2, edges, fixture="fx2", graph=True),
-        "batch_datasets": (
-            "SELECT * FROM (" + W(P1, "SELECT 'p1' AS dataset, * FROM edges", graph=True) + ")\nUNION ALL\n"
-            "SELECT * FROM (" + W(P2, "SELECT 'p2' AS dataset, * FROM edges", graph=True) + ")"),
+        "fx2_graph_nodes": W(FX2, nodes, fixture="fx2", graph=True),
+        "batch_datasets": batch(edges, graph=True),
+        "batch_graph_nodes": batch(nodes, graph=True),
+        "batch_stacked_drilldown": batch(drilldown, stacked=True),
+        "batch_stacked_streamgraph": batch(streamgraph, stacked=True),
         "io_csv_roundtrip": W(P1, flat_cols),
         "io_json_roundtrip": W(P1, 'SELECT mentionSourceName, strftime(mentionInterval, \'%Y-%m-%dT%H:%M:%SZ\') '
                                    'AS mentionInterval, "true", "false" FROM dd', stacked=True),

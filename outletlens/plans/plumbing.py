@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from outletlens.params import Params
 from outletlens.plans.batch import run_all_datasets
 from outletlens.plans.pipeline import run_pipeline
-from outletlens.plans.tasks import TASKS, ExampleTask, GraphTask, run_dataset_pipeline
+from outletlens.plans.tasks import (TASKS, ExampleTask, GraphTask, StackedGraphTask,
+                                   run_dataset_pipeline)
 from outletlens.session import materialise, scratch_path
 from outletlens.sources.files import read_flat_csv, read_json, write_flat_csv, write_json
 from outletlens.sources.fixtures import SourceTables
@@ -57,13 +58,15 @@ def json_roundtrip(spark: SparkSession, drilldown: DataFrame) -> DataFrame:
     return read_json(spark, path, DRILLDOWN_JSON_SCHEMA)
 
 
-def batch_datasets(spark: SparkSession, flats: Mapping[str, DataFrame]) -> DataFrame:
-    """Save each flat table as ``<name>.csv``, then compute the graph edges of all
-    of them in one keyed job."""
+def batch_datasets(spark: SparkSession, flats: Mapping[str, DataFrame], task: str = "graph",
+                   part: str = "edges") -> DataFrame:
+    """Save each flat table as ``<name>.csv``, then compute one part for all of
+    them in one keyed job (``dataset`` is the leading key everywhere)."""
     root = fresh_dir(spark, "datasets")
     for name, flat in flats.items():
         write_flat_csv(flat, f"{root}/{name}.csv")
-    return run_all_datasets(spark, root, tasks=(GraphTask(),))["graph"]["edges"]
+    tasks = {"graph": (GraphTask(),), "stackedGraph": (StackedGraphTask(),)}[task]
+    return run_all_datasets(spark, root, tasks=tasks)[task][part]
 
 
 def cache_hit(spark: SparkSession, tables: SourceTables, params: Params, source: str) -> DataFrame:
