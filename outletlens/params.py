@@ -20,6 +20,15 @@ LIMIT_DEFAULT = 100000
 FILTER_MENTION_ID_DEFAULT = ""
 ISO_INPUT_FORMAT = "%Y-%m-%dT%H:%M:%S.%fZ"
 GDELT_INT_FORMAT = "%Y%m%d%H%M%S"
+# Parameter sets of the saved datasets: begin, end, min sources, confidence,
+# limit, URL regex.
+DATASET_PRESETS = {
+    "gilets_jaunes_2018_11_30": ("2018-11-30T00:00:00.000Z", "2018-12-02T23:59:00.000Z", 3, 100, 100000, "gilet.*jaune"),
+    "gilets_jaunes_2018_12_07": ("2018-12-07T00:00:00.000Z", "2018-12-08T23:59:00.000Z", 3, 100, 100000, "gilet.*jaune"),
+    "gilets_jaunes_2018_12_10": ("2018-12-10T00:00:00.000Z", "2018-12-11T23:59:00.000Z", 3, 100, 100000, "gilet.*jaune"),
+    "us_election_2016_11_08": ("2016-11-08T00:00:00.000Z", "2016-11-09T23:59:00.000Z", 50, 100, 100000, "trump.*elec"),
+    "khashoggi_2018_10_20": ("2018-10-20T00:00:00.000Z", "2018-10-21T23:59:00.000Z", 20, 100, 100000, "khashoggi"),
+}
 # Analysis constants: outlets kept in the graph, outlets in the time series,
 # time grain of the series.
 GRAPH_TOP_OUTLETS = 40
@@ -100,3 +109,8 @@ class Params:
         """Cache key: SHA-256 of the parameter text, safe as a folder name for any
         regex (slashes, quotes)."""
         return hashlib.sha256(self.id_text(source).encode("utf-8")).hexdigest()
+
+
+def preset(name: str) -> Params:
+    """One of the saved datasets' parameter sets (``DATASET_PRESETS``)."""
+    return Params(*DATASET_PRESETS[name])

@@ -107,3 +107,24 @@ def test_stream_reruns_only_new_datasets(spark, tmp):
     edges = spark.read.parquet(f"{out}/graph/edges")
     assert {r[0] for r in edges.select("dataset").distinct().collect()} == {"p1", "p2"}
     assert edges.where("dataset = 'p1'").count() == n1
+
+
+def test_cli_run_and_empty_cache(spark, tmp):
+    from outletlens.__main__ import main
+    from outletlens.sources.fixtures import stage
+
+    stage(spark, "fx1", SF001, root=f"{tmp}/src")
+    args = ["--mentions", f"{tmp}/src/mentions", "--events", f"{tmp}/src/events",
+            "--begin", P.date_begin, "--end", P.date_end, "--min-sources", "3", "--confidence", "50"]
+    assert main(["run", *args, "--cache", f"{tmp}/cache"]) == 0
+    assert any(n.startswith("query_id=") for n in os.listdir(f"{tmp}/cache"))
+    assert main(["empty-cache", "--cache", f"{tmp}/cache"]) == 0
+    assert not any(n.startswith("query_id=") for n in os.listdir(f"{tmp}/cache"))
+
+
+def test_presets():
+    from outletlens.params import DATASET_PRESETS, preset
+    assert len(DATASET_PRESETS) == 5
+    p = preset("khashoggi_2018_10_20")
+    assert (p.minimum_distinct_source_count, p.filter_mention_id) == (20, "khashoggi")
+    assert p.end_day_exclusive.isoformat() == "2018-10-22"
