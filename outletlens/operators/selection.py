@@ -136,28 +136,25 @@ def best_events_folded(mentions: DataFrame, p: Params, with_rows: bool = False)
             .drop("_any_conf", "_any_chosen"))
 
 
-def cut_best_events(best: DataFrame, events: DataFrame, limit: int) -> DataFrame:
-    """Best events whose rows can be among the first ``limit`` flat rows.
+def cut_at_limit(per_event: DataFrame, limit: int) -> DataFrame:
+    """Per-event rows whose mentions can be among the first ``limit`` flat rows.
 
     Flat rows are ordered by ``eventSourceCount`` (= distinctSourceCount) first,
     so the ``limit``-th row has the largest source count ``c`` whose events hold
     at least ``limit`` rows with counts >= ``c``; events below ``c`` cannot
-    contribute. The per-event row counts come with the aggregation (no extra
-    pass); the one-row-per-event table is materialised once (checkpoint in the
-    shared folder) because it feeds both the histogram and the join. The
-    histogram has one row per distinct source count (at most the number of
-    outlets), so its running sum is a tiny single-partition window. Exact: the
-    final ordering and limit still run on what is left."""
-    from outletlens.session import materialise
-
-    kept = materialise(best.join(events.select(ID), ID, "left_semi"), how="checkpoint")
+    contribute. The per-event row counts (``_rows``) come with the aggregation
+    (no extra pass); ``per_event`` is already materialised, as it feeds both the
+    histogram and the join. The histogram has one row per distinct source count
+    (at most the number of outlets), so its running sum is a tiny
+    single-partition window. Exact: the final ordering and limit still run on
+    what is left."""
+    kept = per_event
     hist = kept.groupBy("distinctSourceCount").agg(F.sum("_rows").alias("_n"))
     w = (Window.orderBy(F.col("distinctSourceCount").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cut = (hist.select("distinctSourceCount", F.sum("_n").over(w).alias("_cum"))
            .where(F.col("_cum") >= limit).agg(F.max("distinctSourceCount")).scalar())
-    return (kept.where(cut.isNull() | (F.col("distinctSourceCount") >= cut))
-            .select(ID, "distinctSourceCount", "avgDocTone"))
+    return kept.where(cut.isNull() | (F.col("distinctSourceCount") >= cut)).drop("_rows")
 
 
 def mentions_of_best(confident: DataFrame, best: DataFrame, p: Params) -> DataFrame:
@@ -169,7 +166,12 @@ def mentions_of_best(confident: DataFrame, best: DataFrame, p: Params) -> DataFr
 def flat_unlimited(selection: DataFrame, events: DataFrame) -> DataFrame:
     """Join the mention rows with their event attributes; rename to the flat
     contract (no ordering, no limit)."""
-    j = selection.join(events, ID)
+    return project_flat(selection.join(events, ID))
+
+
+def project_flat(j: DataFrame) -> DataFrame:
+    """Rename mention rows joined with event aggregates and attributes to the
+    flat contract."""
     return j.select(
         F.col(ID).alias("eventId"),
         F.col("MentionTimeDate").alias("mentionDateAdded"),
@@ -187,7 +189,7 @@ def flat_unlimited(selection: DataFrame, events: DataFrame) -> DataFrame:
 
 def apply_limit(flat: DataFrame, limit: int | None) -> DataFrame:
     """Top ``limit`` rows in ``flat_order()`` (TakeOrderedAndProject); ``None``
-    keeps every row. ``select_flat`` cuts the events first (``cut_best_events``),
+    keeps every row. ``select_flat`` cuts the events first (``cut_at_limit``),
     so the single-task merge sees about ``limit`` rows plus ties."""
     if limit is None:
         return flat
@@ -207,10 +209,16 @@ def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> Data
       a regex makes the id list selective: most mentions drop before the first
       shuffle, and AQE broadcasts the small id side.
 
-    ``"auto"`` picks ``restrict`` with a regex and ``fold`` without one. With a
-    limit, the best events are cut to those that can reach the first ``limit``
-    rows before the mention join (``cut_best_events``), which runs one small job
-    (materialising the per-event table) while the plan is built.
+    ``"auto"`` picks ``restrict`` with a regex and ``fold`` without one.
+
+    The two one-row-per-event tables (aggregates, attributes) are joined first
+    and materialised (one small job while the plan is built, a checkpoint in
+    the shared folder), so the mentions take part in a single join on the event
+    id whose other side is a finished stage of measured size: AQE broadcasts it
+    when it is small (the mentions are then never shuffled), otherwise it runs a
+    sort-merge join and splits hot partitions. With a limit, the per-event table
+    is first cut to the events that can reach the first ``limit`` rows
+    (``cut_at_limit``).
     """
     if strategy == "auto":
         strategy = "restrict" if p.filter_mention_id else "fold"
@@ -228,10 +236,13 @@ def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> Data
         best = best_events(confident, p, with_rows)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
+    from outletlens.session import materialise
+
+    per_event = materialise(best.join(events, ID), how="table")
     if with_rows:
-        best = cut_best_events(best, events, p.limit)
-    selection = mentions_of_best(confident, best, p)
-    return apply_limit(flat_unlimited(selection, events), p.limit)
+        per_event = cut_at_limit(per_event, p.limit)
+    in_range = confident.where(F.col("MentionTimeDate").between(p.begin_int, p.end_int))
+    return apply_limit(project_flat(in_range.join(per_event, ID)), p.limit)
 
 
 def empty_guard(flat: DataFrame) -> DataFrame:
