@@ -59,8 +59,8 @@ def _graph_stage(spark, sf_dir, p=P1, fixture="fx1"):
     return tone, top, filt, graph.pairs(filt)
 
 
-def _dedup(spark, sf_dir, p=P1):
-    return stacked.hour_dedup(_prep(spark, sf_dir, p).full)
+def _dedup(spark, sf_dir, p=P1, fixture="fx1"):
+    return stacked.hour_dedup(_prep(spark, sf_dir, p, fixture).full)
 
 
 # --- queries ------------------------------------------------------------------------
@@ -121,8 +121,8 @@ def q_stacked_streamgraph(spark, d, wide=False):
     return f(dd, stacked.dom_outlets(dd))
 
 
-def q_stacked_drilldown(spark, d, p=P1, nested=False):
-    dd = _dedup(spark, d, p)
+def q_stacked_drilldown(spark, d, p=P1, nested=False, fixture="fx1"):
+    dd = _dedup(spark, d, p, fixture)
     out = stacked.drilldown(dd, stacked.dom_outlets(dd))
     return stacked.drilldown_nested(out) if nested else out
 
@@ -193,6 +193,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fx2_sel_flat": lambda s, d: _flat(s, d, FX2, "fx2"),
         "fx2_graph_edges": lambda s, d: q_graph_edges(s, d, FX2, "fx2"),
         "fx2_graph_nodes": lambda s, d: graph.nodes(_graph_stage(s, d, FX2, "fx2")[2]),
+        # skew fixture: a third of all mentions on one event
+        "hot_sel_flat": lambda s, d: _flat(s, d, P1, "fx3"),
+        "hot_graph_edges": lambda s, d: q_graph_edges(s, d, P1, "fx3"),
+        "hot_stacked_drilldown": lambda s, d: q_stacked_drilldown(s, d, P1, fixture="fx3"),
         # plumbing
         "task_registry": lambda s, d: PL.task_registry(s, _flat(s, d, P1)),
         "batch_datasets": lambda s, d: PL.batch_datasets(s, _two_datasets(s, d)),
@@ -274,6 +278,9 @@ def oracle_sql() -> dict[str, str]:
         "fx2_sel_flat": W(FX2, flat_cols, fixture="fx2"),
         "fx2_graph_edges": W(FX2, edges, fixture="fx2", graph=True),
         "fx2_graph_nodes": W(FX2, nodes, fixture="fx2", graph=True),
+        "hot_sel_flat": W(P1, flat_cols, fixture="fx3"),
+        "hot_graph_edges": W(P1, edges, fixture="fx3", graph=True),
+        "hot_stacked_drilldown": W(P1, drilldown, fixture="fx3", stacked=True),
         "batch_datasets": batch(edges, graph=True),
         "batch_graph_nodes": batch(nodes, graph=True),
         "batch_stacked_drilldown": batch(drilldown, stacked=True),

@@ -14,8 +14,7 @@ from outletlens.params import Params
 
 # --- fixture CTEs -------------------------------------------------------------------
 
-FX1_CTES = """
-fx_m AS (
+FX1_MENTIONS = """
   SELECT
     CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 10
          + CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2
@@ -27,10 +26,10 @@ fx_m AS (
       || CAST(event_id AS VARCHAR) AS MentionIdentifier,
     floor(value * 4) / 4 - 50 AS MentionDocTone,
     (CAST(json_extract(props, '$.k') AS INTEGER) % 10 + 1) * 10 AS Confidence,
-    CAST(ts AS DATE) AS part_day
-  FROM events
-),
-fx_e AS (
+    CAST(ts AS DATE) AS part_day@EXTRA@
+  FROM events"""
+
+FX1_EVENTS = """
   SELECT DISTINCT GLOBALEVENTID,
     CAST(strftime(part_day, '%Y%m%d') AS BIGINT) * 1000000 + 180000 AS DATEADDED,
     'actor' || CAST(GLOBALEVENTID % 7 AS VARCHAR) AS Actor1Name,
@@ -38,8 +37,28 @@ fx_e AS (
          ELSE 'actor' || CAST(GLOBALEVENTID % 5 AS VARCHAR) END AS Actor2Name,
     CAST(GLOBALEVENTID % 41 - 20 AS DOUBLE) / 2 AS GoldsteinScale,
     part_day
-  FROM fx_m
-)"""
+  FROM @MENTIONS@"""
+
+FX1_CTES = ("\nfx_m AS (" + FX1_MENTIONS.replace("@EXTRA@", "") + "\n),"
+            "\nfx_e AS (" + FX1_EVENTS.replace("@MENTIONS@", "fx_m") + "\n)")
+
+# FX3: FX1 with the rows of user_id % 3 = 0 moved to one hot event (9999999,
+# published 2024-01-05 18:00), which is added to the events table.
+FX3_CTES = ("\nfx1_m AS (" + FX1_MENTIONS.replace("@EXTRA@", ",\n    user_id % 3 = 0 AS hot") + "\n),"
+            "\nfx1_e AS (" + FX1_EVENTS.replace("@MENTIONS@", "fx1_m") + "\n)," + """
+fx_m AS (
+  SELECT CASE WHEN hot THEN CAST(9999999 AS BIGINT) ELSE GLOBALEVENTID END AS GLOBALEVENTID,
+         CASE WHEN hot THEN CAST(20240105000000 AS BIGINT) ELSE EventTimeDate END AS EventTimeDate,
+         MentionTimeDate, MentionSourceName, MentionIdentifier, MentionDocTone, Confidence, part_day
+  FROM fx1_m
+),
+fx_e AS (
+  SELECT * FROM fx1_e
+  UNION ALL
+  SELECT CAST(9999999 AS BIGINT), CAST(20240105180000 AS BIGINT), 'actor' || CAST(9999999 % 7 AS VARCHAR),
+         CASE WHEN 9999999 % 3 = 0 THEN NULL ELSE 'actor' || CAST(9999999 % 5 AS VARCHAR) END,
+         CAST(9999999 % 41 - 20 AS DOUBLE) / 2, DATE '2024-01-05'
+)""")
 
 FX2_CTES = """
 fx_m AS (
@@ -66,7 +85,7 @@ fx_e AS (
   FROM orders
 )"""
 
-FIXTURE_CTES = {"fx1": FX1_CTES, "fx2": FX2_CTES}
+FIXTURE_CTES = {"fx1": FX1_CTES, "fx2": FX2_CTES, "fx3": FX3_CTES}
 
 
 def _q(text: str) -> str:

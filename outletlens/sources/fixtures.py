@@ -1,8 +1,9 @@
 """Source tables derived from the driver's testdata (no synthetic data).
 
 FX1 maps the ``events`` stream table onto mentions/events (many mentions per
-event, 60 outlets, a 30-day span); FX2 maps ``lineitem`` x ``orders`` onto them
-(many small events, one outlet per supplier). Both are lazy DataFrame
+event, 60 outlets, a 30-day span); FX3 is FX1 with a third of the mentions on
+one hot event (skew); FX2 maps ``lineitem`` x ``orders`` onto them (many small
+events, one outlet per supplier). All are lazy DataFrame
 derivations; ``stage`` writes them once in the production layout (partitioned
 by day) so that reads prune partitions exactly as on the real tables.
 """
@@ -25,6 +26,8 @@ FX1_EPOCH = "2024-01-01"
 FX1_EVENT_TYPE_NUMBERS = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
 FX1_OUTLETS = 60
 FX1_EVENT_HOUR = 18            # events.DATEADDED = midnight of the day + 18 h
+HOT_EVENT_ID = 9999999         # FX3: the event that receives a third of the mentions
+HOT_EVENT_DAY = "2024-01-05"
 # ---------------------------------------------------------------------------------
 
 
@@ -60,14 +63,19 @@ def _fx1_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("*", gid.alias("GLOBALEVENTID"), day.alias(PART_COL))
 
 
-def fx1_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
-    """FX1: one mention per ``events`` row; event = (day, event_type)."""
-    base = _fx1_base(spark, sf_dir)
+def _fx1_mentions(base: DataFrame, hot: Column | None = None) -> DataFrame:
+    """FX1 mention columns; rows where ``hot`` holds become mentions of the hot
+    event (FX3)."""
     outlet = (F.col("user_id") % FX1_OUTLETS).cast("string")
     k = F.get_json_object(F.col("props"), "$.k").cast("int")
-    mentions = base.select(
-        F.col("GLOBALEVENTID"),
-        _day_int(F.col(PART_COL)).alias("EventTimeDate"),
+    gid = F.col("GLOBALEVENTID")
+    event_time = _day_int(F.col(PART_COL))
+    if hot is not None:
+        gid = F.when(hot, F.lit(HOT_EVENT_ID).cast("long")).otherwise(gid)
+        event_time = F.when(hot, _day_int(F.lit(HOT_EVENT_DAY).cast("date"))).otherwise(event_time)
+    return base.select(
+        gid.alias("GLOBALEVENTID"),
+        event_time.alias("EventTimeDate"),
         ts_to_gdelt_int(F.col("ts")).alias("MentionTimeDate"),
         F.concat(F.lit("site"), outlet, F.lit(".example.com")).alias("MentionSourceName"),
         F.concat(F.lit("http://site"), outlet, F.lit(".example.com/"), F.col("event_type"),
@@ -76,10 +84,35 @@ def fx1_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
         ((k % 10 + 1) * 10).alias("Confidence"),
         F.col(PART_COL),
     )
+
+
+def _fx1_events(base: DataFrame) -> DataFrame:
     gid = F.col("GLOBALEVENTID")
-    events = (base.select("GLOBALEVENTID", PART_COL).distinct()
-              .select(gid, _day_int(F.col(PART_COL), FX1_EVENT_HOUR).alias("DATEADDED"),
-                      *_actors_and_scale(gid), F.col(PART_COL)))
+    return (base.select("GLOBALEVENTID", PART_COL).distinct()
+            .select(gid, _day_int(F.col(PART_COL), FX1_EVENT_HOUR).alias("DATEADDED"),
+                    *_actors_and_scale(gid), F.col(PART_COL)))
+
+
+def fx1_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
+    """FX1: one mention per ``events`` row; event = (day, event_type)."""
+    base = _fx1_base(spark, sf_dir)
+    return SourceTables(conform(_fx1_mentions(base), MENTIONS_SCHEMA),
+                        conform(_fx1_events(base), EVENTS_SCHEMA))
+
+
+def fx3_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
+    """FX3 (skew): FX1 where every row with ``user_id % 3 = 0`` is a mention of
+    one hot event (published on 2024-01-05, mentioned on every day), so about a
+    third of all mentions share one key. The events table is FX1's plus the hot
+    event's row."""
+    base = _fx1_base(spark, sf_dir)
+    mentions = _fx1_mentions(base, hot=(F.col("user_id") % 3 == 0))
+    gid = F.lit(HOT_EVENT_ID).cast("long")
+    day = F.lit(HOT_EVENT_DAY).cast("date")
+    hot_event = spark.range(1).select(
+        gid.alias("GLOBALEVENTID"), _day_int(day, FX1_EVENT_HOUR).alias("DATEADDED"),
+        *_actors_and_scale(gid), day.alias(PART_COL))
+    events = _fx1_events(base).unionByName(hot_event)
     return SourceTables(conform(mentions, MENTIONS_SCHEMA), conform(events, EVENTS_SCHEMA))
 
 
@@ -109,7 +142,7 @@ def fx2_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
     return SourceTables(conform(mentions, MENTIONS_SCHEMA), conform(events, EVENTS_SCHEMA))
 
 
-FIXTURES = {"fx1": fx1_tables, "fx2": fx2_tables}
+FIXTURES = {"fx1": fx1_tables, "fx2": fx2_tables, "fx3": fx3_tables}
 
 
 def stage(spark: SparkSession, name: str, sf_dir: str, root: str | None = None) -> SourceTables:
