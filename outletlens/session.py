@@ -112,3 +112,9 @@ def materialise(df, spark: SparkSession | None = None, how: str = "table"):
     path = scratch_path(spark, "materialised", uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def clear_materialised(spark: SparkSession) -> None:
+    """Delete the tables written by ``materialise`` (call when the DataFrames
+    built on them are no longer used, e.g. at the end of a job)."""
+    fs_delete(spark, scratch_path(spark, "materialised"))

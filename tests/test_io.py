@@ -128,3 +128,19 @@ def test_presets():
     p = preset("khashoggi_2018_10_20")
     assert (p.minimum_distinct_source_count, p.filter_mention_id) == (20, "khashoggi")
     assert p.end_day_exclusive.isoformat() == "2018-10-22"
+
+
+def test_cli_create_dataset_and_rerun(spark, tmp):
+    from outletlens.__main__ import main
+    from outletlens.sources.fixtures import stage
+
+    stage(spark, "fx1", SF001, root=f"{tmp}/src")
+    args = ["--mentions", f"{tmp}/src/mentions", "--events", f"{tmp}/src/events",
+            "--begin", P.date_begin, "--end", P.date_end, "--min-sources", "3", "--confidence", "50"]
+    assert main(["create-dataset", *args, "--name", "p1", "--datasets", f"{tmp}/ds",
+                 "--results", f"{tmp}/res"]) == 0
+    assert os.path.isdir(f"{tmp}/res/p1/graph/edges")
+    assert main(["rerun-datasets", "--datasets", f"{tmp}/ds", "--results", f"{tmp}/all",
+                 "--format", "parquet"]) == 0
+    edges = spark.read.parquet(f"{tmp}/all/graph/edges")
+    assert edges.where("dataset = 'p1'").count() == spark.read.json(f"{tmp}/res/p1/graph/edges").count()
