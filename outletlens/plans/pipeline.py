@@ -79,5 +79,5 @@ def create_dataset(spark: SparkSession, tables: SourceTables, params: Params, na
     if flat.isEmpty():
         raise EmptySelection(f"selection {params.id_text()} returned no row")
     results = run_dataset_pipeline(flat, tasks)
-    write_parts(results, f"{results_dir.rstrip('/')}/{name}", fmt=fmt)
+    write_parts(results, f"{results_dir.rstrip('/')}/{name}", fmt=fmt, ordered=True)
     return results

@@ -84,16 +84,40 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 # --- result parts (parquet) -----------------------------------------------------------
 
+def presentation_order(part: str, df: DataFrame, keys: Sequence[str] = ()) -> list:
+    """Order in which the reference presents a part (nodes by event count
+    descending, mentions by event and date, hourly parts by hour, pivots by
+    their keys). Applied only at a sink, as a global sort (range partitioning),
+    never inside a plan."""
+    desc_first = {"nodes": ["mentionnedEventsCount"], "best_events": ["eventSourceCount"],
+                  "dom_outlets": ["eventsCount"]}
+    by = {"nodes": ["mentionSourceName"], "edges": ["source1", "source2"],
+          "edge_events": ["source1", "source2", "eventId"], "dates": ["mentionInterval"],
+          "streamgraph": ["mentionInterval", "mentionSourceName"],
+          "streamgraph_wide": ["mentionInterval"],
+          "drilldown": ["mentionSourceName", "mentionInterval"],
+          "drilldown_nested": ["mentionSourceName"], "edges_nested": ["source1"],
+          "mentions": ["eventId", "mentionDateAdded"], "best_events": ["eventId"],
+          "dom_outlets": ["outlet_rank"]}
+    cols = [F.col(k) for k in keys]
+    cols += [F.col(c).desc() for c in desc_first.get(part, []) if c in df.columns]
+    cols += [F.col(c).asc() for c in by.get(part, []) if c in df.columns]
+    return cols
+
 def write_parts(results: Mapping[str, Mapping[str, DataFrame]], root: str, fmt: str = "parquet",
                 partition_by: Sequence[str] = (), mode: str = "overwrite",
-                dynamic: bool = False) -> list[str]:
+                dynamic: bool = False, ordered: bool = False) -> list[str]:
     """Write every ``task/part`` below ``root``; returns the written paths.
     ``dynamic`` replaces only the ``partition_by`` values present in the data
-    (dynamic partition overwrite), leaving the other datasets' results."""
+    (dynamic partition overwrite), leaving the other datasets' results.
+    ``ordered`` writes each part in its presentation order (files in order)."""
     written = []
     for task, parts in results.items():
         for part, df in parts.items():
             path = f"{root}/{task}/{part}"
+            if ordered:
+                order = presentation_order(part, df)
+                df = df.orderBy(*order) if order else df
             data = json_ready(df) if fmt == "json" else df
             w = data.write.mode(mode)
             if fmt == "json":

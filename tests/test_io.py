@@ -144,3 +144,17 @@ def test_cli_create_dataset_and_rerun(spark, tmp):
                  "--format", "parquet"]) == 0
     edges = spark.read.parquet(f"{tmp}/all/graph/edges")
     assert edges.where("dataset = 'p1'").count() == spark.read.json(f"{tmp}/res/p1/graph/edges").count()
+
+
+def test_ordered_sink_presents_nodes_by_count(spark, tmp):
+    from outletlens.plans.tasks import run_dataset_pipeline
+    from outletlens.sources.files import write_parts
+
+    flat = selection.select_flat(fx1_tables(spark, SF001), P)
+    res = run_dataset_pipeline(flat, (GraphTask(),))
+    write_parts({"graph": {"nodes": res["graph"]["nodes"]}}, tmp, fmt="json", ordered=True)
+    folder = f"{tmp}/graph/nodes"
+    rows = [json.loads(line) for f in sorted(os.listdir(folder)) if f.endswith(".json")
+            for line in open(f"{folder}/{f}") if line.strip()]          # part files in name order
+    counts = [(-r["mentionnedEventsCount"], r["mentionSourceName"]) for r in rows]
+    assert counts == sorted(counts) and len(counts) > 1
