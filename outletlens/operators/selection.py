@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outletlens.params import Params
+from outletlens.session import materialise
 from outletlens.sources.fixtures import SourceTables
 from outletlens.sources.gdelt import FLAT_COLUMNS, PART_COL
 
@@ -212,13 +213,13 @@ def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> Data
     ``"auto"`` picks ``restrict`` with a regex and ``fold`` without one.
 
     The two one-row-per-event tables (aggregates, attributes) are joined first
-    and materialised (one small job while the plan is built, a checkpoint in
-    the shared folder), so the mentions take part in a single join on the event
-    id whose other side is a finished stage of measured size: AQE broadcasts it
-    when it is small (the mentions are then never shuffled), otherwise it runs a
-    sort-merge join and splits hot partitions. With a limit, the per-event table
-    is first cut to the events that can reach the first ``limit`` rows
-    (``cut_at_limit``).
+    and written once as a table in the shared folder (one small job while the
+    plan is built), so the mentions take part in a single join on the event id
+    whose other side has a known size: Spark broadcasts it when it is under the
+    broadcast threshold (the mentions are then never shuffled), otherwise it
+    runs a sort-merge join whose hot partitions AQE splits. With a limit, the
+    per-event table is first cut to the events that can reach the first
+    ``limit`` rows (``cut_at_limit``).
     """
     if strategy == "auto":
         strategy = "restrict" if p.filter_mention_id else "fold"
@@ -236,8 +237,6 @@ def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> Data
         best = best_events(confident, p, with_rows)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    from outletlens.session import materialise
-
     per_event = materialise(best.join(events, ID), how="table")
     if with_rows:
         per_event = cut_at_limit(per_event, p.limit)
