@@ -22,15 +22,11 @@ def best_events(events: DataFrame, keys: Sequence[str] = (),
 def best_mentions(mentions: DataFrame, best: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mentions of those events (broadcast semi-join: at most n ids per key).
     The reference sorts them by (eventId, mentionDateAdded); that is a
-    presentation order, applied by ``sorted_for_display`` at a sink only."""
+    presentation order, applied at a sink only (``write_parts(ordered=True)``)."""
     return mentions.join(F.broadcast(best.select(*keys, "eventId")), [*keys, "eventId"],
                          "left_semi")
 
 
-def sorted_for_display(best_mentions_df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return best_mentions_df.orderBy(*keys, "eventId", "mentionDateAdded")
-
-
 def example(events: DataFrame, mentions: DataFrame,
             keys: Sequence[str] = ()) -> dict[str, DataFrame]:
     best = best_events(events, keys)

@@ -164,12 +164,6 @@ def mentions_of_best(confident: DataFrame, best: DataFrame, p: Params) -> DataFr
             .join(best, ID))
 
 
-def flat_unlimited(selection: DataFrame, events: DataFrame) -> DataFrame:
-    """Join the mention rows with their event attributes; rename to the flat
-    contract (no ordering, no limit)."""
-    return project_flat(selection.join(events, ID))
-
-
 def project_flat(j: DataFrame) -> DataFrame:
     """Rename mention rows joined with event aggregates and attributes to the
     flat contract."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -87,15 +86,6 @@ def fs_touch(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme, for the few driver-side checks on local paths."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
-
-
 def materialise(df, spark: SparkSession | None = None, how: str = "table"):
     """Compute ``df`` once and cut its lineage, for intermediates read by several
     parts. ``how="table"`` writes a parquet table below the shared
