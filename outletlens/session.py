@@ -99,12 +99,13 @@ def materialise(df, spark: SparkSession | None = None, how: str = "table"):
     if how == "checkpoint":
         ensure_checkpoint_dir(spark)
         return df.checkpoint(eager=True)
-    path = scratch_path(spark, "materialised", uuid.uuid4().hex)
+    path = scratch_path(spark, "materialised", spark.sparkContext.applicationId, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
 def clear_materialised(spark: SparkSession) -> None:
-    """Delete the tables written by ``materialise`` (call when the DataFrames
-    built on them are no longer used, e.g. at the end of a job)."""
-    fs_delete(spark, scratch_path(spark, "materialised"))
+    """Delete the tables this application wrote with ``materialise`` (call when
+    the DataFrames built on them are no longer used, e.g. at the end of a job;
+    other applications' tables are left alone)."""
+    fs_delete(spark, scratch_path(spark, "materialised", spark.sparkContext.applicationId))
