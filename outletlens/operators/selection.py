@@ -33,6 +33,11 @@ from outletlens.sources.gdelt import FLAT_COLUMNS, PART_COL
 
 ID = "GLOBALEVENTID"
 
+# Largest id list broadcast by the ``restrict`` plan (bigint ids: a few tens of
+# MB as a hashed relation). The list is counted first; beyond this bound the
+# folded plan is used instead.
+BROADCAST_IDS_MAX = 1_000_000
+
 
 
 def flat_order() -> list[Column]:
@@ -191,20 +196,24 @@ def apply_limit(flat: DataFrame, limit: int | None) -> DataFrame:
     return flat.orderBy(*flat_order()).limit(limit).select(*FLAT_COLUMNS)
 
 
-def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> DataFrame:
+def select_flat(tables: SourceTables, p: Params, strategy: str = "auto",
+                broadcast_ids_max: int = BROADCAST_IDS_MAX) -> DataFrame:
     """The whole selection: flat rows of the best events of the window.
 
-    Two equivalent plans:
+    Two equivalent plans for the per-event aggregates:
 
     * ``"fold"``: the id search is a flag inside the per-event aggregation
       (``best_events_folded``): the window's mentions are scanned twice in all
-      (aggregation, payload), with no id shuffle.
-    * ``"restrict"``: the id search runs first and the confident mentions are
-      semi-joined with the chosen events *before* the aggregation. It pays when
-      a regex makes the id list selective: most mentions drop before the first
-      shuffle, and AQE broadcasts the small id side.
+      (aggregation, payload), with no id shuffle; the first shuffle carries
+      map-side combined (event, source) rows, so a hot event is harmless.
+    * ``"restrict"``: the id search runs first; its distinct ids are written
+      once and counted, and when there are at most ``broadcast_ids_max`` of
+      them they are broadcast, so the confident mentions are filtered
+      map-side before the aggregation (a selective regex drops most rows before
+      any shuffle). A larger id list is not broadcast: the plan falls back to
+      ``fold``.
 
-    ``"auto"`` picks ``restrict`` with a regex and ``fold`` without one.
+    ``"auto"`` tries ``restrict`` with a regex and uses ``fold`` without one.
 
     The two one-row-per-event tables (aggregates, attributes) are joined first
     and written once as a table in the shared folder (one small job while the
@@ -217,20 +226,25 @@ def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> Data
     """
     if strategy == "auto":
         strategy = "restrict" if p.filter_mention_id else "fold"
-    window_events = tables.events.where(partition_window(p))
+    if strategy not in ("fold", "restrict"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     confident = confident_mentions(tables.mentions, p)
     with_rows = p.limit is not None
-    if strategy == "fold":
-        events = window_events.select(ID, "DATEADDED", "Actor1Name", "Actor2Name", "GoldsteinScale")
+    ids = None
+    if strategy == "restrict":
+        # map-side partial distinct, then one small table of ids with a count
+        ids = materialise(distinct_event_ids(tables.mentions, p), how="table")
+        if ids.count() > broadcast_ids_max:
+            ids = None                                     # too many to broadcast: fold
+    if ids is None:
+        events = (tables.events.where(partition_window(p))
+                  .select(ID, "DATEADDED", "Actor1Name", "Actor2Name", "GoldsteinScale"))
         best = best_events_folded(tables.mentions, p, with_rows)
-    elif strategy == "restrict":
-        # Distinct ids: a map-side partial distinct shrinks the id shuffle by the
-        # mentions-per-event factor; the semi-join reuses its hash partitioning.
-        events = events_in_window(tables.events, distinct_event_ids(tables.mentions, p), p)
-        confident = confident.join(events.select(ID), ID, "left_semi")
-        best = best_events(confident, p, with_rows)
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+        small = F.broadcast(ids)                           # counted: <= broadcast_ids_max rows
+        events = events_in_window(tables.events, small, p)
+        confident = confident.join(small, ID, "left_semi")
+        best = best_events(confident, p, with_rows)
     per_event = materialise(best.join(events, ID), how="table")
     if with_rows:
         per_event = cut_at_limit(per_event, p.limit)

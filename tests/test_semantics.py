@@ -264,3 +264,11 @@ def test_selection_strategies_agree(spark, params):
     fold = rows(selection.select_flat(t, params, strategy="fold"), *cols)
     restrict = rows(selection.select_flat(t, params, strategy="restrict"), *cols)
     assert fold == restrict
+
+
+def test_restrict_falls_back_to_fold_beyond_the_broadcast_bound(spark):
+    t = _sel_tables(spark)
+    p = Params("2024-01-05T00:00:00.000Z", "2024-01-06T23:59:00.000Z", 3, 100, 100000, "click")
+    cols = ["eventId", "mentionSourceName", "eventSourceCount"]
+    assert rows(selection.select_flat(t, p, broadcast_ids_max=0), *cols) == \
+        rows(selection.select_flat(t, p), *cols)
