@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 
@@ -26,11 +27,12 @@ def staged(spark):
 
 
 def test_partition_pruning_and_pushdown(staged):
-    flat = selection.select_flat(staged, E.P2)
-    formatted = plan(flat)
+    formatted = plan(selection.select_flat(staged, E.P2))
     assert "PartitionFilters: [isnotnull(part_day" in formatted
     assert "GreaterThanOrEqual(Confidence,50)" in formatted
-    assert "LessThanOrEqual(EventTimeDate,20240112120000)" in formatted
+    ids = plan(selection.distinct_event_ids(staged.mentions, E.P2))   # the id search job
+    assert "PartitionFilters: [isnotnull(part_day" in ids
+    assert "LessThanOrEqual(EventTimeDate,20240112120000)" in ids
 
 
 def test_scan_reads_only_needed_columns(staged):
@@ -68,3 +70,35 @@ def test_top_lists_are_broadcast(spark, staged):
     tone = graph.outlet_tone(prepare(flat).mentions)
     filt = graph.filtered(tone, graph.top_sources(tone))
     assert "BroadcastHashJoin LeftSemi" in plan(filt).replace("\n", " ") or "BroadcastExchange" in plan(filt)
+
+
+@pytest.fixture()
+def no_auto_broadcast(spark):
+    """Plans as on large inputs: no size-based broadcast, only explicit hints."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+def tree_ops(text: str, op: str) -> int:
+    """Occurrences of an operator in the plan tree (not the details section)."""
+    return len(re.findall(rf"\+- {op}\b", text))
+
+
+def test_regex_plan_filters_mentions_map_side(staged, no_auto_broadcast):
+    text = plan(selection.select_flat(staged, E.P2.with_(limit=None)))
+    assert re.search(r"BroadcastHashJoin LeftSemi", text)        # counted ids, explicit hint
+    assert tree_ops(text, "SortMergeJoin") == 1                   # one join over the mentions
+
+
+def test_fold_plan_has_one_mention_join_and_no_id_search(staged, no_auto_broadcast):
+    text = plan(selection.select_flat(staged, E.P1.with_(limit=None)))
+    assert "LeftSemi" not in text
+    assert tree_ops(text, "SortMergeJoin") == 1
