@@ -125,12 +125,20 @@ def nodes_nested(nds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def graph(mentions: DataFrame, keys: Sequence[str] = (), n: int = GRAPH_TOP_OUTLETS,
-          persist_tone: bool = False) -> dict[str, DataFrame]:
+          persist_tone: bool = False, colocate_events: bool = False) -> dict[str, DataFrame]:
     """All graph parts from the mentions of one (or, with keys, many) datasets.
 
     ``outlet_tone`` feeds the top list, the filter and the nodes; Catalyst
     pushes the top-n semi-join below its aggregate, so without ``persist_tone``
-    the aggregate is planned twice per consumer."""
+    the aggregate is planned twice per consumer.
+
+    ``colocate_events`` hash-partitions the mentions by event first, so the
+    per-(event, outlet) aggregate and the self-join share that one exchange.
+    It ships raw rows (no map-side combine) and puts each event in one task, so
+    it only pays when an outlet mentions an event about once and no event is
+    hot; the default plan combines map-side and is safe under skew."""
+    if colocate_events:
+        mentions = mentions.repartition(*keys, "eventId")
     tone = outlet_tone(mentions, keys)
     if persist_tone:
         tone = tone.persist()

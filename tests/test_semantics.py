@@ -272,3 +272,12 @@ def test_restrict_falls_back_to_fold_beyond_the_broadcast_bound(spark):
     cols = ["eventId", "mentionSourceName", "eventSourceCount"]
     assert rows(selection.select_flat(t, p, broadcast_ids_max=0), *cols) == \
         rows(selection.select_flat(t, p), *cols)
+
+
+def test_graph_colocated_plan_gives_the_same_parts(spark):
+    m = prepare(_graph_flat(spark)).mentions
+    a, b = graph.graph(m), graph.graph(m, colocate_events=True)
+    for part, cols in (("edges", ("source1", "source2", "eventsSharedCount", "meanToneDist")),
+                       ("edge_events", ("source1", "source2", "eventId", "url1", "url2")),
+                       ("nodes", ("mentionSourceName", "mentionnedEventsCount", "avgTone"))):
+        assert rows(a[part], *cols) == rows(b[part], *cols), part
