@@ -2,7 +2,7 @@
 
 Layers:
   sources/    table readers (partitioned mentions/events), test fixtures, CSV/JSON/parquet sinks
-  functions/  column expressions (GDELT integer dates, half-even cents, outlet names, top-k)
+  functions/  column expressions (integer yyyyMMddHHmmss dates, half-even cents, outlet names, top-k)
   operators/  DataFrame -> DataFrame operators: selection, preparation, graph, stacked series
   plans/      task protocol and registry, cached pipeline, batch over many datasets
   streaming/  incremental re-run of the batch plan when new dataset files arrive

@@ -66,7 +66,7 @@ def main(argv=None) -> int:
     spark = SparkSession.getActiveSession() or build_session()
     if a.cmd in ("run", "create-dataset"):
         from outletlens.sources.fixtures import SourceTables
-        from outletlens.sources.gdelt import read_events, read_mentions
+        from outletlens.sources.tables import read_events, read_mentions
         tables = SourceTables(read_mentions(spark, a.mentions), read_events(spark, a.events))
         if a.cmd == "run":
             from outletlens.plans.pipeline import run_pipeline

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -------------------------------------------------------------
-GDELT_INT_PATTERN = "yyyyMMddHHmmss"          # integer dates of the source tables
+INT_DATE_PATTERN = "yyyyMMddHHmmss"          # integer dates of the source tables
 SPACE_Z_PATTERN = "yyyy-MM-dd HH:mm:ss'Z'"    # hour labels of the stacked series
 ISO_Z_PATTERN = "yyyy-MM-dd'T'HH:mm:ss'Z'"    # timestamps in JSON documents
 # ------------------------------------------------------------------------------
@@ -16,15 +16,15 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def gdelt_int_to_ts(col) -> Column:
+def int_date_to_ts(col) -> Column:
     """``20240105061500`` (bigint) -> timestamp_ntz. Malformed input raises under
     ANSI mode, as the reference's strict parser does."""
-    return F.to_timestamp_ntz(_c(col).cast("string"), F.lit(GDELT_INT_PATTERN))
+    return F.to_timestamp_ntz(_c(col).cast("string"), F.lit(INT_DATE_PATTERN))
 
 
-def ts_to_gdelt_int(col) -> Column:
+def ts_to_int_date(col) -> Column:
     """timestamp -> ``yyyyMMddHHmmss`` bigint (fraction dropped)."""
-    return F.date_format(_c(col), GDELT_INT_PATTERN).cast("long")
+    return F.date_format(_c(col), INT_DATE_PATTERN).cast("long")
 
 
 def floor_time(col, unit: str = "HOUR") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outletlens.functions.exprs import gdelt_int_to_ts, nan_to_null
+from outletlens.functions.exprs import int_date_to_ts, nan_to_null
 from outletlens.functions.keyed import first_non_null
 
 DATE_COLUMNS = ("mentionDateAdded", "eventDateAdded")
@@ -27,12 +27,12 @@ class Prepared:
 
 
 def parse_dates(flat: DataFrame) -> DataFrame:
-    """GDELT integer dates -> timestamp_ntz; NaN -> NULL in double columns."""
+    """integer yyyyMMddHHmmss dates -> timestamp_ntz; NaN -> NULL in double columns."""
     out = flat
     for c in DATE_COLUMNS:
         if c in out.columns and not isinstance(out.schema[c].dataType,
                                                (T.TimestampNTZType, T.TimestampType)):
-            out = out.withColumn(c, gdelt_int_to_ts(c))
+            out = out.withColumn(c, int_date_to_ts(c))
     for f in out.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
             out = out.withColumn(f.name, nan_to_null(f.name))

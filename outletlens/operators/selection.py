@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from outletlens.params import Params
 from outletlens.session import materialise
 from outletlens.sources.fixtures import SourceTables
-from outletlens.sources.gdelt import FLAT_COLUMNS, PART_COL
+from outletlens.sources.tables import FLAT_COLUMNS, PART_COL
 
 ID = "GLOBALEVENTID"
 

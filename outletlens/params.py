@@ -11,7 +11,7 @@ import hashlib
 from dataclasses import dataclass, replace
 
 # --- fixed values (must equal the reference's for the same results) ---------
-# Default parameter set, input timestamp format, GDELT integer date format.
+# Default parameter set, input timestamp format, integer yyyyMMddHHmmss date format.
 DATE_BEGIN_DEFAULT = "2018-11-21T00:00:00.000Z"
 DATE_END_DEFAULT = "2018-11-22T00:00:00.000Z"
 MINIMUM_DISTINCT_SOURCE_COUNT_DEFAULT = 10
@@ -19,7 +19,7 @@ CONFIDENCE_DEFAULT = 100
 LIMIT_DEFAULT = 100000
 FILTER_MENTION_ID_DEFAULT = ""
 ISO_INPUT_FORMAT = "%Y-%m-%dT%H:%M:%S.%fZ"
-GDELT_INT_FORMAT = "%Y%m%d%H%M%S"
+INT_DATE_FORMAT = "%Y%m%d%H%M%S"
 # Parameter sets of the saved datasets: begin, end, min sources, confidence,
 # limit, URL regex.
 DATASET_PRESETS = {
@@ -72,13 +72,13 @@ class Params:
 
     @property
     def begin_int(self) -> int:
-        """Begin as a GDELT ``yyyyMMddHHmmss`` integer (closed lower bound)."""
-        return int(self.begin.strftime(GDELT_INT_FORMAT))
+        """Begin as a ``yyyyMMddHHmmss`` integer (closed lower bound)."""
+        return int(self.begin.strftime(INT_DATE_FORMAT))
 
     @property
     def end_int(self) -> int:
-        """End as a GDELT integer (closed upper bound)."""
-        return int(self.end.strftime(GDELT_INT_FORMAT))
+        """End as a yyyyMMddHHmmss integer (closed upper bound)."""
+        return int(self.end.strftime(INT_DATE_FORMAT))
 
     @property
     def begin_day(self) -> dt.date:

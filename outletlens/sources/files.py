@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outletlens.functions.exprs import iso_z_label
-from outletlens.sources.gdelt import FLAT_SCHEMA
+from outletlens.sources.tables import FLAT_SCHEMA
 
 
 # --- CSV datasets (the reference's saved query results) -------------------------------

@@ -15,9 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outletlens.functions.exprs import ts_to_gdelt_int
+from outletlens.functions.exprs import ts_to_int_date
 from outletlens.session import fs_exists, fs_touch, scratch_path
-from outletlens.sources.gdelt import (EVENTS_SCHEMA, MENTIONS_SCHEMA, PART_COL,
+from outletlens.sources.tables import (EVENTS_SCHEMA, MENTIONS_SCHEMA, PART_COL,
                                       conform, read_events, read_mentions,
                                       write_partitioned)
 
@@ -40,7 +40,7 @@ class SourceTables:
 
 
 def _day_int(day: Column, hour: int = 0) -> Column:
-    """A DATE as the GDELT integer of its midnight (+ ``hour`` hours)."""
+    """A DATE as the yyyyMMddHHmmss integer of its midnight (+ ``hour`` hours)."""
     return F.date_format(day, "yyyyMMdd").cast("long") * F.lit(1000000) + F.lit(hour * 10000)
 
 
@@ -76,7 +76,7 @@ def _fx1_mentions(base: DataFrame, hot: Column | None = None) -> DataFrame:
     return base.select(
         gid.alias("GLOBALEVENTID"),
         event_time.alias("EventTimeDate"),
-        ts_to_gdelt_int(F.col("ts")).alias("MentionTimeDate"),
+        ts_to_int_date(F.col("ts")).alias("MentionTimeDate"),
         F.concat(F.lit("site"), outlet, F.lit(".example.com")).alias("MentionSourceName"),
         F.concat(F.lit("http://site"), outlet, F.lit(".example.com/"), F.col("event_type"),
                  F.lit("/"), F.col("event_id").cast("string")).alias("MentionIdentifier"),
@@ -125,8 +125,8 @@ def fx2_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
     supp = F.col("l_suppkey").cast("string")
     mentions = j.select(
         F.col("l_orderkey").alias("GLOBALEVENTID"),
-        ts_to_gdelt_int(F.col("o_orderdate")).alias("EventTimeDate"),
-        ts_to_gdelt_int(F.col("o_orderdate")).alias("MentionTimeDate"),
+        ts_to_int_date(F.col("o_orderdate")).alias("EventTimeDate"),
+        ts_to_int_date(F.col("o_orderdate")).alias("MentionTimeDate"),
         F.concat(F.lit("supp"), supp, F.lit(".example.com")).alias("MentionSourceName"),
         F.concat(F.lit("http://supp"), supp, F.lit(".example.com/"),
                  F.col("l_partkey").cast("string"), F.lit("/"),
@@ -137,7 +137,7 @@ def fx2_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
     )
     gid = F.col("o_orderkey")
     events = orders.select(
-        gid.alias("GLOBALEVENTID"), ts_to_gdelt_int(F.col("o_orderdate")).alias("DATEADDED"),
+        gid.alias("GLOBALEVENTID"), ts_to_int_date(F.col("o_orderdate")).alias("DATEADDED"),
         *_actors_and_scale(gid), F.to_date(F.col("o_orderdate")).alias(PART_COL))
     return SourceTables(conform(mentions, MENTIONS_SCHEMA), conform(events, EVENTS_SCHEMA))
 

@@ -21,7 +21,7 @@ from outletlens.plans.batch import DATASET, run_all_datasets
 from outletlens.plans.tasks import TASKS, Task
 from outletlens.session import scratch_path
 from outletlens.sources.files import dataset_name
-from outletlens.sources.gdelt import FLAT_SCHEMA
+from outletlens.sources.tables import FLAT_SCHEMA
 
 
 def rerun_on_new_datasets(spark: SparkSession, datasets_dir: str, results_dir: str,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from outletlens.sources.gdelt import EVENTS_SCHEMA, FLAT_SCHEMA, MENTIONS_SCHEMA
+from outletlens.sources.tables import EVENTS_SCHEMA, FLAT_SCHEMA, MENTIONS_SCHEMA
 from outletlens.sources.fixtures import SourceTables
 
 FLAT_DEFAULTS = dict(eventId=1, mentionDateAdded=20240105100000, mentionSourceName="a.com",

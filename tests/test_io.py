@@ -21,7 +21,7 @@ from outletlens.session import fs_exists
 from outletlens.sources.files import (read_dataset_dir, read_flat_csv, write_flat_csv,
                                       write_json)
 from outletlens.sources.fixtures import fx1_tables
-from outletlens.sources.gdelt import FLAT_SCHEMA
+from outletlens.sources.tables import FLAT_SCHEMA
 from outletlens.streaming import rerun_on_new_datasets
 
 P = E.P1.with_(minimum_distinct_source_count=3)

@@ -10,7 +10,7 @@ from compare import compare
 from outletlens import oracle as O
 from outletlens.operators import graph, stacked
 from outletlens.operators.prepare import prepare
-from outletlens.sources.gdelt import FLAT_SCHEMA
+from outletlens.sources.tables import FLAT_SCHEMA
 
 SOURCES = ["a.com", "b.com", "www.a.com", "www.b.com", "c.org", "localhost", None]
 URLS = ["u1", "u2", "u3", None]

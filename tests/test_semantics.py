@@ -12,7 +12,7 @@ from outletlens.functions.exprs import short_outlet, to_cents
 from outletlens.operators import graph, selection, stacked
 from outletlens.operators.prepare import prepare
 from outletlens.params import Params
-from outletlens.sources.gdelt import FLAT_SCHEMA
+from outletlens.sources.tables import FLAT_SCHEMA
 
 
 def rows(df, *cols):
