@@ -12,6 +12,7 @@ the shared folder, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from outletlens.plans.batch import DATASET, run_all_datasets
 from outletlens.plans.tasks import TASKS, Task
 from outletlens.session import scratch_path
-from outletlens.sources.files import dataset_name
+from outletlens.sources.files import dataset_name, qualified
 from outletlens.sources.tables import FLAT_SCHEMA
 
 
@@ -31,7 +32,10 @@ def rerun_on_new_datasets(spark: SparkSession, datasets_dir: str, results_dir: s
                           processing_time: str | None = None) -> StreamingQuery:
     """Start the stream. ``available_now`` processes what is there and stops
     (a scheduled job); otherwise it runs with ``processing_time`` triggers."""
-    checkpoint_location = checkpoint_location or scratch_path(spark, "streams", "datasets")
+    if checkpoint_location is None:
+        # one stream state per watched folder
+        tag = hashlib.sha256(qualified(spark, datasets_dir).encode("utf-8")).hexdigest()[:16]
+        checkpoint_location = scratch_path(spark, "streams", f"datasets-{tag}")
     files = (spark.readStream.schema(FLAT_SCHEMA).option("header", True)
              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
              .csv(datasets_dir))
