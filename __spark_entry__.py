@@ -25,6 +25,15 @@ from outletlens.params import Params
 from outletlens.session import materialise
 from outletlens.sources.fixtures import FIXTURES
 
+# the training-data operators and their pipeline are optional parts of the repository
+try:
+    import corpus_pipeline
+    from outletlens.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("outletlens.llm", "corpus_pipeline"):
+        raise
+    llm = corpus_pipeline = None
+
 # Parameter sets of the fixture queries (FIXTURES.md: P1, P2; FX2 volume set).
 P1 = Params("2024-01-05T00:00:00.000Z", "2024-01-12T00:00:00.000Z", 10, 50, 100000, "")
 P2 = Params("2024-01-05T06:00:00.000Z", "2024-01-12T12:00:00.000Z", 10, 50, 100000,
@@ -147,7 +156,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_graph_edges(spark, SMOKE_DIR, P1.with_(minimum_distinct_source_count=3))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from outletlens.plans import plumbing as PL  # I/O keys (write, then read back)
 
     return {
@@ -216,7 +225,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def _core_oracle_sql() -> dict[str, str]:
     W = O.with_ctes
     ids = "SELECT GLOBALEVENTID FROM ids"
     flat_cols = "SELECT * FROM flat"
@@ -312,3 +321,16 @@ UNION ALL SELECT 'ExampleTask', 'mentions', count(*) FROM prep_m WHERE eventId I
   SELECT eventId FROM prep_ev ORDER BY eventSourceCount DESC NULLS LAST, eventId LIMIT 10)""",
                            graph=True, stacked=True),
     }
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All registered queries: each takes the session and a data folder."""
+    return _core_queries() | ({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {})
+
+
+def oracle_sql() -> dict[str, str]:
+    """The DuckDB statement of each query that SQL can express."""
+    extra = dict(llm.ORACLE_SQL) if llm else {}
+    if llm and corpus_pipeline.ORACLE_SQL:
+        extra["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return _core_oracle_sql() | extra
