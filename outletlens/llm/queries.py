@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from outletlens.llm import mixing, sharding
+from outletlens.llm import mixing, sharding, vector_dedup
 from outletlens.llm.common import table
 
 
@@ -15,6 +15,28 @@ def op9_fair_mix(spark, d):
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op4_lpt_shards, op9_fair_mix)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op8_itq_vectors(spark, d):
+    return vector_dedup.link_vectors(table(spark, d, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op4_lpt_shards, op8_itq_vectors, op9_fair_mix)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_itq_vectors": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (
+  SELECT r, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (
+  SELECT a.r AS x, b.r AS y, b.vec_id AS yid FROM u a JOIN u b ON a.r <> b.r AND a.n > 0 AND b.n > 0
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+walk(r, id) AS (
+  SELECT r, vec_id FROM v
+  UNION
+  SELECT l.x, w.id FROM walk w JOIN l ON l.y = w.r),
+least_id AS (SELECT r, min(id) AS component_id FROM walk GROUP BY r)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.x = v.r) AS n_links, m.component_id,
+       v.vec_id = m.component_id AS kept
+FROM v JOIN least_id m USING (r)""",
+}
