@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from outletlens.llm import mixing, sharding, vector_dedup
+from outletlens.llm import mixing, sharding, substring_dedup, vector_dedup
 from outletlens.llm.common import table
 
 
+def op3_super_kmers(spark, d):
+    return substring_dedup.remove_repeats(table(spark, d, "documents"), keep_text=False)
+
+
 def op4_lpt_shards(spark, d):
     return sharding.shard_documents(table(spark, d, "documents"))
 
@@ -19,9 +23,24 @@ def op8_itq_vectors(spark, d):
     return vector_dedup.link_vectors(table(spark, d, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op4_lpt_shards, op8_itq_vectors, op9_fair_mix)}
+QUERIES = {f.__name__: f for f in (op3_super_kmers, op4_lpt_shards, op8_itq_vectors, op9_fair_mix)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_super_kmers": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35),
+win AS (SELECT r, p, array_to_string(w[p:p + 34], ' ') AS t FROM starts),
+hit AS (SELECT r, p FROM win WHERE t IN (SELECT t FROM win GROUP BY t HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS i FROM hit),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (
+  SELECT words.r, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (r, i) GROUP BY words.r)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(kept.n, 0) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
     "op8_itq_vectors": """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
