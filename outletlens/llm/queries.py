@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from outletlens.llm import mixing, sharding, substring_dedup, vector_dedup
+from outletlens.llm import minhash_dedup, mixing, sharding, substring_dedup, vector_dedup
 from outletlens.llm.common import table
 
 
@@ -19,11 +19,15 @@ def op9_fair_mix(spark, d):
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_bag_minhash(spark, d):
+    return minhash_dedup.near_duplicates(table(spark, d, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op8_itq_vectors(spark, d):
     return vector_dedup.link_vectors(table(spark, d, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_super_kmers, op4_lpt_shards, op8_itq_vectors, op9_fair_mix)}
+QUERIES = {f.__name__: f for f in (op3_super_kmers, op4_lpt_shards, op7_bag_minhash, op8_itq_vectors, op9_fair_mix)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_super_kmers": r"""
