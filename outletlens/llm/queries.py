@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from outletlens.llm import minhash_dedup, mixing, sharding, substring_dedup, vector_dedup
+from outletlens.llm import minhash_dedup, mixing, quality, sharding, substring_dedup, vector_dedup
 from outletlens.llm.common import table
 
 
+def op1_pu_quality(spark, d):
+    return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op3_super_kmers(spark, d):
     return substring_dedup.remove_repeats(table(spark, d, "documents"), keep_text=False)
 
@@ -27,7 +31,7 @@ def op8_itq_vectors(spark, d):
     return vector_dedup.link_vectors(table(spark, d, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_super_kmers, op4_lpt_shards, op7_bag_minhash, op8_itq_vectors, op9_fair_mix)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op3_super_kmers, op4_lpt_shards, op7_bag_minhash, op8_itq_vectors, op9_fair_mix)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_super_kmers": r"""
