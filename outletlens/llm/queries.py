@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from outletlens.llm import minhash_dedup, mixing, quality, sharding, substring_dedup, vector_dedup
+from outletlens.llm import decontamination, minhash_dedup, mixing, quality, sharding, substring_dedup, vector_dedup
 from outletlens.llm.common import table
 
 
@@ -31,7 +31,11 @@ def op8_itq_vectors(spark, d):
     return vector_dedup.link_vectors(table(spark, d, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op3_super_kmers, op4_lpt_shards, op7_bag_minhash, op8_itq_vectors, op9_fair_mix)}
+def op10_latent_leaks(spark, d):
+    return decontamination.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op3_super_kmers, op4_lpt_shards, op7_bag_minhash, op8_itq_vectors, op9_fair_mix, op10_latent_leaks)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_super_kmers": r"""
