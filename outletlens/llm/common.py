@@ -67,29 +67,29 @@ def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
         "pid", "__i", "__start")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connected components: ``nodes(id)`` and ``edges(a, b)`` (undirected, distinct ids)
-    to ``(id, component)`` with the smallest id reachable. Alternates a hop over the
-    edges with pointer jumping until nothing changes; each round is written to the
-    shared folder, so lineage stays short. Only a count reaches the driver."""
-    pairs = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                        .distinct())
-    linked = materialise(pairs.groupBy("a").agg(F.min("b").alias("m"))
-                         .select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges(a, b)`` (undirected; written, as it is read often):
+    ``(id, component)`` with the smallest id reachable, for ids that have an edge. A round takes
+    three hops over the edges, each the least label of a node and its neighbours, and one
+    pointer jump, and is written to the shared folder, so that lineage stays short; rounds go
+    on until nothing changes. Only the test for a change reaches the driver."""
+    a, b = F.col("a"), F.col("b")
+    near = edges.select(a, b).union(edges.select(b.alias("a"), a.alias("b"))).union(
+        edges.select(a, a.alias("b"))).union(edges.select(b.alias("a"), b))
+
+    def hop(label: DataFrame) -> DataFrame:
+        return (near.join(label.select(F.col("id").alias("b"), "component"), "b")
+                .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component")))
+
+    label = near.groupBy(a.alias("id")).agg(F.min("b").alias("component"))
     while True:
-        near = (pairs.join(linked.select(F.col("id").alias("b"), "component"), "b")
-                .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m")))
-        hop = linked.join(near, "id").select(
-            "id", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        up = linked.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = materialise(hop.join(up, "component").select(
-            "id", "was", F.least("component", "up").alias("component")))
-        moved = new.filter("component <> was").limit(1).count()
-        linked = new.select("id", "component")
-        if not moved:
-            break
-    return nodes.join(linked, "id", "left").select(
-        "id", F.coalesce("component", "id").alias("component"))
+        was = label
+        new = hop(hop(label))
+        up = new.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        new = new.join(up, "component").select("id", F.col("up").alias("component"))
+        label = materialise(new)
+        if not label.join(was.withColumnRenamed("component", "was"), "id").filter("component <> was").limit(1).count():
+            return label
 
 
 # --- words of Arrow text batches, hashed without a Python loop ---------------------

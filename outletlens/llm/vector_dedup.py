@@ -102,8 +102,9 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 4, radi
                         .filter(dot / (F.col("nx") * F.col("ny")) >= cosine).select("x", "y", "cx", "cy"))
     degree = (links.select(F.col("x").alias("rid"), F.col("cy").alias("c"))
               .union(links.select("y", "cx")).groupBy("rid").agg(F.sum("c").alias("others")))
-    comp = components(reps.select(F.col("rid").alias("id")), links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    info = reps.join(comp.withColumnRenamed("id", "rid"), "rid").join(degree, "rid", "left")
+    comp = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("id", "rid")
+    info = (reps.join(comp, "rid", "left").join(degree, "rid", "left")
+            .withColumn("component", F.coalesce("component", "rid")))
     least = info.groupBy("component").agg(F.min("least").alias("component_id"))
     info = info.join(least, "component").select(
         F.col("vec").alias("v2"), "component_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
