@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from outletlens.llm import decontamination, minhash_dedup, mixing, quality, sharding, substring_dedup, vector_dedup
+from pyspark.sql import functions as F
+
+from outletlens.llm import decontamination, line_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, vector_dedup
 from outletlens.llm.common import table
 
 
@@ -23,6 +25,11 @@ def op9_fair_mix(spark, d):
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_edit_join_lines(spark, d):
+    return line_dedup.repeated_lines(table(spark, d, "documents")).drop("tkey").withColumn(
+        "removed", F.concat_ws(",", "removed"))
+
+
 def op7_bag_minhash(spark, d):
     return minhash_dedup.near_duplicates(table(spark, d, "documents")).select("doc_id", "class_id", "kept")
 
@@ -35,7 +42,7 @@ def op10_latent_leaks(spark, d):
     return decontamination.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op3_super_kmers, op4_lpt_shards, op7_bag_minhash, op8_itq_vectors, op9_fair_mix, op10_latent_leaks)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op3_super_kmers, op4_lpt_shards, op6_edit_join_lines, op7_bag_minhash, op8_itq_vectors, op9_fair_mix, op10_latent_leaks)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_super_kmers": r"""
