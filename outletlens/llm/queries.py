@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from outletlens.llm import decontamination, line_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, vector_dedup
+from outletlens.llm import decontamination, licenses, line_dedup, minhash_dedup, mixing, quality, secrets, sharding, substring_dedup, vector_dedup
 from outletlens.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_pu_quality(spark, d):
     return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op2_license_paragraphs(spark, d):
+    return licenses.find_licenses(table(spark, d, "documents"))
+
+
 def op3_super_kmers(spark, d):
     return substring_dedup.remove_repeats(table(spark, d, "documents"), keep_text=False)
 
@@ -25,6 +29,10 @@ def op9_fair_mix(spark, d):
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_forest_secrets(spark, d):
+    return secrets.find_secrets(table(spark, d, "documents"))
+
+
 def op6_edit_join_lines(spark, d):
     return line_dedup.repeated_lines(table(spark, d, "documents")).drop("tkey").withColumn(
         "removed", F.concat_ws(",", "removed"))
@@ -42,7 +50,7 @@ def op10_latent_leaks(spark, d):
     return decontamination.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op3_super_kmers, op4_lpt_shards, op6_edit_join_lines, op7_bag_minhash, op8_itq_vectors, op9_fair_mix, op10_latent_leaks)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_license_paragraphs, op3_super_kmers, op4_lpt_shards, op5_forest_secrets, op6_edit_join_lines, op7_bag_minhash, op8_itq_vectors, op9_fair_mix, op10_latent_leaks)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_super_kmers": r"""
