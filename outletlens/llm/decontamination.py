@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import span_hashes, spans
+from outletlens.llm.common import materialise, span_hashes, spans
 from outletlens.llm.substring_dedup import pieces
 
 # words: letters, digits and bytes beyond ASCII; ASCII letters in lower case
@@ -289,3 +289,12 @@ def _block_leaks(spark: SparkSession, docs, block, item_type, kinds, rank, cosin
     # one row per item of the block
     named = F.broadcast(spark.createDataFrame(names, f"at int, item_id {item_type}"))
     return found.join(named, "at").select(*kinds, "item_id", "cosine", "overlap", "answer")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found."""
+    key = F.struct("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tkey"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", key.alias("key"))
+    leaks = find_leaks(keyed.select("text", "key"), benchmark, keep=("key",), **params)
+    found = materialise(leaks.select(F.col("key").alias("leaked")).distinct())
+    return keyed.join(found, F.col("key").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")
