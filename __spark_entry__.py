@@ -40,8 +40,13 @@ P2 = Params("2024-01-05T06:00:00.000Z", "2024-01-12T12:00:00.000Z", 10, 50, 1000
             "click|purchase")
 P1_LIMITED = P1.with_(limit=500)
 EMPTY = Params()  # the reference's default window (2018): no fixture data in it
+# a limit that falls among many events of one source count
 FX2 = Params("1995-03-01T00:00:00.000Z", "1998-03-01T00:00:00.000Z", 1, 0, None, "")
 
+# dataset names may hold any character a file name may
+FIRST, SECOND = "p1_5th_->_12th", "p 2 +50%"
+
+FX2_TIES = FX2.with_(limit=500)
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -148,7 +153,7 @@ def q_ex_best_mentions(spark, d):
 
 def _two_datasets(spark, d):
     """Two saved datasets (P1, P2) for the keyed batch plan."""
-    return {"p1": _flat(spark, d, P1), "p2": _flat(spark, d, P2)}
+    return {FIRST: _flat(spark, d, P1), SECOND: _flat(spark, d, P2)}
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -185,7 +190,11 @@ def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graph_edges_p2": lambda s, d: q_graph_edges(s, d, P2),
         "graph_totals": q_graph_totals,
         "graph_nodes": q_graph_nodes,
-        "graph_edges_nested": lambda s, d: graph.edges_nested(q_graph_edges(s, d)),
+        # nested documents, taken apart again
+        "graph_edges_nested": lambda s, d: graph.edges_nested(q_graph_edges(s, d)).select(
+            "source1", F.explode("targets").alias("source2", "t")).select("source1", "source2", "t.*"),
+        "graph_nodes_nested": lambda s, d: graph.nodes_nested(q_graph_nodes(s, d)).select(
+            F.explode("nodes").alias("mentionSourceName", "n")).select("mentionSourceName", "n.*"),
         # stacked series
         "stacked_hour_dedup": lambda s, d: _dedup(s, d),
         "stacked_dates": lambda s, d: stacked.dates(_dedup(s, d)),
@@ -199,16 +208,21 @@ def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stacked_streamgraph_wide": lambda s, d: q_stacked_streamgraph(s, d, wide=True),
         "stacked_drilldown": q_stacked_drilldown,
         "stacked_drilldown_p2": lambda s, d: q_stacked_drilldown(s, d, P2),
-        "stacked_drilldown_nested": lambda s, d: q_stacked_drilldown(s, d, nested=True),
+        "stacked_drilldown_nested": lambda s, d: q_stacked_drilldown(s, d, nested=True).select(
+            "mentionSourceName", F.inline("records")),
+        "stacked_streamgraph_nested": lambda s, d: stacked.streamgraph_nested(q_stacked_streamgraph(s, d)).select(
+            "mentionInterval", F.explode("outlets").alias("mentionSourceName", "numOtherSources")),
         # example task
         "ex_best_events": lambda s, d: example.best_events(_prep(s, d).events),
         "ex_best_mentions": q_ex_best_mentions,
         # volume fixture (many small events)
         "fx2_sel_flat": lambda s, d: _flat(s, d, FX2, "fx2"),
+        "fx2_sel_flat_limited": lambda s, d: _flat(s, d, FX2_TIES, "fx2"),
         "fx2_graph_edges": lambda s, d: q_graph_edges(s, d, FX2, "fx2"),
         "fx2_graph_nodes": lambda s, d: graph.nodes(_graph_stage(s, d, FX2, "fx2")[2]),
         # skew fixture: a third of all mentions on one event
         "hot_sel_flat": lambda s, d: _flat(s, d, P1, "fx3"),
+        "hot_sel_flat_p2": lambda s, d: _flat(s, d, P2, "fx3"),
         "hot_graph_edges": lambda s, d: q_graph_edges(s, d, P1, "fx3"),
         "hot_stacked_drilldown": lambda s, d: q_stacked_drilldown(s, d, P1, fixture="fx3"),
         # plumbing
@@ -219,15 +233,20 @@ def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                                                   "stackedGraph", "drilldown"),
         "batch_stacked_streamgraph": lambda s, d: PL.batch_datasets(s, _two_datasets(s, d),
                                                                     "stackedGraph", "streamgraph"),
-        "io_csv_roundtrip": lambda s, d: PL.csv_roundtrip(s, _flat(s, d, P1)),
+        "io_csv_roundtrip": lambda s, d: PL.csv_roundtrip(s, _flat(s, d, P1).withColumn(
+            "mentionIdentifier", F.concat(F.lit("  "), "mentionIdentifier", F.lit('a"b,c\nd \\ ')))),
         "io_json_roundtrip": lambda s, d: PL.json_roundtrip(s, q_stacked_drilldown(s, d)),
+        "io_json_nested": lambda s, d: PL.nested_json_roundtrip(s, q_stacked_drilldown(s, d, nested=True)),
         "cache_hit": lambda s, d: PL.cache_hit(s, _tables(s, d), P1, f"fx1:{d}"),
+        # other tables under the name of cached ones: served from the cache, unless refreshed
+        "cache_served": lambda s, d: PL.cache_hit(s, _tables(s, d), P1, "same name", _tables(s, d, "fx3")),
+        "cache_refreshed": lambda s, d: PL.cache_hit(s, _tables(s, d), P1, "same name", _tables(s, d, "fx3"), refresh=True),
     }
 
 
 def _core_oracle_sql() -> dict[str, str]:
     W = O.with_ctes
-    ids = "SELECT GLOBALEVENTID FROM ids"
+    bodies = O.event_bodies(P1)
     flat_cols = "SELECT * FROM flat"
     tone_cols = ("SELECT eventId, mentionSourceName, CAST(cents AS DOUBLE) / 100 AS avgTone, "
                  "mentionIdentifier FROM {}")
@@ -238,23 +257,25 @@ def _core_oracle_sql() -> dict[str, str]:
     nodes = ("SELECT mentionSourceName, count(*) AS mentionnedEventsCount, "
              "CAST(CAST(round_even(avg(cents), 0) AS BIGINT) AS DOUBLE) / 100 AS avgTone "
              "FROM filt GROUP BY mentionSourceName")
+    documents = ("SELECT mentionSourceName, strftime(mentionInterval, '%Y-%m-%dT%H:%M:%SZ') AS mentionInterval, "
+                 '"true", "false" FROM dd')
     streamgraph = "SELECT mentionInterval, mentionSourceName, numOtherSources FROM sg_long"
 
     def batch(body: str, **kw) -> str:
-        return ("SELECT * FROM (" + W(P1, f"SELECT 'p1' AS dataset, * FROM ({body})", **kw)
+        return ("SELECT * FROM (" + W(P1, f"SELECT '{FIRST}' AS dataset, * FROM ({body})", **kw)
                 + ")\nUNION ALL\nSELECT * FROM ("
-                + W(P2, f"SELECT 'p2' AS dataset, * FROM ({body})", **kw) + ")")
+                + W(P2, f"SELECT '{SECOND}' AS dataset, * FROM ({body})", **kw) + ")")
     return {
-        "sel_event_ids": W(P1, ids),
-        "sel_events_semi": W(P1, "SELECT * FROM ev"),
-        "sel_best_events": W(P1, "SELECT * FROM best"),
-        "sel_mentions_of_best": W(P1, "SELECT * FROM msel"),
+        "sel_event_ids": W(P1, bodies["ids"]),
+        "sel_events_semi": W(P1, bodies["events"]),
+        "sel_best_events": W(P1, bodies["best"]),
+        "sel_mentions_of_best": W(P1, bodies["mentions"]),
         "sel_flat": W(P1, flat_cols),
         "sel_flat_p2": W(P2, flat_cols),
         "sel_flat_limited": W(P1_LIMITED, flat_cols),
         "sel_flat_restrict": W(P1, flat_cols),
         "sel_flat_p2_fold": W(P2, flat_cols),
-        "sel_event_ids_p2": W(P2, ids),
+        "sel_event_ids_p2": W(P2, O.event_bodies(P2)["ids"]),
         "sel_empty_guard": (
             W(P1, "SELECT 'P1' AS param_set, NOT EXISTS (SELECT 1 FROM flat) AS empty")
             + "\nUNION ALL\n"
@@ -268,6 +289,8 @@ def _core_oracle_sql() -> dict[str, str]:
         "graph_edge_events": W(P1, edge_events, graph=True),
         "graph_edges": W(P1, edges, graph=True),
         "graph_edges_p2": W(P2, edges, graph=True),
+        "graph_edges_nested": W(P1, edges, graph=True),
+        "graph_nodes_nested": W(P1, nodes, graph=True),
         "graph_totals": W(P1, "SELECT max(meanToneDist) AS maxToneDist, "
                               "max(eventsSharedCount) AS maxSharedEventsCount FROM edges", graph=True),
         "graph_nodes": W(P1, nodes, graph=True),
@@ -284,25 +307,32 @@ def _core_oracle_sql() -> dict[str, str]:
         "stacked_streamgraph_long": W(P1, streamgraph, stacked=True),
         "stacked_streamgraph_wide": W(P1, O.wide_body(), stacked=True),
         "stacked_drilldown": W(P1, drilldown, stacked=True),
+        "stacked_drilldown_nested": W(P1, drilldown, stacked=True),
+        "stacked_streamgraph_nested": W(P1, streamgraph, stacked=True),
         "stacked_drilldown_p2": W(P2, drilldown, stacked=True),
         "ex_best_events": W(P1, "SELECT * FROM prep_ev ORDER BY eventSourceCount DESC NULLS LAST, "
                                 "eventId LIMIT 10", prep=True),
         "ex_best_mentions": W(P1, "SELECT * FROM prep_m WHERE eventId IN (SELECT eventId FROM prep_ev "
                                   "ORDER BY eventSourceCount DESC NULLS LAST, eventId LIMIT 10)", prep=True),
         "fx2_sel_flat": W(FX2, flat_cols, fixture="fx2"),
+        "fx2_sel_flat_limited": W(FX2_TIES, flat_cols, fixture="fx2"),
         "fx2_graph_edges": W(FX2, edges, fixture="fx2", graph=True),
         "fx2_graph_nodes": W(FX2, nodes, fixture="fx2", graph=True),
         "hot_sel_flat": W(P1, flat_cols, fixture="fx3"),
+        "hot_sel_flat_p2": W(P2, flat_cols, fixture="fx3"),
         "hot_graph_edges": W(P1, edges, fixture="fx3", graph=True),
         "hot_stacked_drilldown": W(P1, drilldown, fixture="fx3", stacked=True),
         "batch_datasets": batch(edges, graph=True),
         "batch_graph_nodes": batch(nodes, graph=True),
         "batch_stacked_drilldown": batch(drilldown, stacked=True),
         "batch_stacked_streamgraph": batch(streamgraph, stacked=True),
-        "io_csv_roundtrip": W(P1, flat_cols),
-        "io_json_roundtrip": W(P1, 'SELECT mentionSourceName, strftime(mentionInterval, \'%Y-%m-%dT%H:%M:%SZ\') '
-                                   'AS mentionInterval, "true", "false" FROM dd', stacked=True),
+        "io_csv_roundtrip": W(P1, "SELECT * REPLACE ('  ' || mentionIdentifier || 'a\"b,c' || chr(10) || 'd \\ ' "
+                                  "AS mentionIdentifier) FROM flat"),
+        "io_json_roundtrip": W(P1, documents, stacked=True),
+        "io_json_nested": W(P1, documents, stacked=True),
         "cache_hit": W(P1, edges, graph=True),
+        "cache_served": W(P1, edges, graph=True),
+        "cache_refreshed": W(P1, edges, fixture="fx3", graph=True),
         "task_registry": W(P1, """
 SELECT 'graph' AS task, 'edges' AS part, count(*) AS "rows" FROM edges
 UNION ALL SELECT 'graph', 'edge_events', count(*) FROM pairs
@@ -314,6 +344,7 @@ UNION ALL SELECT 'stackedGraph', 'dates', count(DISTINCT roundedMentionDate) FRO
 UNION ALL SELECT 'stackedGraph', 'dom_outlets', count(*) FROM dom
 UNION ALL SELECT 'stackedGraph', 'streamgraph', count(*) FROM sg_long
 UNION ALL SELECT 'stackedGraph', 'streamgraph_wide', count(DISTINCT mentionInterval) FROM sg_long
+UNION ALL SELECT 'stackedGraph', 'streamgraph_nested', count(DISTINCT mentionInterval) FROM sg_long
 UNION ALL SELECT 'stackedGraph', 'drilldown', count(*) FROM dd
 UNION ALL SELECT 'stackedGraph', 'drilldown_nested', count(DISTINCT mentionSourceName) FROM dd
 UNION ALL SELECT 'ExampleTask', 'best_events', least(10, count(*)) FROM prep_ev

@@ -42,7 +42,7 @@ def main(argv=None) -> int:
     sub = ap.add_subparsers(dest="cmd", required=True)
     r = sub.add_parser("run")
     _add_params(r)
-    r.add_argument("--cache", required=True)
+    r.add_argument("--cache", default=None, help="folder of cached results; none: no cache")
     r.add_argument("--refresh", action="store_true")
     c = sub.add_parser("create-dataset")
     _add_params(c)
@@ -70,7 +70,7 @@ def main(argv=None) -> int:
         tables = SourceTables(read_mentions(spark, a.mentions), read_events(spark, a.events))
         if a.cmd == "run":
             from outletlens.plans.pipeline import run_pipeline
-            res = run_pipeline(spark, tables, _params(a), a.cache, source=a.mentions,
+            res = run_pipeline(spark, tables, _params(a), a.cache, source=json.dumps([a.mentions, a.events]),
                                refresh=a.refresh)
             print(json.dumps({"empty": True} if "empty" in res else
                              {t: sorted(parts) for t, parts in res.items()}))

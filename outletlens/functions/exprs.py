@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # --- fixed values -------------------------------------------------------------
 INT_DATE_PATTERN = "yyyyMMddHHmmss"          # integer dates of the source tables
-SPACE_Z_PATTERN = "yyyy-MM-dd HH:mm:ss'Z'"    # hour labels of the stacked series
-ISO_Z_PATTERN = "yyyy-MM-dd'T'HH:mm:ss'Z'"    # timestamps in JSON documents
 # ------------------------------------------------------------------------------
 
 
@@ -24,22 +22,33 @@ def int_date_to_ts(col) -> Column:
 
 def ts_to_int_date(col) -> Column:
     """timestamp -> ``yyyyMMddHHmmss`` bigint (fraction dropped)."""
-    return F.date_format(_c(col), INT_DATE_PATTERN).cast("long")
+    return F.translate(_seconds(col), "-: ", "").cast("long")
+
+
+def _seconds(col) -> Column:
+    """``2024-01-05 06:15:00``: a naive timestamp as text. Unlike date_trunc and date_format,
+    the cast of a timestamp_ntz does not pass through the session's time zone, in
+    which hours around a clock change do not exist or come twice."""
+    return F.substring(_c(col).cast("string"), 1, 19)
 
 
 def floor_time(col, unit: str = "HOUR") -> Column:
-    """Floor to ``unit`` and stay timestamp_ntz (date_trunc returns timestamp)."""
-    return F.date_trunc(unit, _c(col)).cast("timestamp_ntz")
+    """Floor to ``unit`` (SECOND up to YEAR) and stay timestamp_ntz."""
+    kept = {"SECOND": 19, "MINUTE": 16, "HOUR": 13}.get(unit.upper())
+    if kept is None:
+        return F.trunc(_c(col).cast("date"), unit).cast("timestamp_ntz") if unit.upper() != "DAY" else \
+            _c(col).cast("date").cast("timestamp_ntz")
+    return F.concat(F.substring(_seconds(col), 1, kept), F.lit(":00:00"[:19 - kept])).cast("timestamp_ntz")
 
 
 def space_z_label(col) -> Column:
     """``2024-01-05 06:00:00Z``: the hour labels of the stacked series."""
-    return F.date_format(_c(col), SPACE_Z_PATTERN)
+    return F.concat(_seconds(col), F.lit("Z"))
 
 
 def iso_z_label(col) -> Column:
     """``2024-01-05T06:00:00Z``: timestamps inside JSON documents."""
-    return F.date_format(_c(col), ISO_Z_PATTERN)
+    return F.concat(F.replace(_seconds(col), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def nan_to_null(col) -> Column:

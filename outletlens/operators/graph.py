@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from outletlens.functions.exprs import cents_to_double, to_cents
 from outletlens.functions.keyed import first_non_null, top_k
 from outletlens.params import GRAPH_TOP_OUTLETS
+from outletlens.session import materialise
 
 SRC = "mentionSourceName"
 
@@ -124,26 +125,14 @@ def nodes_nested(nds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return nds.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("nodes"))
 
 
-def graph(mentions: DataFrame, keys: Sequence[str] = (), n: int = GRAPH_TOP_OUTLETS,
-          persist_tone: bool = False, colocate_events: bool = False) -> dict[str, DataFrame]:
+def graph(mentions: DataFrame, keys: Sequence[str] = (), n: int = GRAPH_TOP_OUTLETS) -> dict[str, DataFrame]:
     """All graph parts from the mentions of one (or, with keys, many) datasets.
 
-    ``outlet_tone`` feeds the top list, the filter and the nodes; Catalyst
-    pushes the top-n semi-join below its aggregate, so without ``persist_tone``
-    the aggregate is planned twice per consumer.
-
-    ``colocate_events`` hash-partitions the mentions by event first, so the
-    per-(event, outlet) aggregate and the self-join share that one exchange.
-    It ships raw rows (no map-side combine) and puts each event in one task, so
-    it only pays when an outlet mentions an event about once and no event is
-    hot; the default plan combines map-side and is safe under skew."""
-    if colocate_events:
-        mentions = mentions.repartition(*keys, "eventId")
-    tone = outlet_tone(mentions, keys)
-    if persist_tone:
-        tone = tone.persist()
-    top = top_sources(tone, keys, n)
-    filt = filtered(tone, top, keys)
+    ``outlet_tone`` feeds the top list and the filter, and what the filter leaves (at most n
+    rows an event) feeds every part: each is written once, in two jobs while the plan is
+    built, so that no part scans the mentions again."""
+    tone = materialise(outlet_tone(mentions, keys))
+    filt = materialise(filtered(tone, top_sources(tone, keys, n), keys))
     pr = pairs(filt, keys)
     edg = edges(pr, keys)
     nds = nodes(filt, keys)

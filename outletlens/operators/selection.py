@@ -33,12 +33,6 @@ from outletlens.sources.tables import FLAT_COLUMNS, PART_COL
 
 ID = "GLOBALEVENTID"
 
-# Largest id list broadcast by the ``restrict`` plan (bigint ids: a few tens of
-# MB as a hashed relation). The list is counted first; beyond this bound the
-# folded plan is used instead.
-BROADCAST_IDS_MAX = 1_000_000
-
-
 
 def flat_order() -> list[Column]:
     """Total order of the flat rows for the limit (reference: eventSourceCount
@@ -88,22 +82,29 @@ def confident_mentions(mentions: DataFrame, p: Params) -> DataFrame:
                     "MentionDocTone"))
 
 
-def best_events(confident: DataFrame, p: Params, with_rows: bool = False) -> DataFrame:
+def per_source_events(confident: DataFrame, p: Params) -> DataFrame:
+    """Per (event, source): tone sum and count, and the mentions inside the mention-time range
+    (``_rows_src``: their rows in the flat result). The map-side combine takes a hot event to
+    one row per source and map task."""
+    in_range = F.col("MentionTimeDate").between(p.begin_int, p.end_int)
+    return (confident.groupBy(ID, "MentionSourceName")
+            .agg(F.sum("MentionDocTone").alias("_tone_sum"), F.count("MentionDocTone").alias("_tone_n"),
+                 F.count(F.when(in_range, F.lit(1))).alias("_rows_src")))
+
+
+def best_events(confident: DataFrame, p: Params, with_rows: bool = False, ids: DataFrame | None = None) -> DataFrame:
     """Per event: distinct (non-null) sources and mean tone; keep events with at
     least ``minimum_distinct_source_count`` sources.
 
-    Two grouping levels instead of COUNT(DISTINCT): (event, source) first, with a
-    map-side combine, so a hot event reaches the event-level step as at most one
-    row per source and map task. ``with_rows`` also counts the event's mentions
-    inside the mention-time range (``_rows``: its rows in the flat result), in
-    the same aggregation."""
-    in_range = F.col("MentionTimeDate").between(p.begin_int, p.end_int)
-    extra = [F.count(F.when(in_range, F.lit(1))).alias("_rows_src")] if with_rows else []
-    per_source = (confident.groupBy(ID, "MentionSourceName")
-                  .agg(F.sum("MentionDocTone").alias("_tone_sum"),
-                       F.count("MentionDocTone").alias("_tone_n"), *extra))
+    Two grouping levels instead of COUNT(DISTINCT): (event, source) first, then the event; in
+    between, ``ids`` (if given) restricts the events by a semi-join, whose side Spark broadcasts
+    or not by its own threshold. ``with_rows`` also gives the event's rows in the flat result
+    (``_rows``), from the same aggregation."""
+    rows = per_source_events(confident, p)
+    if ids is not None:
+        rows = rows.join(ids, ID, "left_semi")
     extra = [F.sum("_rows_src").alias("_rows")] if with_rows else []
-    return (per_source.groupBy(ID)
+    return (rows.groupBy(ID)
             .agg(F.count("MentionSourceName").alias("distinctSourceCount"),
                  (F.sum("_tone_sum") / F.sum("_tone_n")).alias("avgDocTone"), *extra)
             .where(F.col("distinctSourceCount") >= p.minimum_distinct_source_count))
@@ -124,16 +125,17 @@ def best_events_folded(mentions: DataFrame, p: Params, with_rows: bool = False)
     in_range = F.col("MentionTimeDate").between(p.begin_int, p.end_int)
     tone = F.col("MentionDocTone")
     extra = [F.count(F.when(conf & in_range, F.lit(1))).alias("_rows_src")] if with_rows else []
+    # rows below the confidence floor only feed the flag: they meet in one row an event
+    source = F.when(conf, F.col("MentionSourceName")).alias("MentionSourceName")
     per_source = (mentions.where(partition_window(p))
-                  .groupBy(ID, "MentionSourceName")
+                  .groupBy(ID, source)
                   .agg(F.sum(F.when(conf, tone)).alias("_tone_sum"),
                        F.count(F.when(conf, tone)).alias("_tone_n"),
                        F.max(conf).alias("_conf"),
                        F.max(chosen).alias("_chosen"), *extra))
     extra = [F.sum("_rows_src").alias("_rows")] if with_rows else []
     per_event = (per_source.groupBy(ID)
-                 .agg(F.count(F.when(F.col("_conf"), F.col("MentionSourceName")))
-                      .alias("distinctSourceCount"),
+                 .agg(F.count("MentionSourceName").alias("distinctSourceCount"),
                       (F.sum("_tone_sum") / F.sum("_tone_n")).alias("avgDocTone"),
                       F.max("_conf").alias("_any_conf"),
                       F.max("_chosen").alias("_any_chosen"), *extra))
@@ -145,22 +147,19 @@ def best_events_folded(mentions: DataFrame, p: Params, with_rows: bool = False)
 def cut_at_limit(per_event: DataFrame, limit: int) -> DataFrame:
     """Per-event rows whose mentions can be among the first ``limit`` flat rows.
 
-    Flat rows are ordered by ``eventSourceCount`` (= distinctSourceCount) first,
-    so the ``limit``-th row has the largest source count ``c`` whose events hold
-    at least ``limit`` rows with counts >= ``c``; events below ``c`` cannot
-    contribute. The per-event row counts (``_rows``) come with the aggregation
-    (no extra pass); ``per_event`` is already materialised, as it feeds both the
-    histogram and the join. The histogram has one row per distinct source count
-    (at most the number of outlets), so its running sum is a tiny
-    single-partition window. Exact: the final ordering and limit still run on
-    what is left."""
-    kept = per_event
-    hist = kept.groupBy("distinctSourceCount").agg(F.sum("_rows").alias("_n"))
-    w = (Window.orderBy(F.col("distinctSourceCount").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = (hist.select("distinctSourceCount", F.sum("_n").over(w).alias("_cum"))
-           .where(F.col("_cum") >= limit).agg(F.max("distinctSourceCount")).scalar())
-    return kept.where(cut.isNull() | (F.col("distinctSourceCount") >= cut)).drop("_rows")
+    Flat rows are ordered by ``eventSourceCount`` (= distinctSourceCount) and then by event, so
+    whole events fill the limit in that order until the next one starts beyond it. An event
+    that counts has at least one row, so the first ``limit`` of them are enough to look at: that
+    bounds the top-k and its running sum. The cut is the last event that starts within the limit;
+    ties of the source count are cut as well, rows of one repeated event id stay together. Exact:
+    the final ordering and limit still run on what is left."""
+    rank = F.struct((-F.col("distinctSourceCount")).alias("c"), F.col(ID).alias("id"))
+    events = (per_event.where(F.col("_rows") > 0).groupBy(rank.alias("rank")).agg(F.sum("_rows").alias("_n"))
+              .orderBy("rank").limit(limit))
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    last = (events.select("rank", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+            .where(F.col("_before") < limit).agg(F.max("rank")).scalar())
+    return per_event.where((F.col("_rows") > 0) & (rank <= last)).drop("_rows")
 
 
 def mentions_of_best(confident: DataFrame, best: DataFrame, p: Params) -> DataFrame:
@@ -196,8 +195,7 @@ def apply_limit(flat: DataFrame, limit: int | None) -> DataFrame:
     return flat.orderBy(*flat_order()).limit(limit).select(*FLAT_COLUMNS)
 
 
-def select_flat(tables: SourceTables, p: Params, strategy: str = "auto",
-                broadcast_ids_max: int = BROADCAST_IDS_MAX) -> DataFrame:
+def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> DataFrame:
     """The whole selection: flat rows of the best events of the window.
 
     Two equivalent plans for the per-event aggregates:
@@ -206,17 +204,15 @@ def select_flat(tables: SourceTables, p: Params, strategy: str = "auto",
       (``best_events_folded``): the window's mentions are scanned twice in all
       (aggregation, payload), with no id shuffle; the first shuffle carries
       map-side combined (event, source) rows, so a hot event is harmless.
-    * ``"restrict"``: the id search runs first; its distinct ids are written
-      once and counted, and when there are at most ``broadcast_ids_max`` of
-      them they are broadcast, so the confident mentions are filtered
-      map-side before the aggregation (a selective regex drops most rows before
-      any shuffle). A larger id list is not broadcast: the plan falls back to
-      ``fold``.
+    * ``"restrict"``: the id search runs first and its distinct ids are written once; they
+      restrict the (event, source) rows and the events by left semi-joins. The written size
+      lets Spark decide on a broadcast by its own threshold.
 
-    ``"auto"`` tries ``restrict`` with a regex and uses ``fold`` without one.
+    ``"auto"`` takes ``restrict`` with a regex, which scans the URLs anyway and usually leaves few
+    ids, and ``fold`` without one.
 
     The two one-row-per-event tables (aggregates, attributes) are joined first
-    and written once as a table in the shared folder (one small job while the
+    and written once as a table in the shared folder (a small job while the
     plan is built), so the mentions take part in a single join on the event id
     whose other side has a known size: Spark broadcasts it when it is under the
     broadcast threshold (the mentions are then never shuffled), otherwise it
@@ -230,23 +226,16 @@ def select_flat(tables: SourceTables, p: Params, strategy: str = "auto",
         raise ValueError(f"unknown strategy {strategy!r}")
     confident = confident_mentions(tables.mentions, p)
     with_rows = p.limit is not None
-    ids = None
     if strategy == "restrict":
-        # map-side partial distinct, then one small table of ids with a count
         ids = materialise(distinct_event_ids(tables.mentions, p), how="table")
-        if ids.count() > broadcast_ids_max:
-            ids = None                                     # too many to broadcast: fold
-    if ids is None:
+        events = events_in_window(tables.events, ids, p)
+        best = best_events(confident, p, with_rows, ids)
+    else:
         events = (tables.events.where(partition_window(p))
                   .select(ID, "DATEADDED", "Actor1Name", "Actor2Name", "GoldsteinScale"))
         best = best_events_folded(tables.mentions, p, with_rows)
-    else:
-        small = F.broadcast(ids)                           # counted: <= broadcast_ids_max rows
-        events = events_in_window(tables.events, small, p)
-        confident = confident.join(small, ID, "left_semi")
-        best = best_events(confident, p, with_rows)
     per_event = materialise(best.join(events, ID), how="table")
-    if with_rows:
+    if p.limit:
         per_event = cut_at_limit(per_event, p.limit)
     in_range = confident.where(F.col("MentionTimeDate").between(p.begin_int, p.end_int))
     return apply_limit(project_flat(in_range.join(per_event, ID)), p.limit)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from outletlens.functions.exprs import floor_time, positive_tone, short_outlet, space_z_label
 from outletlens.functions.keyed import first_non_null, group_scalar_filter, top_k
 from outletlens.params import STACKED_TIME_UNIT, STACKED_TOP_OUTLETS
+from outletlens.session import materialise
 
 SRC = "mentionSourceName"
 HOUR = "roundedMentionDate"
@@ -138,26 +139,33 @@ def dom_outlets(dedup: DataFrame, keys: Sequence[str] = (),
                  rank_col="outlet_rank")
 
 
+def ranked_counts(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
+                  exact_disagreement: bool = False) -> DataFrame:
+    """``co_outlet_counts`` of the top outlets, with their rank (broadcast join: at most n
+    rows per key)."""
+    return co_outlet_counts(dedup, keys, exact_disagreement).join(
+        F.broadcast(dom.select(*keys, SRC, "outlet_rank")), [*keys, SRC])
+
+
 def streamgraph_wide(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
-                     n: int = STACKED_TOP_OUTLETS) -> DataFrame:
+                     n: int = STACKED_TOP_OUTLETS, ranked: DataFrame | None = None) -> DataFrame:
     """One row per hour with at least one top outlet, columns
     ``outlet_1..outlet_n`` (rank order; names in ``dom``), zero-filled.
 
     Straight from the per-mention counts: broadcast join with the top list (at
     most n rows per key), then one aggregation by hour with one conditional sum
     per rank (a static pivot: no job to find values, one exchange)."""
-    ranked = co_outlet_counts(dedup, keys).join(
-        F.broadcast(dom.select(*keys, SRC, "outlet_rank")), [*keys, SRC])
+    ranked = ranked_counts(dedup, dom, keys) if ranked is None else ranked
     cols = [F.coalesce(F.sum(F.when(F.col("outlet_rank") == i, F.col("_all"))),
                        F.lit(0).cast("long")).alias(f"outlet_{i}") for i in range(1, n + 1)]
     return ranked.groupBy(*keys, F.col(HOUR).alias("mentionInterval")).agg(*cols)
 
 
 def streamgraph_long(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
-                     n: int = STACKED_TOP_OUTLETS) -> DataFrame:
+                     n: int = STACKED_TOP_OUTLETS, ranked: DataFrame | None = None) -> DataFrame:
     """(keys, mentionInterval, outlet, numOtherSources): the wide table unpivoted,
     so every (hour, top outlet) cell exists (zero-filled) without a cross join."""
-    wide = streamgraph_wide(dedup, dom, keys, n)
+    wide = streamgraph_wide(dedup, dom, keys, n, ranked)
     long = wide.unpivot([*keys, "mentionInterval"], [f"outlet_{i}" for i in range(1, n + 1)],
                         "_slot", "numOtherSources")
     long = long.withColumn("outlet_rank", F.substring_index("_slot", "_", -1).cast("int"))
@@ -165,14 +173,20 @@ def streamgraph_long(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
             .select(*keys, "mentionInterval", SRC, "numOtherSources"))
 
 
+def streamgraph_nested(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Document form: per hour ``outlets: map<outlet name, numOtherSources>`` (at most n
+    entries), the names being those of the top outlets."""
+    entry = F.struct(F.col(SRC), F.col("numOtherSources"))
+    return long.groupBy(*keys, "mentionInterval").agg(F.map_from_entries(F.collect_list(entry)).alias("outlets"))
+
+
 def drilldown(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
-              exact_disagreement: bool = False) -> DataFrame:
+              exact_disagreement: bool = False, ranked: DataFrame | None = None) -> DataFrame:
     """(keys, outlet, mentionInterval) -> ``true``/``false`` degrees of the top
     outlets, zero-filled, always both columns; one aggregation over the
     per-mention counts (``false`` sums only events where the other class
     exists)."""
-    rows = co_outlet_counts(dedup, keys, exact_disagreement).join(
-        F.broadcast(dom.select(*keys, SRC)), [*keys, SRC], "left_semi")
+    rows = ranked_counts(dedup, dom, keys, exact_disagreement) if ranked is None else ranked
     zero = F.lit(0).cast("long")
     return (rows.groupBy(*keys, SRC, F.col(HOUR).alias("mentionInterval"))
             .agg(F.coalesce(F.sum("_same"), zero).alias("true"),
@@ -190,16 +204,20 @@ def drilldown_nested(dd: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def stacked(full: DataFrame, keys: Sequence[str] = (), unit: str = STACKED_TIME_UNIT,
             n: int = STACKED_TOP_OUTLETS, short_name: bool = True,
             exact_disagreement: bool = False) -> dict[str, DataFrame]:
-    """All stacked-series parts. The top list is passed explicitly (no hidden
-    state between the streamgraph and the drill-down)."""
-    dedup = hour_dedup(full, keys, unit, short_name)
-    dom = dom_outlets(dedup, keys, n)
-    dd = drilldown(dedup, dom, keys, exact_disagreement)
+    """All stacked-series parts. The deduplicated mentions, the top list and the counts of the
+    top outlets are each written once while the plan is built; every part aggregates one of
+    these."""
+    dedup = materialise(hour_dedup(full, keys, unit, short_name))
+    dom = materialise(dom_outlets(dedup, keys, n))
+    ranked = materialise(ranked_counts(dedup, dom, keys, exact_disagreement))
+    dd = drilldown(dedup, dom, keys, exact_disagreement, ranked)
+    long = streamgraph_long(dedup, dom, keys, n, ranked)
     return {
         "dates": dates(dedup, keys),
         "dom_outlets": dom,
-        "streamgraph": streamgraph_long(dedup, dom, keys, n),
-        "streamgraph_wide": streamgraph_wide(dedup, dom, keys, n),
+        "streamgraph": long,
+        "streamgraph_wide": streamgraph_wide(dedup, dom, keys, n, ranked),
+        "streamgraph_nested": streamgraph_nested(long, keys),
         "drilldown": dd,
         "drilldown_nested": drilldown_nested(dd, keys),
     }

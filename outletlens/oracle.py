@@ -93,49 +93,52 @@ def _q(text: str) -> str:
 
 
 def selection_ctes(p: Params, fixture: str = "fx1") -> str:
-    """CTEs fx_m, fx_e, ids, ev, mc, best, msel, flat (the reference's chain)."""
-    win = f"part_day >= DATE '{p.begin_day.isoformat()}' AND part_day < DATE '{p.end_day_exclusive.isoformat()}'"
-    rx = f" AND regexp_matches(MentionIdentifier, {_q(p.filter_mention_id)})" if p.filter_mention_id else ""
+    """CTEs fx_m, fx_e, seen, flat. ``seen`` has one row per event of the mentions of the partition
+    window: whether any mention makes the event a candidate, and count and mean over its
+    confident mentions; ``flat`` joins it once to mentions and events."""
+    days = f"part_day >= DATE '{p.begin_day.isoformat()}' AND part_day < DATE '{p.end_day_exclusive.isoformat()}'"
+    mdays, edays = days.replace("part_day", "m.part_day"), days.replace("part_day", "e.part_day")
+    times = f"BETWEEN {p.begin_int} AND {p.end_int}"
+    regex = f" AND regexp_matches(MentionIdentifier, {_q(p.filter_mention_id)})" if p.filter_mention_id else ""
     limit = "" if p.limit is None else f"""
   ORDER BY eventSourceCount DESC, eventId, mentionDateAdded, mentionSourceName NULLS LAST,
            mentionIdentifier NULLS LAST, mentionDocTone NULLS LAST
   LIMIT {p.limit}"""
     return FIXTURE_CTES[fixture] + f""",
-ids AS (
-  SELECT DISTINCT GLOBALEVENTID FROM fx_m
-  WHERE {win} AND EventTimeDate >= {p.begin_int} AND EventTimeDate <= {p.end_int}{rx}
-),
-ev AS (
-  SELECT GLOBALEVENTID, DATEADDED, Actor1Name, Actor2Name, GoldsteinScale FROM fx_e
-  WHERE {win} AND GLOBALEVENTID IN (SELECT GLOBALEVENTID FROM ids)
-),
-mc AS (
-  SELECT GLOBALEVENTID, MentionTimeDate, MentionSourceName, MentionIdentifier, MentionDocTone
-  FROM fx_m WHERE {win} AND Confidence >= {p.confidence}
-),
-best AS (
-  SELECT GLOBALEVENTID, count(DISTINCT MentionSourceName) AS distinctSourceCount,
-         avg(MentionDocTone) AS avgDocTone
-  FROM mc GROUP BY GLOBALEVENTID
-  HAVING count(DISTINCT MentionSourceName) >= {p.minimum_distinct_source_count}
-),
-msel AS (
-  SELECT b.GLOBALEVENTID, m.MentionTimeDate, m.MentionSourceName, m.MentionIdentifier,
-         m.MentionDocTone, b.distinctSourceCount, b.avgDocTone
-  FROM best b JOIN mc m ON b.GLOBALEVENTID = m.GLOBALEVENTID
-  WHERE m.MentionTimeDate >= {p.begin_int} AND m.MentionTimeDate <= {p.end_int}
+seen AS (
+  SELECT GLOBALEVENTID AS id, bool_or(EventTimeDate {times}{regex}) AS candidate,
+         count(DISTINCT MentionSourceName) FILTER (WHERE Confidence >= {p.confidence}) AS sources,
+         avg(MentionDocTone) FILTER (WHERE Confidence >= {p.confidence}) AS tone
+  FROM fx_m WHERE {days} GROUP BY ALL
 ),
 flat AS (
-  SELECT e.GLOBALEVENTID AS eventId, s.MentionTimeDate AS mentionDateAdded,
-         s.MentionSourceName AS mentionSourceName, s.MentionIdentifier AS mentionIdentifier,
-         s.MentionDocTone AS mentionDocTone, s.distinctSourceCount AS eventSourceCount,
-         s.avgDocTone AS eventAvgTone, e.DATEADDED AS eventDateAdded,
-         e.Actor1Name AS eventActor1, e.Actor2Name AS eventActor2,
-         e.GoldsteinScale AS eventGoldsteingScale
-  FROM msel s JOIN ev e ON s.GLOBALEVENTID = e.GLOBALEVENTID{limit}
+  SELECT id AS eventId, MentionTimeDate AS mentionDateAdded, MentionSourceName AS mentionSourceName,
+         MentionIdentifier AS mentionIdentifier, MentionDocTone AS mentionDocTone,
+         sources AS eventSourceCount, tone AS eventAvgTone, DATEADDED AS eventDateAdded,
+         Actor1Name AS eventActor1, Actor2Name AS eventActor2, GoldsteinScale AS eventGoldsteingScale
+  FROM seen, fx_m m, fx_e e
+  WHERE candidate AND sources >= {p.minimum_distinct_source_count}
+    AND m.GLOBALEVENTID = id AND {mdays} AND m.Confidence >= {p.confidence} AND MentionTimeDate {times}
+    AND e.GLOBALEVENTID = id AND {edays}{limit}
 )"""
 
 
+def event_bodies(p: Params) -> dict[str, str]:
+    """Final SELECTs over the selection CTEs for the parts before the flat table."""
+    days = f"part_day >= DATE '{p.begin_day.isoformat()}' AND part_day < DATE '{p.end_day_exclusive.isoformat()}'"
+    best = f"sources >= {p.minimum_distinct_source_count}"
+    return {
+        "ids": "SELECT id AS GLOBALEVENTID FROM seen WHERE candidate",
+        "events": f"""SELECT GLOBALEVENTID, DATEADDED, Actor1Name, Actor2Name, GoldsteinScale
+FROM fx_e SEMI JOIN (FROM seen WHERE candidate) ON id = GLOBALEVENTID WHERE {days}""",
+        "best": f"SELECT id AS GLOBALEVENTID, sources AS distinctSourceCount, tone AS avgDocTone FROM seen WHERE {best}",
+        "mentions": f"""SELECT GLOBALEVENTID, MentionTimeDate, MentionSourceName, MentionIdentifier, MentionDocTone,
+       sources AS distinctSourceCount, tone AS avgDocTone
+FROM fx_m JOIN seen ON id = GLOBALEVENTID
+WHERE {best} AND {days} AND Confidence >= {p.confidence} AND MentionTimeDate BETWEEN {p.begin_int} AND {p.end_int}""",
+    }
+
+
 PREP_CTES = """,
 full_t AS (
   SELECT eventId,

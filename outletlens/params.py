@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 from dataclasses import dataclass, replace
 
 # --- fixed values (must equal the reference's for the same results) ---------
@@ -98,17 +99,16 @@ class Params:
     def with_(self, **changes) -> "Params":
         return replace(self, **changes)
 
-    def id_text(self, source: str = "") -> str:
-        """Readable form of the full parameter set (plus the data source)."""
-        limit = "" if self.limit is None else str(self.limit)
-        return "|".join([self.date_begin, self.date_end,
-                         str(self.minimum_distinct_source_count),
-                         str(self.confidence), limit, self.filter_mention_id, source])
+    def id_text(self, source: str = "", tasks: str = "") -> str:
+        """Readable form of the full parameter set, the data source and the tasks; JSON,
+        so that no value can run into the next one."""
+        return json.dumps([self.date_begin, self.date_end, self.minimum_distinct_source_count,
+                           self.confidence, self.limit, self.filter_mention_id, source, tasks])
 
-    def query_id(self, source: str = "") -> str:
+    def query_id(self, source: str = "", tasks: str = "") -> str:
         """Cache key: SHA-256 of the parameter text, safe as a folder name for any
         regex (slashes, quotes)."""
-        return hashlib.sha256(self.id_text(source).encode("utf-8")).hexdigest()
+        return hashlib.sha256(self.id_text(source, tasks).encode("utf-8")).hexdigest()
 
 
 def preset(name: str) -> Params:

@@ -9,41 +9,55 @@ marker. On a hit the parts are read back. An empty selection is reported as
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from outletlens.operators.selection import select_flat
 from outletlens.params import Params
 from outletlens.plans.tasks import TASKS, Task, run_dataset_pipeline
-from outletlens.session import fs_delete, fs_exists, fs_touch
-from outletlens.sources.files import list_dirs, read_parts, write_parts
+from outletlens.session import fs_delete, fs_exists, fs_touch, materialise, owned_tables
+from outletlens.sources.files import list_dirs, read_flat_csv, read_parts, write_flat_csv, write_parts
 from outletlens.sources.fixtures import SourceTables
+from outletlens.sources.tables import FLAT_SCHEMA
 
 
 class EmptySelection(Exception):
     """The selection returned no row (batch dataset creation refuses it)."""
 
 
-def cache_folder(cache_root: str, params: Params, source: str = "") -> str:
-    return f"{cache_root.rstrip('/')}/query_id={params.query_id(source)}"
+def task_text(tasks: Sequence[Task]) -> str:
+    """Names and parameters of the tasks, for the cache key."""
+    return json.dumps([[t.task_name, vars(t)] for t in tasks], sort_keys=True, default=str)
 
 
-def run_pipeline(spark: SparkSession, tables: SourceTables, params: Params, cache_root: str,
+def cache_folder(cache_root: str, params: Params, source: str = "", tasks: Sequence[Task] = TASKS) -> str:
+    return f"{cache_root.rstrip('/')}/query_id={params.query_id(source, task_text(tasks))}"
+
+
+def run_pipeline(spark: SparkSession, tables: SourceTables, params: Params, cache_root: str | None,
                  tasks: Sequence[Task] = TASKS, source: str = "",
                  refresh: bool = False) -> dict:
     """``{task: {part: DataFrame}}`` for ``params`` (or ``{"empty": True}``).
-    ``refresh=True`` recomputes and overwrites this parameter set's folder."""
-    root = cache_folder(cache_root, params, source)
+    ``source`` names the tables (both of them). ``refresh=True`` recomputes and overwrites this
+    parameter set's folder. Without a ``cache_root`` nothing is kept beyond the session's
+    own tables: the parts are planned over the selection, written once."""
+    if cache_root is None:
+        flat = materialise(select_flat(tables, params))
+        return {"empty": True} if flat.isEmpty() else run_dataset_pipeline(flat, tasks)
+    root = cache_folder(cache_root, params, source, tasks)
     if not refresh and fs_exists(spark, f"{root}/_DONE"):
         return read_parts(spark, root)
     if fs_exists(spark, root):
         fs_delete(spark, root)
-    flat = materialise_flat(spark, select_flat(tables, params), f"{root}/flat")
-    if flat.isEmpty():
-        fs_delete(spark, root)
-        return {"empty": True}
-    write_parts(run_dataset_pipeline(flat, tasks), root)
+    with owned_tables(spark):
+        flat = materialise_flat(spark, select_flat(tables, params), f"{root}/flat")
+        if flat.isEmpty():
+            fs_delete(spark, root)
+            return {"empty": True}
+        write_parts(run_dataset_pipeline(flat, tasks), root)
     fs_touch(spark, f"{root}/_DONE")
     return read_parts(spark, root)
 
@@ -55,10 +69,10 @@ def materialise_flat(spark: SparkSession, flat: DataFrame, path: str) -> DataFra
 
 
 def invalidate_cache(spark: SparkSession, cache_root: str, params: Params | None = None,
-                     source: str = "") -> None:
+                     source: str = "", tasks: Sequence[Task] = TASKS) -> None:
     """Drop one parameter set's cached results, or all of them."""
     if params is not None:
-        fs_delete(spark, cache_folder(cache_root, params, source))
+        fs_delete(spark, cache_folder(cache_root, params, source, tasks))
         return
     for name in list_dirs(spark, cache_root):
         if name.startswith("query_id="):
@@ -67,17 +81,19 @@ def invalidate_cache(spark: SparkSession, cache_root: str, params: Params | None
 
 def create_dataset(spark: SparkSession, tables: SourceTables, params: Params, name: str,
                    datasets_dir: str, results_dir: str, tasks: Sequence[Task] = TASKS,
-                   fmt: str = "json") -> dict[str, dict[str, DataFrame]]:
-    """Batch dataset creation: select, refuse an empty result, save the flat
-    table as CSV (``datasets_dir/<name>.csv``), run the tasks on the saved copy
-    and write their parts (``results_dir/<name>/<task>/<part>``)."""
-    from outletlens.sources.files import read_flat_csv, write_flat_csv
-
-    flat_path = f"{datasets_dir.rstrip('/')}/{name}.csv"
-    write_flat_csv(select_flat(tables, params), flat_path)
-    flat = read_flat_csv(spark, flat_path)
-    if flat.isEmpty():
-        raise EmptySelection(f"selection {params.id_text()} returned no row")
-    results = run_dataset_pipeline(flat, tasks)
-    write_parts(results, f"{results_dir.rstrip('/')}/{name}", fmt=fmt, ordered=True)
-    return results
+                   fmt: str = "json") -> list[str]:
+    """Batch dataset creation: select (once, as parquet), refuse an empty result, which leaves
+    a saved dataset as it is, save the flat table as CSV (``datasets_dir/<name>.csv``) and write
+    the tasks' parts (``results_dir/<name>/<task>/<part>``). Returns the parts' paths."""
+    with owned_tables(spark):
+        flat = materialise(select_flat(tables, params))
+        if flat.isEmpty():
+            raise EmptySelection(f"selection {params.id_text()} returned no row")
+        write_flat_csv(flat, f"{datasets_dir.rstrip('/')}/{name}.csv")
+        return write_parts(run_dataset_pipeline(flat, tasks), f"{results_dir.rstrip('/')}/{name}", fmt=fmt, ordered=True)
+
+
+def run_saved_dataset(spark: SparkSession, path: str, tasks: Sequence[Task] = TASKS,
+                      schema: StructType = FLAT_SCHEMA) -> dict[str, dict[str, DataFrame]]:
+    """The tasks over one saved flat file (read once into a parquet copy)."""
+    return run_dataset_pipeline(materialise(read_flat_csv(spark, path, schema)), tasks)

@@ -59,6 +59,15 @@ def json_roundtrip(spark: SparkSession, drilldown: DataFrame) -> DataFrame:
     return read_json(spark, path, DRILLDOWN_JSON_SCHEMA)
 
 
+def nested_json_roundtrip(spark: SparkSession, nested: DataFrame) -> DataFrame:
+    """``drilldown_nested`` as JSON documents, read back and taken apart."""
+    path = fresh_dir(spark, "json") + "/drilldown_nested"
+    write_json(nested, path)
+    records = T.ArrayType(T.StructType(DRILLDOWN_JSON_SCHEMA.fields[1:]))
+    schema = T.StructType([DRILLDOWN_JSON_SCHEMA.fields[0], T.StructField("records", records)])
+    return read_json(spark, path, schema).select("mentionSourceName", F.inline("records"))
+
+
 def batch_datasets(spark: SparkSession, flats: Mapping[str, DataFrame], task: str = "graph",
                    part: str = "edges") -> DataFrame:
     """Save each flat table as ``<name>.csv``, then compute one part for all of
@@ -70,13 +79,16 @@ def batch_datasets(spark: SparkSession, flats: Mapping[str, DataFrame], task: st
     return run_all_datasets(spark, root, tasks=tasks)[task][part]
 
 
-def cache_hit(spark: SparkSession, tables: SourceTables, params: Params, source: str) -> DataFrame:
-    """Run the cached pipeline twice; the second call is served from the cache.
+def cache_hit(spark: SparkSession, tables: SourceTables, params: Params, source: str,
+              then: SourceTables | None = None, refresh: bool = False) -> DataFrame:
+    """Run the cached pipeline twice, the second time over ``then`` (default: the same
+    tables) under the same source name: served from the cache unless refreshed.
     An empty selection is flagged and not cached; the edges are then those of
     the (empty) selection itself."""
     root = fresh_dir(spark, "cache")
     run_pipeline(spark, tables, params, root, source=source)
-    res = run_pipeline(spark, tables, params, root, source=source)
+    last = tables if then is None else then
+    res = run_pipeline(spark, last, params, root, source=source, refresh=refresh)
     if "empty" in res:
-        return run_dataset_pipeline(select_flat(tables, params), (GraphTask(),))["graph"]["edges"]
+        return run_dataset_pipeline(select_flat(last, params), (GraphTask(),))["graph"]["edges"]
     return res["graph"]["edges"]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from outletlens.operators import example, graph, stacked
 from outletlens.operators.prepare import Prepared, prepare
+from outletlens.params import STACKED_TOP_OUTLETS
 
 
 class Task(Protocol):
@@ -27,13 +28,12 @@ class GraphTask:
 
     task_name = "graph"
 
-    def __init__(self, n: int | None = None, persist_tone: bool = False):
+    def __init__(self, n: int | None = None):
         self.n = n
-        self.persist_tone = persist_tone
 
     def run(self, prepared: Prepared) -> dict[str, DataFrame]:
         kw = {} if self.n is None else {"n": self.n}
-        return graph.graph(prepared.mentions, prepared.keys, persist_tone=self.persist_tone, **kw)
+        return graph.graph(prepared.mentions, prepared.keys, **kw)
 
 
 class StackedGraphTask:
@@ -42,13 +42,14 @@ class StackedGraphTask:
     task_name = "stackedGraph"
 
     def __init__(self, unit: str = "HOUR", exact_disagreement: bool = False,
-                 short_name: bool = True):
+                 short_name: bool = True, n: int = STACKED_TOP_OUTLETS):
         self.unit = unit
+        self.n = n
         self.exact_disagreement = exact_disagreement
         self.short_name = short_name
 
     def run(self, prepared: Prepared) -> dict[str, DataFrame]:
-        return stacked.stacked(prepared.full, prepared.keys, unit=self.unit,
+        return stacked.stacked(prepared.full, prepared.keys, unit=self.unit, n=self.n,
                                short_name=self.short_name,
                                exact_disagreement=self.exact_disagreement)
 
@@ -65,25 +66,17 @@ class ExampleTask:
 TASKS: tuple[Task, ...] = (GraphTask(), StackedGraphTask())
 
 
-def check_registry(tasks: Sequence[Task]) -> list[str]:
-    """Every task needs a name, and names must be unique."""
-    names: list[str] = []
-    for task in tasks:
-        name = getattr(task, "task_name", None)
-        if not name:
-            raise ValueError(f"task {task!r} has no task_name")
-        if name in names:
-            raise ValueError(f"task_name {name!r} is already taken")
-        names.append(name)
-    return names
-
-
-check_registry(TASKS)
+def registry(tasks: Sequence[Task]) -> dict[str, Task]:
+    """Tasks by name; results are filed under it, so it must be there and be the only one."""
+    by_name = {getattr(t, "task_name", None) or "": t for t in tasks}
+    if "" in by_name or len(by_name) < len(tasks):
+        raise ValueError("tasks need distinct names: " + ", ".join(repr(getattr(t, "task_name", None)) for t in tasks))
+    return by_name
 
 
 def run_dataset_pipeline(flat: DataFrame, tasks: Sequence[Task] = TASKS,
                          keys: Sequence[str] = ()) -> dict[str, dict[str, DataFrame]]:
     """Plan every task over ``flat``: ``{task_name: {part: DataFrame}}``."""
-    check_registry(tasks)
+    named = registry(tasks)
     prepared = prepare(flat, keys)
-    return {task.task_name: task.run(prepared) for task in tasks}
+    return {name: task.run(prepared) for name, task in named.items()}

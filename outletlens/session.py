@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -48,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="outletlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -100,10 +103,27 @@ def materialise(df, spark: SparkSession | None = None, how: str = "table"):
         ensure_checkpoint_dir(spark)
         return df.checkpoint(eager=True)
     path = scratch_path(spark, "materialised", spark.sparkContext.applicationId, uuid.uuid4().hex)
+    for owned in _OWNED[-1:]:
+        owned.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+_OWNED: list[list[str]] = []
+
+
+@contextmanager
+def owned_tables(spark: SparkSession):
+    """Tables that ``materialise`` writes inside the block are removed at its end: for jobs
+    that have written their results by then."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.pop():
+            fs_delete(spark, path)
+
+
 def clear_materialised(spark: SparkSession) -> None:
     """Delete the tables this application wrote with ``materialise`` (call when
     the DataFrames built on them are no longer used, e.g. at the end of a job;

@@ -6,9 +6,10 @@ driver-side file operations are existence checks, listings and markers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,16 +19,23 @@ from outletlens.sources.tables import FLAT_SCHEMA
 
 # --- CSV datasets (the reference's saved query results) -------------------------------
 
+# Quotes are doubled inside quoted fields, which may hold newlines (so a file is one
+# split: results are computed on a parquet copy); a broken row or a header other than
+# the schema raises.
+CSV_FORM = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV_READ = {**CSV_FORM, "multiLine": True, "mode": "FAILFAST", "enforceSchema": False}
+
+
 def write_flat_csv(flat: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Unprocessed flat table as CSV with a header row and no index column."""
-    flat.write.mode(mode).option("header", True).csv(path)
+    flat.write.mode(mode).options(**CSV_FORM).csv(path)
 
 
 def read_flat_csv(spark: SparkSession, path: str,
                   schema: T.StructType = FLAT_SCHEMA) -> DataFrame:
     """Flat CSV with an explicit schema (never inferred). Pass an extended schema
     for files with extra columns such as ``eventFoo``."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV_READ).csv(path)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -43,31 +51,42 @@ def dataset_name(spark: SparkSession, root: str):
     ``root`` up to its first dot. A plain file ``root/khashoggi.csv`` and a
     Spark-written folder ``root/khashoggi.csv/part-*`` both give ``khashoggi``."""
     prefix = qualified(spark, root) + "/"
-    rel = F.expr(f"substring(_metadata.file_path, {len(prefix) + 1})")
+    # the metadata path is percent-encoded; a plus sign in it stands for itself
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rel = F.substring(F.regexp_replace(path, "^(\\w+:)/*", "$1/"), len(re.sub(r"^(\w+:)/*", r"\1/", prefix)) + 1, 1 << 30)
     return F.substring_index(F.substring_index(rel, "/", 1), ".", 1)
 
 
 def read_dataset_dir(spark: SparkSession, root: str, schema: T.StructType = FLAT_SCHEMA,
                      name_col: str = "dataset") -> DataFrame:
     """Every CSV dataset below ``root`` in one scan, with a ``dataset`` column
-    (see ``dataset_name``)."""
-    df = (spark.read.schema(schema).option("header", True)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root))
+    (see ``dataset_name``). Every file is read, whatever its name; one that is not
+    such a dataset raises."""
+    df = spark.read.schema(schema).options(**CSV_READ).option("recursiveFileLookup", True).csv(root)
     return df.select(dataset_name(spark, root).alias(name_col), *schema.fieldNames())
 
 
 # --- JSON documents -----------------------------------------------------------------
 
+def _document(col: Column, kind: T.DataType) -> Column:
+    """``col`` with every timestamp in it, at any depth, in the document format."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return iso_z_label(col)
+    if "timestamp" not in kind.simpleString():
+        return col
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _document(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(col, lambda _, x: _document(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[_document(col[f.name], f.dataType).alias(f.name) for f in kind]))
+    return col
+
+
 def json_ready(df: DataFrame) -> DataFrame:
-    """Timestamps -> ``yyyy-MM-ddTHH:mm:ssZ`` strings (the document format); NaN is
-    already NULL (set at ingest), and NULLs are written as ``null``."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            cols.append(iso_z_label(f.name).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+    """Timestamps -> ``yyyy-MM-ddTHH:mm:ssZ`` strings (the document format), nested
+    ones too; NaN is already NULL (set at ingest), and NULLs are written as ``null``."""
+    return df.select(*[_document(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite",
@@ -96,7 +115,7 @@ def presentation_order(part: str, df: DataFrame, keys: Sequence[str] = ()) -> li
           "streamgraph": ["mentionInterval", "mentionSourceName"],
           "streamgraph_wide": ["mentionInterval"],
           "drilldown": ["mentionSourceName", "mentionInterval"],
-          "drilldown_nested": ["mentionSourceName"], "edges_nested": ["source1"],
+          "streamgraph_nested": ["mentionInterval"], "drilldown_nested": ["mentionSourceName"], "edges_nested": ["source1"],
           "mentions": ["eventId", "mentionDateAdded"], "best_events": ["eventId"],
           "dom_outlets": ["outlet_rank"]}
     cols = [F.col(k) for k in keys]

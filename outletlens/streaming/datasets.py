@@ -20,8 +20,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from outletlens.plans.batch import DATASET, run_all_datasets
 from outletlens.plans.tasks import TASKS, Task
-from outletlens.session import scratch_path
-from outletlens.sources.files import dataset_name, qualified
+from outletlens.session import owned_tables, scratch_path
+from outletlens.sources.files import CSV_READ, dataset_name, qualified
 from outletlens.sources.tables import FLAT_SCHEMA
 
 
@@ -36,16 +36,16 @@ def rerun_on_new_datasets(spark: SparkSession, datasets_dir: str, results_dir: s
         # one stream state per watched folder
         tag = hashlib.sha256(qualified(spark, datasets_dir).encode("utf-8")).hexdigest()[:16]
         checkpoint_location = scratch_path(spark, "streams", f"datasets-{tag}")
-    files = (spark.readStream.schema(FLAT_SCHEMA).option("header", True)
-             .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-             .csv(datasets_dir))
+    files = (spark.readStream.schema(FLAT_SCHEMA).options(**CSV_READ)
+             .option("recursiveFileLookup", True).csv(datasets_dir))
     arrived = files.select(dataset_name(spark, datasets_dir).alias(DATASET))
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         touched = batch.select(DATASET).distinct()
         if touched.isEmpty():
             return
-        run_all_datasets(spark, datasets_dir, results_dir, tasks=tasks, fmt=fmt, only=touched)
+        with owned_tables(spark):
+            run_all_datasets(spark, datasets_dir, results_dir, tasks=tasks, fmt=fmt, only=touched)
 
     writer = (arrived.writeStream.foreachBatch(process)
               .option("checkpointLocation", checkpoint_location))

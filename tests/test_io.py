@@ -14,12 +14,13 @@ from compare import rows_of_spark
 from conftest import SF001
 from outletlens.operators import selection
 from outletlens.params import Params
+from outletlens.operators.prepare import prepare
 from outletlens.plans.batch import run_all_datasets
-from outletlens.plans.pipeline import EmptySelection, create_dataset, invalidate_cache, run_pipeline
+from outletlens.plans.pipeline import EmptySelection, cache_folder, create_dataset, invalidate_cache, run_pipeline
 from outletlens.plans.tasks import GraphTask
 from outletlens.session import fs_exists
 from outletlens.sources.files import (read_dataset_dir, read_flat_csv, write_flat_csv,
-                                      write_json)
+                                      write_json, write_parts)
 from outletlens.sources.fixtures import fx1_tables
 from outletlens.sources.tables import FLAT_SCHEMA
 from outletlens.streaming import rerun_on_new_datasets
@@ -60,7 +61,7 @@ def test_json_sink_formats_timestamps_and_keeps_nulls(spark, tmp):
 def test_cache_hit_refresh_and_invalidation(spark, tmp):
     tables = fx1_tables(spark, SF001)
     first = run_pipeline(spark, tables, P, tmp, source="fx1")
-    root = f"{tmp}/query_id={P.query_id('fx1')}"
+    root = cache_folder(tmp, P, "fx1")
     assert fs_exists(spark, f"{root}/_DONE")
     assert set(first) == {"graph", "stackedGraph"}
     assert set(first["graph"]) >= {"edges", "edge_events", "nodes", "totals"}
@@ -77,9 +78,93 @@ def test_cache_hit_refresh_and_invalidation(spark, tmp):
 def test_empty_selection_is_flagged_and_not_cached(spark, tmp):
     tables = fx1_tables(spark, SF001)
     assert run_pipeline(spark, tables, Params(), tmp) == {"empty": True}
-    assert not fs_exists(spark, f"{tmp}/query_id={Params().query_id()}")
+    assert not fs_exists(spark, cache_folder(tmp, Params()))
+    create_dataset(spark, tables, P, "kept", f"{tmp}/datasets", f"{tmp}/results", tasks=(GraphTask(),))
+    saved = read_flat_csv(spark, f"{tmp}/datasets/kept.csv").count()
     with pytest.raises(EmptySelection):
-        create_dataset(spark, tables, Params(), "none", f"{tmp}/datasets", f"{tmp}/results")
+        create_dataset(spark, tables, Params(), "kept", f"{tmp}/datasets", f"{tmp}/results")
+    assert read_flat_csv(spark, f"{tmp}/datasets/kept.csv").count() == saved > 0
+
+
+def test_cache_key_holds_tasks_their_parameters_and_both_tables(spark, tmp):
+    tables = fx1_tables(spark, SF001)
+    few = run_pipeline(spark, tables, P, tmp, tasks=(GraphTask(n=5),), source="fx1")
+    assert few["graph"]["nodes"].count() == 5
+    whole = run_pipeline(spark, tables, P, tmp, source="fx1")
+    assert set(whole) == {"graph", "stackedGraph"} and whole["graph"]["nodes"].count() > 5
+    keys = {P.query_id(a, b) for a in ("m|e", '["m", "e"]') for b in ("", "x")}
+    assert len(keys) == 4 and P.with_(filter_mention_id="a|b").query_id("c") != P.with_(filter_mention_id="a").query_id("b|c")
+    assert set(run_pipeline(spark, tables, P, None)) == {"graph", "stackedGraph"}
+
+
+NASTY = ['http://x/a"b,c', "  edge spaces ", "line\nbreak", "back\\slash\\", 'q""q', "é-ü"]
+
+
+def test_pandas_written_csv_is_read_exactly(spark, tmp):
+    flat = selection.select_flat(fx1_tables(spark, SF001), P).limit(len(NASTY)).toPandas()
+    flat["mentionIdentifier"] = NASTY
+    flat.to_csv(f"{tmp}/Case_20th_October_2018_->_21th.csv", index=False)
+    flat.to_csv(f"{tmp}/with space+50%.CSV", index=False)
+    flat.to_csv(f"{tmp}/zipped.csv.gz", index=False)
+    got = read_dataset_dir(spark, tmp).toPandas()
+    assert set(got.dataset) == {"Case_20th_October_2018_->_21th", "with space+50%", "zipped"}
+    for _, part in got.groupby("dataset"):
+        assert sorted(part.mentionIdentifier) == sorted(NASTY)
+        assert part.mentionDocTone.notna().all()
+    back = spark.createDataFrame(flat, FLAT_SCHEMA)
+    write_flat_csv(back, f"{tmp}/again")
+    assert rows_of_spark(read_flat_csv(spark, f"{tmp}/again")) == rows_of_spark(back)
+
+
+def test_dataset_names_below_a_root_with_a_space(spark, tmp):
+    flat = selection.select_flat(fx1_tables(spark, SF001), P).limit(2)
+    write_flat_csv(flat, f"{tmp}/my data/khashoggi.csv")
+    assert {r[0] for r in read_dataset_dir(spark, f"{tmp}/my data").select("dataset").collect()} == {"khashoggi"}
+
+
+def test_swapped_header_and_broken_rows_raise(spark, tmp):
+    flat = selection.select_flat(fx1_tables(spark, SF001), P).limit(3).toPandas()
+    names = list(flat.columns)
+    flat[[names[1], names[0], *names[2:]]].to_csv(f"{tmp}/swapped.csv", index=False)
+    with pytest.raises(Exception, match="(?i)header"):
+        read_flat_csv(spark, f"{tmp}/swapped.csv").collect()
+    flat.to_csv(f"{tmp}/broken.csv", index=False)
+    with open(f"{tmp}/broken.csv", "a") as f:
+        f.write("not,a,row\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_flat_csv(spark, f"{tmp}/broken.csv").collect()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Europe/Berlin"])
+def test_times_do_not_depend_on_the_session_zone(spark, zone):
+    from pyspark.sql import functions as F
+
+    from outletlens.functions import exprs as X
+
+    times = [dt.datetime(2018, 3, 11, 2, 30), dt.datetime(2018, 11, 4, 1, 59, 59), dt.datetime(2018, 3, 25, 2, 15)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("SELECT * FROM VALUES " + ", ".join(f"(timestamp_ntz'{t}')" for t in times) + " AS v(t)")
+        got = df.select(X.floor_time("t").cast("string"), X.space_z_label("t"), X.iso_z_label("t"), X.ts_to_int_date("t"),
+                        X.floor_time("t", "MONTH").cast("string"), F.col("t").cast("string")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [tuple(r)[:5] for r in got] == [
+        (t.strftime("%Y-%m-%d %H:00:00"), t.strftime("%Y-%m-%d %H:%M:%SZ"), t.strftime("%Y-%m-%dT%H:%M:%SZ"),
+         int(t.strftime("%Y%m%d%H%M%S")), t.strftime("%Y-%m-01 00:00:00")) for t in times]
+
+
+@pytest.mark.parametrize("part,keys", [("nodes", lambda r: (-r.mentionnedEventsCount, r.mentionSourceName)),
+                                       ("edges", lambda r: (r.source1, r.source2)),
+                                       ("edge_events", lambda r: (r.source1, r.source2, r.eventId))])
+def test_sink_order_of_parts(spark, tmp, part, keys):
+    flat = selection.select_flat(fx1_tables(spark, SF001), P)
+    parts = GraphTask().run(prepare(flat))
+    write_parts({"graph": {part: parts[part]}}, tmp, ordered=True)
+    files = sorted(f for f in os.listdir(f"{tmp}/graph/{part}") if f.endswith(".parquet"))
+    rows = [r for f in files for r in spark.read.parquet(f"{tmp}/graph/{part}/{f}").collect()]
+    assert rows and rows == sorted(rows, key=keys)
 
 
 def test_create_dataset_then_batch_rerun(spark, tmp):

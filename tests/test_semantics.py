@@ -266,18 +266,31 @@ def test_selection_strategies_agree(spark, params):
     assert fold == restrict
 
 
-def test_restrict_falls_back_to_fold_beyond_the_broadcast_bound(spark):
+def test_restrict_plan_holds_no_broadcast_hint(spark):
     t = _sel_tables(spark)
     p = Params("2024-01-05T00:00:00.000Z", "2024-01-06T23:59:00.000Z", 3, 100, 100000, "click")
     cols = ["eventId", "mentionSourceName", "eventSourceCount"]
-    assert rows(selection.select_flat(t, p, broadcast_ids_max=0), *cols) == \
-        rows(selection.select_flat(t, p), *cols)
-
-
-def test_graph_colocated_plan_gives_the_same_parts(spark):
-    m = prepare(_graph_flat(spark)).mentions
-    a, b = graph.graph(m), graph.graph(m, colocate_events=True)
-    for part, cols in (("edges", ("source1", "source2", "eventsSharedCount", "meanToneDist")),
-                       ("edge_events", ("source1", "source2", "eventId", "url1", "url2")),
-                       ("nodes", ("mentionSourceName", "mentionnedEventsCount", "avgTone"))):
-        assert rows(a[part], *cols) == rows(b[part], *cols), part
+    want = rows(selection.select_flat(t, p), *cols)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = selection.select_flat(t, p)
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert rows(df, *cols) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_limit_cut_keeps_whole_events_up_to_the_limit(spark):
+    per_event = spark.createDataFrame([(i, 7 if i < 50 else 3, 0.0, 2) for i in range(200)],
+                                      "GLOBALEVENTID long, distinctSourceCount long, avgDocTone double, _rows long")
+    kept = sorted(r[0] for r in selection.cut_at_limit(per_event, 11).select("GLOBALEVENTID").collect())
+    assert kept == [0, 1, 2, 3, 4, 5]
+
+
+def test_graph_and_stacked_parts_read_written_tables(spark):
+    flat = prepare(_graph_flat(spark))
+    for parts in (graph.graph(flat.mentions), stacked.stacked(flat.full)):
+        for name, df in parts.items():
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "parquet" in plan and "LogicalRDD" not in plan and "LocalRelation" not in plan, name
