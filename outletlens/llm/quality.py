@@ -85,7 +85,7 @@ class Net:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.forward(self.units(x))[1], -30, 30)))
 
-    def step(self, u: np.ndarray, h: np.ndarray, dz: np.ndarray, rate: float = 2e-3, decay: float = 1e-3) -> None:
+    def step(self, u: np.ndarray, h: np.ndarray, dz: np.ndarray, rate: float = 2e-3, decay: float = 1e-2) -> None:
         dh = np.outer(dz, self.p[2]) * (h > 0)
         grads = [u.T @ dh + decay * self.p[0], dh.sum(axis=0), h.T @ dz + decay * self.p[2], dz.sum(keepdims=True)]
         self.t += 1
@@ -95,7 +95,7 @@ class Net:
             a -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int, epochs: int, seed: int) -> Net:
+def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int, steps: int, seed: int) -> Net:
     """Minimise the non-negative PU risk ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with
     the logistic loss. Where the bracket is negative, the step goes against it. Without a
     prior, positives are simply told from unlabelled rows."""
@@ -103,40 +103,40 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int, epoc
     net = Net(np.concatenate([pos, unl]), hidden, rng)
     up, uu = net.units(pos), net.units(unl)
     batch = 256
-    for _ in range(epochs):
-        op, ou = rng.permutation(len(up)), rng.permutation(len(uu))
-        for lo in range(0, max(len(op), len(ou)), batch):
-            a = up[np.take(op, range(lo, lo + batch), mode="wrap")]
-            b = uu[np.take(ou, range(lo, lo + batch), mode="wrap")]
-            u = np.concatenate([a, b])
-            h, z = net.forward(u)
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            sp, su = s[:batch], s[batch:]
-            if prior is None:
-                dz = np.concatenate([(sp - 1) / 2, su / 2]) / batch
-            else:
-                loss = lambda q: -np.log(np.maximum(1 - q, 1e-12)).mean()  # noqa: E731  of calling a row negative
-                if loss(su) - prior * loss(sp) >= 0:
-                    dz = np.concatenate([prior * (sp - 1) - prior * sp, su]) / batch
-                else:
-                    dz = np.concatenate([prior * sp, -su]) / batch
-            net.step(u, h, dz)
+    loss = lambda q: -np.log(np.maximum(1 - q, 1e-12)).mean()  # noqa: E731  of calling rows negative
+    for _ in range(steps):
+        u = np.concatenate([up[rng.integers(0, len(up), batch)], uu[rng.integers(0, len(uu), batch)]])
+        h, z = net.forward(u)
+        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        sp, su = s[:batch], s[batch:]
+        if prior is None:
+            dz = np.concatenate([(sp - 1) / 2, su / 2]) / batch
+        elif loss(su) - prior * loss(sp) >= 0:
+            dz = np.concatenate([prior * (sp - 1) - prior * sp, su]) / batch
+        else:
+            dz = np.concatenate([prior * sp, -su]) / batch
+        net.step(u, h, dz)
     return net
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, hidden: int, epochs: int, seed: int) -> float:
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, hidden: int, steps: int, seed: int) -> float:
     """The share of positives among the unlabelled rows: the least ratio of the two
-    score tails, over tails that hold most held-back positives; a scorer that tells
-    positives from unlabelled rows is fitted on the other half."""
-    hp, hu = len(pos) // 2, len(unl) // 2
-    net = fit(pos[:hp], unl[:hu], None, hidden, epochs, seed)
-    sp, su = net.score(pos[hp:]), net.score(unl[hu:])
-    cuts = np.quantile(sp, [0.01, 0.02, 0.05, 0.1, 0.2])
-    return float(np.clip(min((su > c).mean() / max((sp > c).mean(), 1e-9) for c in cuts), 0.01, 0.99))
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, threshold: float = 0.7, hidden: int = 32,
-                  epochs: int = 12, seed: int = 1, held_out: Column | None = None, carry: bool = False) -> DataFrame:
+    score tails, over tails that hold most held-back positives; for either half of the
+    rows, a scorer that tells positives from unlabelled rows is fitted on the other half."""
+    rng = np.random.default_rng(seed)
+    half_p, half_u = rng.permutation(len(pos)) % 2, rng.permutation(len(unl)) % 2
+    tails = []
+    for k in (0, 1):
+        net = fit(pos[half_p == k], unl[half_u == k], None, hidden, steps, seed)
+        level = np.sort(net.score(pos[half_p != k]))
+        tails.append([np.searchsorted(level, x, "right") / len(level)
+                      for x in (level, net.score(unl[half_u != k]))])
+    sp, su = (np.concatenate(x) for x in zip(*tails, strict=True))
+    return float(np.clip(min((su > c).mean() / max((sp > c).mean(), 1e-9) for c in (0.02, 0.05, 0.1, 0.2, 0.3)), 0.01, 0.99))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, threshold: float = 0.7, hidden: int = 16,
+                  steps: int = 400, seed: int = 1, held_out: Column | None = None, carry: bool = False) -> DataFrame:
     """A quality score for every document.
 
     Trusted positives are documents labelled ``quality = 1`` and unlabelled web text is any
@@ -147,8 +147,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, th
 
     One row per input row: ``doc_id, held_out, score`` (0 to 1), ``predicted`` (1 where the score
     reaches ``threshold``), after all columns of ``docs`` if ``carry`` is set. A text without a word has score 0. Null ids are scored, never used to
-    fit; rows with repeated ids are scored one by one; extra columns are not read; without any
-    positive label all scores are 0; an empty table gives no rows."""
+    fit; rows with repeated ids are scored one by one; extra columns are not read; without four
+    positive labels all scores are 0; an empty table gives no rows."""
     rows = docs.select("doc_id", "text")
     held_out = hash_fold(F.col("doc_id")) == 2 if held_out is None else held_out
     free = rows.filter(~held_out)
@@ -178,8 +178,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, th
     rng = np.random.default_rng(seed)
     pos, unl = (s[rng.permutation(len(s))] for s in (x[is_pos], x[~is_pos]))
     net = None
-    if len(pos) > 1 and len(unl) > 1:
-        net = fit(pos, unl, estimate_prior(pos, unl, hidden, epochs, seed), hidden, epochs, seed)
+    if len(pos) > 3 and len(unl) > 3:
+        net = fit(pos, unl, estimate_prior(pos, unl, hidden, steps, seed), hidden, steps, seed)
 
     out = rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     if carry:  # the row as it came, under a name that clashes with none of its own
