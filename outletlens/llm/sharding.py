@@ -70,15 +70,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
 
     One row per input row: ``doc_id, size`` (UTF-8 bytes of the text plus 16),
     ``text_crc32, law`` ('bytes'), ``shard, slot`` (0, 1, ... within the shard) and
-    ``grown_shard`` (null: only a law by key has one). A null text has no bytes, crc32 0,
-    and all null texts are one group; null and repeated ids are ordinary rows; other
+    ``grown_shard`` (null: only a law by key has one). A null text has no bytes and counts
+    as an empty one: crc32 0, in one group with all empty texts; null and repeated ids are ordinary rows; other
     columns are not read; an empty table gives no rows."""
     text = F.col(text_col)
     rows = materialise(docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).alias("text_crc32"),
-        text_key(text).alias("gkey")))
+        text_key(F.coalesce(text, F.lit(""))).alias("gkey")))
     groups = rows.groupBy("gkey").agg(F.sum("size").alias("gsize"))
     placed = rows.join(shard_groups(groups, n_shards).drop("gsize"), "gkey")
     out = numbered(placed, ["shard"], ["doc_id", "text_crc32", "size"], rows.count(), "slot")
