@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from outletlens.llm import decontamination, minhash_dedup, mixing, quality, sharding
-from outletlens.llm.common import materialise, table
+from outletlens.llm.common import table
+from outletlens.session import owned_tables, scratch_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +52,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        path = scratch_path(spark, "pipeline", uuid.uuid4().hex)
+        with owned_tables(spark):  # what the stage wrote on its way goes when its result is there
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
