@@ -147,8 +147,8 @@ def find_licenses(docs: DataFrame, fit_lines: int = 4000, copies: int = 60, conf
                   seed: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence paragraphs of all documents.
 
-    The classifier is fitted on the driver on reworded notices and on at most ``fit_lines`` lines
-    of the documents without two word pairs of any notice (a documented bound); its probabilities are
+    The classifier is fitted on the driver on reworded notices and on about ``fit_lines`` lines
+    of the documents without two word pairs of any notice (a documented bound; never twice that); its probabilities are
     calibrated on a held-out fifth. Every paragraph (line) of every text is read; those that share two
     word pairs with the notices are classified. A prediction of a family with at least ``sure``
     stands if the paragraph holds ``confirm`` of the word pairs of one of the family's notices; a
@@ -173,7 +173,7 @@ def find_licenses(docs: DataFrame, fit_lines: int = 4000, copies: int = 60, conf
         return of[at], h[at]
 
     n = max(rows.count(), 1)
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003 < fit_lines / n).limit(fit_lines)
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003 < fit_lines / n).limit(2 * fit_lines)
     lines = drawn.select(F.element_at(F.split("text", "\n"), 1).alias("t")).filter("length(t) between 20 and 2000")
     background = sorted(r["t"] for r in lines.collect())
     free = []
