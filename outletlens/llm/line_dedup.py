@@ -33,18 +33,19 @@ def segment_keys(line: Column, length: Column, edits: int) -> Column:
                 at = start + shift
                 key = F.xxhash64(F.substring(line, at, size), F.lit(i), other)
                 keys.append(F.when((other >= parts) & (at >= 1) & (at + size - 1 <= length), key))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    return F.array(*keys)  # null where the line is too short for a key
 
 
 def line_links(lines: DataFrame, edits: int) -> DataFrame:
-    """Components ``(id, component)`` of distinct ``lines(rid, line)`` linked by at most ``edits`` edits.
+    """Components ``(id, component)`` of distinct ``lines(rid, line, n)``, n characters long, linked by
+    at most ``edits`` edits.
 
     Lines of a key are first compared with one of them each, which joins the copies of one
     line however many they are; what is left of a key in several components is compared
     in full by a self join, whose condition holds the edit distance, so that only links come out of
     it. Keys of one line never get further than their count."""
     line = F.col("line")
-    keyed = lines.select("rid", F.explode(segment_keys(line, F.char_length(line), edits)).alias("key"))
+    keyed = lines.select("rid", F.explode(segment_keys(line, F.col("n"), edits)).alias("key")).filter("key is not null")
     lead = keyed.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).filter("lead < last").drop("last")
     met = materialise(keyed.join(lead, "key"))
     text = lambda name: lines.select(F.col("rid").alias(name), line.alias(f"t_{name}"))
@@ -58,10 +59,10 @@ def line_links(lines: DataFrame, edits: int) -> DataFrame:
     mixed = one.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     open_ = materialise(one.join(mixed, "key").join(lines, "rid"))
     side = lambda name: open_.select("key", F.col("rid").alias(name), F.col("component").alias(f"c_{name}"),
-                                     F.col("line").alias(f"t_{name}"))
+                                     F.col("line").alias(f"t_{name}"), F.col("n").alias(f"n_{name}"))
     rest = (side("x").join(side("y"), "key")
             .filter((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y"))
-                    & (F.abs(F.char_length("t_x") - F.char_length("t_y")) <= edits) & near)
+                    & (F.abs(F.col("n_x") - F.col("n_y")) <= edits) & near)
             .select(F.col("x").alias("a"), F.col("y").alias("b")))
     return components(materialise(star.union(rest)))
 
@@ -85,8 +86,8 @@ def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 25, id_col:
              .filter(F.char_length("line") >= min_chars))
     place = F.struct("doc_id", "tkey", "pos")
     lines = materialise(spots.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-                        .withColumn("rid", F.monotonically_increasing_id()))
-    comp = line_links(lines.select("rid", "line"), edits).withColumnRenamed("id", "rid")
+                        .withColumn("rid", F.monotonically_increasing_id()).withColumn("n", F.char_length("line")))
+    comp = line_links(lines.select("rid", "line", "n"), edits).withColumnRenamed("id", "rid")
     # lines that occur twice or have a near copy, with the first place of their component
     known = (lines.join(comp, "rid", "left").filter("component is not null or first <> last")
              .withColumn("component", F.coalesce("component", "rid")))
