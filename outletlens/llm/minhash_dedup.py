@@ -6,12 +6,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import components, materialise, mix64, span_hashes, spans, text_key
+from outletlens.llm.common import WORD, components, materialise, mix64, span_hashes, spans, text_key
 from outletlens.llm.substring_dedup import pieces, run_hashes
 
 _SHINGLE = 0xA0761D6478BD642F
@@ -90,11 +89,13 @@ def sign(n: int, bands: int, rows: int):
                 for i in range(rows):
                     key = mix64(key ^ reg[:, i::rows], i)
                 key = mix64(key ^ np.arange(bands, dtype=np.uint64))[some].view(np.int64)
-                small = (mix64(reg[some]) & np.uint64(255)).astype(np.uint8)
+                two = np.zeros((len(some), -(-m // 32) * 32), np.uint64)  # two bits of each register
+                two[:, :m] = mix64(reg[some]) & np.uint64(3)
+                two = (two.reshape(len(some), -1, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_pydict({
                     "tkey": part.column("tkey").take(pa.array(some)),
                     "bands": pa.ListArray.from_arrays(np.arange(0, key.size + 1, bands, dtype=np.int32), key.ravel()),
-                    "sig": pa.array([x.tobytes() for x in small], pa.binary())})
+                    "sketch": pa.ListArray.from_arrays(np.arange(0, two.size + 1, two.shape[1], dtype=np.int32), two.ravel())})
     return run
 
 
@@ -121,75 +122,73 @@ def overlaps(n: int, least: float):
 
 
 def text_classes(docs: DataFrame, n: int, similarity: float, bands: int, rows: int,
-                 id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members ``(doc_id, tkey, rid)`` of the distinct texts and ``(id, component)`` over rid.
+                 id_col: str, text_col: str, leaders: int = 4) -> DataFrame:
+    """``(doc_id, tkey, component)`` for every row, the component null for texts without words.
 
     Equal texts are one node. In a band's bucket the texts are not paired with one another: each is
-    compared with a leader, first the member that shares most buckets (the least edited copy of
-    a group), then the foremost member outside that leader's component, then members drawn by
-    hash, until a round over all buckets that still hold several components finds no link. So a
-    round costs at most one pair per text and bucket, however large a group is. A pair is first
-    judged by the registers (one byte each): only far below the threshold, by five standard
+    compared with a leader, the member that shares most buckets (the least edited copy of a
+    group); then, in buckets that still hold several components, with ``leaders`` members, one of
+    each slot of a hash that changes from round to round, until a round finds no link. So a round
+    costs at most ``leaders`` pairs per text and bucket, however large a group is. A pair is first
+    judged by two bits of each register: only far below the threshold, by four standard
     deviations, it is set aside; then the texts decide."""
     text = F.col(text_col)
     rows_ = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), text_key(text).alias("tkey"))
     signed = materialise(rows_.select("text", "tkey").mapInArrow(
-        sign(n, bands, rows), "tkey binary, bands array<long>, sig binary"))
-    texts = materialise(signed.groupBy("tkey").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        sign(n, bands, rows), "tkey binary, bands array<long>, sketch array<long>"))
+    texts = materialise(signed.groupBy("tkey").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
                         .withColumn("rid", F.monotonically_increasing_id()))
-    members = texts.select("rid", F.explode("bands").alias("bucket"))
+    members = texts.select("rid", "sketch", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(members.join(sizes, "bucket"))
     weight = members.groupBy("rid").agg(F.sum("n").alias("mass"))
     members = materialise(members.drop("n").join(weight, "rid"))
     cand = weight.join(texts, "rid").select("tkey", "rid")
     held = materialise(rows_.select("text", "tkey").join(cand, "tkey").groupBy("rid").agg(F.first("text").alias("text")))
-    sig = texts.select("rid", "sig")
-    margin = similarity - 5 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
+    m = bands * rows
+    unlike = 0.75 * (1 - similarity)  # two bits of a register differ for so many of them
+    most = int(m * unlike + 4 * (m * unlike * (1 - unlike)) ** 0.5)
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        m = bands * rows
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, m) for s in (a, b))
-        return pd.Series((x == y).mean(axis=1) >= margin)
+    def far(a: str, b: str) -> Column:
+        """Registers whose two bits differ."""
+        x = [F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i]) for i in range(-(-m // 32))]
+        return sum((F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(0x5555555555555555))) for v in x), F.lit(0))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda d, v, name: d.select(F.col("rid").alias(name), F.col(v).alias(f"{v[0]}{name}"))
-        near = materialise(pairs.join(side(sig, "sig", "y"), "y").join(side(sig, "sig", "x"), "x")
-                           .filter(alike("sx", "sy")).select("x", "y"))
-        return (near.join(side(held, "text", "y"), "y").join(side(held, "text", "x"), "x")
+        side = lambda name: held.select(F.col("rid").alias(name), F.col("text").alias(f"t{name}"))
+        return (pairs.join(side("y"), "y").join(side("x"), "x")
                 .select("x", "y", "tx", "ty").mapInArrow(overlaps(n, similarity), "x long, y long"))
 
-    nodes = texts.select(F.col("rid").alias("id"))
-    links, comp, turn = None, None, 0
+    turn, label = 0, weight.select("rid", F.col("rid").alias("component"))
     while True:
-        m = members if comp is None else members.join(comp.select(F.col("id").alias("rid"), "component"), "rid")
-        if comp is None:
-            m = m.withColumn("component", F.col("rid"))
-        front = F.struct("mass", F.xxhash64("rid")) if turn < 2 else F.struct(F.xxhash64("rid", "bucket", F.lit(turn)))
-        m = m.select("bucket", "rid", "component", front.alias("front"))
+        # one leader in all at first, then one of each hash slot of the members
+        slot = F.pmod(F.xxhash64("rid", "bucket", F.lit(turn)), F.lit(leaders if turn else 1)).alias("slot")
+        at = members.withColumn("component", F.col("rid")) if turn == 0 else members.join(label, "rid")
+        at = at.select("bucket", "rid", "component", "mass", "sketch", slot)
         if turn:
-            m = materialise(m)
-            of = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                         F.max_by("component", "front").alias("main")).filter("lo < hi")
-            m = m.join(of.select("bucket", "main"), "bucket")
-            lead = m.filter("component <> main") if turn == 1 else m
-        else:
-            lead = m
-        lead = lead.groupBy("bucket").agg(F.max_by(F.struct("rid", "component"), "front").alias("l"))
-        pairs = (m.join(lead, "bucket").filter("component <> l.component")
-                 .select(F.least("rid", "l.rid").alias("x"), F.greatest("rid", "l.rid").alias("y")).distinct())
+            mixed = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+            at = materialise(at.join(mixed.select("bucket"), "bucket"))
+        lead = at.groupBy("bucket", "slot").agg(
+            F.max_by(F.struct("rid", "component", "sketch"),
+                     F.struct("mass" if turn == 0 else F.lit(0), F.xxhash64("rid", F.lit(turn)))).alias("l"))
+        lead = lead.select("bucket", "l.*").alias("l")
+        pairs = (at.alias("m").join(lead, "bucket")
+                 .filter((F.col("m.component") != F.col("l.component")) & (far("m", "l") <= most))
+                 .select(F.col("m.rid").alias("rid"), F.col("l.rid").alias("lead"))
+                 .select(F.least("rid", "lead").alias("x"), F.greatest("rid", "lead").alias("y")).distinct())
         found = materialise(verified(pairs))
-        links = found if links is None else links.union(found)
-        some = found.limit(1).count()
-        if some or comp is None:
-            comp = components(nodes, links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-            comp = materialise(comp)
-        turn += 1
-        if turn > 2 and not some:
+        if turn and not found.limit(1).count():
             break
-    ids = texts.select("tkey", "rid")
-    return rows_.select("doc_id", "tkey").join(ids, "tkey", "left"), comp
+        # links between components join them: the later rounds' few links make small tables
+        of = lambda end, name: label.select(F.col("rid").alias(end), F.col("component").alias(name))
+        edges = found.select(F.col("x").alias("a"), F.col("y").alias("b")) if turn == 0 else materialise(
+            found.join(of("x", "a"), "x").join(of("y", "b"), "y").select("a", "b").distinct())
+        joined = components(edges).select(F.col("id").alias("component"), F.col("component").alias("up"))
+        label = materialise(label.join(joined, "component", "left").select("rid", F.coalesce("up", "component").alias("component")))
+        turn += 1
+    ids = texts.select("tkey", "rid").join(label, "rid", "left").select(
+        "tkey", F.coalesce("component", "rid").alias("component"))
+    return rows_.select("doc_id", "tkey").join(ids, "tkey", "left")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 6,
@@ -203,8 +202,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     their own, one each; a text of fewer words than a shingle is one shingle; a null id yields to any id
     of its class; repeated rows are copies; other columns are not read; an empty table gives no
     rows."""
-    rows_, comp = text_classes(docs, shingle, similarity, bands, rows, id_col, text_col)
-    rows_ = materialise(rows_.join(comp.withColumnRenamed("id", "rid"), "rid", "left"))
+    rows_ = materialise(text_classes(docs, shingle, similarity, bands, rows, id_col, text_col))
     least = rows_.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     out = rows_.join(least, "component", "left")
     class_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
@@ -219,7 +217,7 @@ def one_per_class(docs: DataFrame, **params) -> DataFrame:
     chosen = (got.filter("__classed").groupBy("class_id").agg(
         F.min(F.when(F.col("kept"), F.col("tkey"))).alias("k"))
         .select(F.struct(F.col("class_id").alias("doc_id"), F.col("k").alias("tkey")).alias("__k")))
-    names = docs.columns
-    keyed = docs.withColumn("__k", F.struct("doc_id", text_key(F.col("text")).alias("tkey")))
-    kept = keyed.join(chosen, "__k").dropDuplicates(["__k"]).select(*names)
-    return kept.unionByName(docs.filter(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0))
+    keyed = docs.select(F.struct("doc_id", text_key(F.col("text")).alias("tkey")).alias("key"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = keyed.join(chosen, F.col("key").eqNullSafe(F.col("__k"))).dropDuplicates(["key"]).select("row.*")
+    return kept.unionByName(docs.filter(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0))
