@@ -224,6 +224,22 @@ def test_near_copies_of_one_text_in_a_large_group(spark):
     assert [got[i] for i in range(150)] == classes(rows)
 
 
+def test_links_of_texts_that_share_a_template(spark):
+    rows = []
+    for i in range(240):
+        own = [f"u{i}x{j}" for j in range(30)]
+        rows.append((i, " ".join([f"t{j}" for j in range(120)] + own)))
+        if i % 20 == 0:  # a near copy of its own
+            rows.append((1000 + i, " ".join([f"t{j}" for j in range(120)] + own[:29] + ["z"])))
+    want = classes(rows)
+    assert len(rows) - len(set(want)) == 12
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs_of(spark, rows), bands=4, rows=1).collect()}
+    assert [got[i] for i, _ in rows] == want
+    small = minhash_dedup.text_classes(docs_of(spark, rows), 5, 0.8, 4, 1, "doc_id", "text", leaders=1, large=60, block=30).collect()
+    by = _by(small, lambda r: r.component, lambda r: r.doc_id)
+    assert {min(ids) for ids in by.values()} == set(want) and len(by) == len(set(want))
+
+
 def test_bag_min_hash_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 40).astype(np.uint64)
