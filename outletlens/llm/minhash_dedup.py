@@ -304,7 +304,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     connected components, equal texts included.
 
     One row per input row: ``doc_id, class_id`` (least id of the class), ``kept`` (id equals
-    class_id) and ``tkey`` (key of the text). Null texts and texts without a word are classes of
+    class_id), ``tkey`` (key of the text) and ``component`` (a number of the class, null without words;
+    unlike ``class_id`` it tells classes apart whose ids are null or repeated). Null texts and texts without a word are classes of
     their own, one each; a text of fewer words than a shingle is one shingle; a null id yields to any id
     of its class; repeated rows are copies; other columns are not read; an empty table gives no
     rows."""
@@ -312,17 +313,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     least = rows_.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     out = rows_.join(least, "component", "left")
     class_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), "tkey",
-                      F.col("component").isNotNull().alias("__classed"))
+    return out.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), "tkey", "component")
 
 
 def one_per_class(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` with one row of every class: the least id and, among rows of
-    that id in the class, the least text key. Rows without words all stay."""
+    """The rows of ``docs`` with one row of every class: the least id (null only where the class has
+    no other) and, among rows of that id in the class, the least text key. Rows without words all
+    stay."""
     got = near_duplicates(docs, **params)
-    chosen = (got.filter("__classed").groupBy("class_id").agg(
-        F.min(F.when(F.col("kept"), F.col("tkey"))).alias("k"))
-        .select(F.struct(F.col("class_id").alias("doc_id"), F.col("k").alias("tkey")).alias("__k")))
+    chosen = (got.filter("component is not null").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("k"))
+        .select(F.struct("k.doc_id", "k.tkey").alias("__k")))
     keyed = docs.select(F.struct("doc_id", text_key(F.col("text")).alias("tkey")).alias("key"),
                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = keyed.join(chosen, F.col("key").eqNullSafe(F.col("__k"))).dropDuplicates(["key"]).select("row.*")

@@ -224,6 +224,14 @@ def test_near_copies_of_one_text_in_a_large_group(spark):
     assert [got[i] for i in range(150)] == classes(rows)
 
 
+def test_one_row_of_every_class_whatever_its_ids(spark):
+    from conftest import text
+
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (8, text(4)), (None, text(3))]
+    kept = minhash_dedup.one_per_class(docs_of(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4))])
+
+
 def test_links_of_texts_that_share_a_template(spark):
     rows = []
     for i in range(240):
