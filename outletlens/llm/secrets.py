@@ -18,20 +18,22 @@ from outletlens.llm.common import materialise, mix64, span_hashes, spans
 from outletlens.llm.decontamination import _BREAK, _LOWER
 from outletlens.llm.substring_dedup import pieces
 
-# a candidate: at least MIN_LENGTH characters of the alphabets of keys and tokens, with a digit
-MIN_LENGTH = 12
+# a candidate: at least MIN_LENGTH characters of the alphabets of keys and tokens, or what is assigned
+# to a cue word or stands for the password in a URL, from MIN_VALUE characters on
+MIN_LENGTH, MIN_VALUE = 12, 4
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-="]] = False
 _ALPHA = np.ones(256, bool)
 _ALPHA[97:123] = False
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
 _KIND = np.full(256, 4, np.uint8)
 for _lo, _hi, _k in ((48, 58, 0), (65, 91, 1), (97, 123, 2)):
     _KIND[_lo:_hi] = _k
 _KIND[list(b"+/_-=")] = 3
 # Words that often stand before a credential.
 CUES = ("password", "passwd", "pwd", "secret", "token", "key", "api", "auth", "credential", "access", "private", "bearer")
+_CUE = re.compile(rb"(?i:" + "|".join(CUES).encode() + rb")[A-Za-z0-9_-]*[\"'`]?[ \t]*$")
+_VALUE = re.compile(rb"[=:]*>?[ \t]*[\"'`]?([^\s\"'`]{%d,})" % MIN_VALUE)
+_LOGIN = re.compile(rb"//[^\s/:@]*:([^\s/@]{%d,})@" % MIN_VALUE)
 SLOTS = 16  # hash slots of the words before and after, and of the path
 
 
@@ -49,7 +51,9 @@ def describe(value: bytes, before: bytes, after: bytes, path: str, dictionary: n
     start, end, _ = spans(low, np.array([0, n]), _ALPHA)
     long = end - start >= 3
     start, end = start[long], end[long]
-    covered = (end - start)[np.isin(span_hashes(low, start, end), dictionary)].sum() / n if len(start) else 0.0
+    h = span_hashes(low, start, end) if len(start) else np.zeros(0, np.uint64)
+    known = np.searchsorted(dictionary, h, "right") > np.searchsorted(dictionary, h)  # it is sorted
+    covered = (end - start)[known].sum() / n
     hexed = float(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", value) is not None)
     words = re.findall(rb"[A-Za-z]+", before.lower())[-3:]
     cue = float(any(c.encode() in w for w in words for c in CUES))
@@ -67,6 +71,22 @@ def describe(value: bytes, before: bytes, after: bytes, path: str, dictionary: n
             tail in (b"=", b":"), before[-1:] in (b'"', b"'", b"`"), *near)]
 
 
+def assigned(data: bytes, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
+    """Start, end and text of the values that follow a cue word and a sign, up to the next blank or
+    quote, and of the passwords of ``scheme://user:password@host``."""
+    sign = np.flatnonzero((raw == 61) | (raw == 58))
+    out = []
+    for p, t in zip(sign.tolist(), (np.searchsorted(off, sign, "right") - 1).tolist(), strict=True):
+        lo, hi = int(off[t]), int(off[t + 1])
+        if data[p:p + 3] == b"://":
+            m = _LOGIN.match(data, p + 1, hi)
+        else:
+            m = _CUE.search(data[max(lo, p - 40):p]) and _VALUE.match(data, p + 1, hi)
+        if m:
+            out.append((m.start(1), m.start(1) + max(MIN_VALUE, len(m[1].rstrip(b",;"))), t))
+    return out
+
+
 def hash_bytes(w: bytes) -> int:
     raw = np.frombuffer(w, np.uint8)
     return int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]) if len(raw) else 0
@@ -92,11 +112,18 @@ def common_words(docs: DataFrame, share: float) -> np.ndarray:
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
+# Long words of plain text.
+LONG_WORDS = ("international", "responsibility", "characteristic", "understanding", "administration", "representative", "communication",
+              "Massachusetts", "approximately", "environmental", "organization", "significantly", "Unfortunately", "relationship",
+              "straightforward", "neighbourhood", "independently", "circumstances", "manufacturing", "INTRODUCTION")
+
+
 def generated_findings(n: int, seed: int) -> list[tuple[bytes, bytes, bytes, str, int]]:
     """Labelled findings (value, text before, text after, path, label) of usual shapes: credentials in
     assignments and provider formats, against identifiers, sums, versions, names and numbers."""
     rng = np.random.default_rng(seed)
     alnum, hexa, upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789"
+    lower = "abcdefghijklmnopqrstuvwxyz"
     draw = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
     words = ["report", "image", "table", "chapter", "section", "north", "river", "module", "window", "signal"]
     word = lambda: words[rng.integers(0, len(words))]
@@ -106,14 +133,17 @@ def generated_findings(n: int, seed: int) -> list[tuple[bytes, bytes, bytes, str
     for i in range(n):
         path = pick("", "src", "docs", "web", "config")
         if i % 2:
-            k = rng.integers(0, 5)
+            k = rng.integers(0, 8)
             value, before = (("AKIA" + draw(upper, 16), pick("", "the ", "key ", "aws_access_key_id = ")) if k == 0 else
                              ("ghp_" + draw(alnum, 36), pick("", "token ", assign())) if k == 1 else
                              (draw(hexa, int(rng.integers(16, 48))), assign()) if k == 2 else
                              (draw(alnum, int(rng.integers(14, 44))), assign()) if k == 3 else
-                             ("sk_live_" + draw(alnum, 24), pick("", "key: ", assign())))
+                             ("sk_live_" + draw(alnum, 24), pick("", "key: ", assign())) if k == 4 else
+                             (draw(lower, int(rng.integers(6, 24))), assign()) if k == 5 else
+                             (draw(lower, int(rng.integers(4, 9))) + draw(digits + "!$%&#@*?", int(rng.integers(1, 4))), assign()) if k == 6 else
+                             (draw(alnum + "!$%&#*?", int(rng.integers(5, 14))), pick("postgres", "https", "mysql", "ftp") + "://" + word() + ":"))
         else:
-            k = rng.integers(0, 8)
+            k = rng.integers(0, 12)
             value, before = (("-".join(draw(hexa, m) for m in (8, 4, 4, 4, 12)), pick("id ", "uuid: ", "request ")) if k == 0 else
                              (draw(hexa, 40), pick("commit ", "at revision ", "blob ")) if k == 1 else
                              (draw(hexa, 64), pick("sha256 ", "digest: ", "checksum ")) if k == 2 else
@@ -121,7 +151,11 @@ def generated_findings(n: int, seed: int) -> list[tuple[bytes, bytes, bytes, str
                              (f"{word()}-{word()}-{rng.integers(1, 3000)}", pick("see ", "the ", "in ")) if k == 4 else
                              (f"{word()}_{word()}_v{rng.integers(1, 99)}", pick("file ", "name: ", "the ")) if k == 5 else
                              (f"20{rng.integers(10, 30)}-0{rng.integers(1, 9)}-1{rng.integers(0, 9)}T0{rng.integers(0, 9)}", pick("on ", "at ", "since ")) if k == 6 else
-                             (pick("your_api_key_here1", "xxxxxxxxxxxx1234", "example_token_123", "changeme12345"), assign()))
+                             (pick("your_api_key_here1", "xxxxxxxxxxxx1234", "example_token_123", "changeme12345", "none", "null", "true", "required", "changeme", "string", "os.environ"), assign()) if k == 7 else
+                             (pick(*LONG_WORDS), pick("the ", "of ", "and ", "an ", "note: ", "")) if k == 8 else
+                             (pick("-", "=", "_", "x") * int(rng.integers(12, 60)), pick("", "the ", "end ")) if k == 9 else
+                             (f"{word()}/{word()}/{word()}", pick("see ", "in ", "path: ", "//")) if k == 10 else
+                             (word() + pick("-", "_", "") + word() + pick("-", "_", "") + word(), pick("the ", "a ", "in ", "name: ")))
         after = pick("", '"', "'") + " " + word()
         out.append((value.encode(), (word() + " " + before).encode(), after.encode(), path, i % 2))
     return out
@@ -131,8 +165,9 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: i
                  dictionary_share: float = 0.002, seed: int = 5, path_col: str = "source") -> DataFrame:
     """Candidates for credentials in all texts, with the forest's judgement.
 
-    Candidates are runs of key characters of at least MIN_LENGTH with a digit, wherever they stand
-    in the whole text. The forest is trained on ``labelled`` findings ``(value, before, after, path, label)``,
+    Candidates are runs of key characters of at least MIN_LENGTH, and values of at least MIN_VALUE
+    characters of any kind but blanks and quotes that are assigned to a cue word or are the password of a
+    URL, wherever they stand in the whole text. The forest is trained on ``labelled`` findings ``(value, before, after, path, label)``,
     at most ``fit_rows`` of them (a documented bound); without any, on generated findings of usual shapes. It
     is a Spark ML forest; candidates are scored where they lie. The dictionary is counted over all
     texts.
@@ -153,15 +188,12 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: i
                 text = np.repeat(np.arange(len(off) - 1), np.diff(first))
                 long = end - start >= MIN_LENGTH
                 start, end, text = start[long], end[long], text[long]
-                digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
-                some = digits[end] > digits[start]
-                start, end, text = start[some], end[some], text[some]
                 data, paths = raw.tobytes(), part.column("path")
                 # "name=value" is one run of key characters: the value is what follows the sign
+                runs = [(max(s, data.rfind(b"=", s, e - MIN_LENGTH) + 1), e, t)
+                        for s, e, t in zip(start.tolist(), end.tolist(), text.tolist(), strict=True)]
                 out = []
-                for s, e, t in zip(start.tolist(), end.tolist(), text.tolist(), strict=True):
-                    sign = data.rfind(b"=", s, e - MIN_LENGTH)
-                    s = sign + 1 if sign >= 0 else s
+                for s, e, t in sorted({*runs, *assigned(data, raw, off)}):
                     lo, hi = max(int(off[t]), s - 40), min(int(off[t + 1]), e + 24)
                     out.append((t, s - int(off[t]), e - s, describe(data[s:e], data[lo:s], data[e:hi], paths[t].as_py(), dictionary)))
                 if out:
