@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__ as E
 from compare import rows_of_spark
-from conftest import SF001
+from paths import SF001
 from outletlens.operators import selection
 from outletlens.params import Params
 from outletlens.operators.prepare import prepare

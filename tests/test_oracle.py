@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from compare import compare
-from conftest import SF001, SF01
+from paths import SF001, SF01
 
 KEYS = sorted(E._core_queries())
 SQL = E._core_oracle_sql()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from compare import rows_of_spark
-from conftest import SF01
+from paths import SF01
 from outletlens.operators import graph, selection, stacked
 from outletlens.operators.prepare import prepare
 from outletlens.session import materialise
