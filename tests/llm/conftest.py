@@ -5,13 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-PROSE = ("the river runs past the old mill and turns east below the bridge where boats wait for the tide "
-         "while children throw stones from the wall and count how often each one skips over the water before dusk").split()
-
-
-def text(i, n=60):
-    """Some prose that differs from one number to the next."""
-    return " ".join(f"{PROSE[(i * 7 + j * (i % 5 + 1)) % len(PROSE)]}{(i * 31 + j * 17) % 97}" for j in range(n))
+from brute import text  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import classes, components, edits, repeats, targets, words
+from brute import classes, components, edits, repeats, targets, text, words
 from brute import SF001, SF01
 from pyspark.sql import functions as F
 
@@ -235,8 +235,6 @@ def test_near_copies_of_one_text_in_a_large_group(spark):
 
 
 def test_one_row_of_every_class_whatever_its_ids(spark):
-    from conftest import text
-
     rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (8, text(4)), (None, text(3))]
     kept = minhash_dedup.one_per_class(docs_of(spark, rows)).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4))])
