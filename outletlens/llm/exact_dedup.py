@@ -107,8 +107,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives no row. Other columns of ``docs`` are not read."""
     content = docs.select(F.col(id_col).alias("doc_id"), F.encode(ascii_lower(F.col(text_col)), "UTF-8").alias("content"))
     rows = materialise(text_identities(content, "doc_id", block, bits))
-    last = rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"),
-                                             F.max(F.struct("doc_id", "rid")).alias("last"))
+    # written, so that the join shuffles both sides itself and can split the rows of a large group
+    last = materialise(rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"),
+                                                         F.max(F.struct("doc_id", "rid")).alias("last")))
     return rows.join(last, ["level", "name"]).select(
         "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("last.rid")).alias("kept"),
         F.col("sha").alias("text_sha256"), "level", "name")
