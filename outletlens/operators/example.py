@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.functions.keyed import top_k
+from outletlens.functions.keyed import bounded_side, top_k
 
 EXAMPLE_TOP_EVENTS = 10  # fixed value: events kept by the example analysis
 
@@ -23,7 +23,7 @@ def best_mentions(mentions: DataFrame, best: DataFrame, keys: Sequence[str] = ()
     """Mentions of those events (broadcast semi-join: at most n ids per key).
     The reference sorts them by (eventId, mentionDateAdded); that is a
     presentation order, applied at a sink only (``write_parts(ordered=True)``)."""
-    return mentions.join(F.broadcast(best.select(*keys, "eventId")), [*keys, "eventId"],
+    return mentions.join(bounded_side(best.select(*keys, "eventId"), keys), [*keys, "eventId"],
                          "left_semi")
 
 

@@ -30,23 +30,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outletlens.functions.exprs import cents_to_double, to_cents
-from outletlens.functions.keyed import first_non_null, top_k
+from outletlens.functions.keyed import bounded_side, top_k
 from outletlens.params import GRAPH_TOP_OUTLETS
 from outletlens.session import materialise
 
 SRC = "mentionSourceName"
 
 
+def outlet_state(mentions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """What the graph keeps of mentions, per (keys, eventId, mentionSourceName): tone sum and count, and the
+    earliest mention with a URL. States of parts of the mentions merge into that of the whole
+    (``merge_outlet_states``)."""
+    url = F.col("mentionIdentifier")
+    return (mentions.where(F.col(SRC).isNotNull())
+            .groupBy(*keys, "eventId", SRC)
+            .agg(F.sum("mentionDocTone").alias("toneSum"), F.count("mentionDocTone").alias("toneCount"),
+                 F.min(F.when(url.isNotNull(), F.struct("mentionDateAdded", "mentionIdentifier"))).alias("first")))
+
+
+def merge_outlet_states(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return states.groupBy(*keys, "eventId", SRC).agg(
+        F.sum("toneSum").alias("toneSum"), F.sum("toneCount").alias("toneCount"), F.min("first").alias("first"))
+
+
+def tone_of_state(state: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, eventId, mentionSourceName) -> avgToneCents, mentionIdentifier; null mean without a tone."""
+    mean = F.when(F.col("toneCount") > 0, F.col("toneSum") / F.col("toneCount"))
+    return state.select(*keys, "eventId", SRC, to_cents(mean).alias("avgToneCents"),
+                        F.col("first.mentionIdentifier").alias("mentionIdentifier"))
+
+
 def outlet_tone(mentions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, eventId, mentionSourceName) -> avgToneCents, mentionIdentifier.
 
     One aggregation computes both the mean and the first URL (the reference runs
     two groupbys and joins them on the same keys)."""
-    url_order = F.struct(F.col("mentionDateAdded"), F.col("mentionIdentifier"))
-    return (mentions.where(F.col(SRC).isNotNull())
-            .groupBy(*keys, "eventId", SRC)
-            .agg(to_cents(F.avg("mentionDocTone")).alias("avgToneCents"),
-                 first_non_null("mentionIdentifier", url_order).alias("mentionIdentifier")))
+    return tone_of_state(outlet_state(mentions, keys), keys)
 
 
 def top_sources(tone: DataFrame, keys: Sequence[str] = (), n: int = GRAPH_TOP_OUTLETS) -> DataFrame:
@@ -59,7 +78,7 @@ def top_sources(tone: DataFrame, keys: Sequence[str] = (), n: int = GRAPH_TOP_OU
 def filtered(tone: DataFrame, top: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``outlet_tone`` rows of the top outlets (broadcast left semi-join: the top
     list is bounded by n rows per key)."""
-    return tone.join(F.broadcast(top.select(*keys, SRC)), [*keys, SRC], "left_semi")
+    return tone.join(bounded_side(top.select(*keys, SRC), keys), [*keys, SRC], "left_semi")
 
 
 def pairs(filt: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -131,7 +150,11 @@ def graph(mentions: DataFrame, keys: Sequence[str] = (), n: int = GRAPH_TOP_OUTL
     ``outlet_tone`` feeds the top list and the filter, and what the filter leaves (at most n
     rows an event) feeds every part: each is written once, in two jobs while the plan is
     built, so that no part scans the mentions again."""
-    tone = materialise(outlet_tone(mentions, keys))
+    return graph_of_tone(materialise(outlet_tone(mentions, keys)), keys, n)
+
+
+def graph_of_tone(tone: DataFrame, keys: Sequence[str] = (), n: int = GRAPH_TOP_OUTLETS) -> dict[str, DataFrame]:
+    """The parts from ``outlet_tone``, which is read twice."""
     filt = materialise(filtered(tone, top_sources(tone, keys, n), keys))
     pr = pairs(filt, keys)
     edg = edges(pr, keys)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outletlens.functions.exprs import floor_time, positive_tone, short_outlet, space_z_label
-from outletlens.functions.keyed import first_non_null, group_scalar_filter, top_k
+from outletlens.functions.keyed import bounded_side, first_non_null, group_scalar_filter, top_k
 from outletlens.params import STACKED_TIME_UNIT, STACKED_TOP_OUTLETS
 from outletlens.session import materialise
 
@@ -60,6 +60,29 @@ def hour_dedup(full: DataFrame, keys: Sequence[str] = (), unit: str = STACKED_TI
             .agg(first_non_null("positiveTone", F.col("_order")).alias("positiveTone")))
 
 
+def hour_state(full: DataFrame, keys: Sequence[str] = (), unit: str = STACKED_TIME_UNIT,
+               short_name: bool = True) -> DataFrame:
+    """What the series keep of mentions, per (keys, eventId, short outlet, hour): the earliest mention
+    with its tone flag. Unlike ``hour_dedup`` nothing is left out for its date, as the newest
+    event may still come; states of parts merge into that of the whole (``merge_hour_states``)."""
+    src = short_outlet(SRC) if short_name else F.col(SRC)
+    return (full.select(*keys, "eventId", src.alias(SRC), floor_time("mentionDateAdded", unit).alias(HOUR),
+                        F.struct("mentionDateAdded", "mentionIdentifier", "mentionDocTone",
+                                 positive_tone("mentionDocTone", "eventAvgTone").alias("positiveTone")).alias("first"))
+            .groupBy(*keys, "eventId", SRC, HOUR).agg(F.min("first").alias("first")))
+
+
+def merge_hour_states(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return states.groupBy(*keys, "eventId", SRC, HOUR).agg(F.min("first").alias("first"))
+
+
+def dedup_of_state(state: DataFrame, newest: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``hour_dedup`` from a state and the date of the newest event (per key): an hour's group is in
+    it if its earliest mention is not later."""
+    kept = group_scalar_filter(state, newest, keys, lambda m: F.col("first.mentionDateAdded") <= m)
+    return kept.select(*keys, "eventId", SRC, HOUR, F.col("first.positiveTone").alias("positiveTone"))
+
+
 def dates(dedup: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct hours (null outlets included) with their ``...Z`` label."""
     return (dedup.select(*keys, HOUR).distinct()
@@ -144,7 +167,7 @@ def ranked_counts(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
     """``co_outlet_counts`` of the top outlets, with their rank (broadcast join: at most n
     rows per key)."""
     return co_outlet_counts(dedup, keys, exact_disagreement).join(
-        F.broadcast(dom.select(*keys, SRC, "outlet_rank")), [*keys, SRC])
+        bounded_side(dom.select(*keys, SRC, "outlet_rank"), keys), [*keys, SRC])
 
 
 def streamgraph_wide(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
@@ -169,7 +192,7 @@ def streamgraph_long(dedup: DataFrame, dom: DataFrame, keys: Sequence[str] = (),
     long = wide.unpivot([*keys, "mentionInterval"], [f"outlet_{i}" for i in range(1, n + 1)],
                         "_slot", "numOtherSources")
     long = long.withColumn("outlet_rank", F.substring_index("_slot", "_", -1).cast("int"))
-    return (long.join(F.broadcast(dom.select(*keys, "outlet_rank", SRC)), [*keys, "outlet_rank"])
+    return (long.join(bounded_side(dom.select(*keys, "outlet_rank", SRC), keys), [*keys, "outlet_rank"])
             .select(*keys, "mentionInterval", SRC, "numOtherSources"))
 
 
@@ -207,7 +230,12 @@ def stacked(full: DataFrame, keys: Sequence[str] = (), unit: str = STACKED_TIME_
     """All stacked-series parts. The deduplicated mentions, the top list and the counts of the
     top outlets are each written once while the plan is built; every part aggregates one of
     these."""
-    dedup = materialise(hour_dedup(full, keys, unit, short_name))
+    return stacked_of_dedup(materialise(hour_dedup(full, keys, unit, short_name)), keys, n, exact_disagreement)
+
+
+def stacked_of_dedup(dedup: DataFrame, keys: Sequence[str] = (), n: int = STACKED_TOP_OUTLETS,
+                     exact_disagreement: bool = False) -> dict[str, DataFrame]:
+    """The parts from ``hour_dedup``, which is read several times."""
     dom = materialise(dom_outlets(dedup, keys, n))
     ranked = materialise(ranked_counts(dedup, dom, keys, exact_disagreement))
     dd = drilldown(dedup, dom, keys, exact_disagreement, ranked)
