@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values -------------------------------------------------------------
-INT_DATE_PATTERN = "yyyyMMddHHmmss"          # integer dates of the source tables
-# ------------------------------------------------------------------------------
-
-
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def int_date_to_ts(col) -> Column:
-    """``20240105061500`` (bigint) -> timestamp_ntz. Malformed input raises under
-    ANSI mode, as the reference's strict parser does."""
-    return F.to_timestamp_ntz(_c(col).cast("string"), F.lit(INT_DATE_PATTERN))
+    """``20240105061500`` (bigint) -> timestamp_ntz. A number that is no such date raises,
+    whatever the session's ANSI setting; NULL stays NULL."""
+    c = _c(col).cast("long")
+
+    def digits(at: int, n: int) -> Column:
+        return F.try_mod(F.floor(c / F.lit(10 ** at)), F.lit(10 ** n)).cast("int")
+
+    time = F.try_make_timestamp_ntz(digits(10, 4), digits(8, 2), digits(6, 2), digits(4, 2), digits(2, 2),
+                                    digits(0, 2).cast("decimal(8,6)"))
+    sound = c.between(10 ** 13, 10 ** 14 - 1) & (digits(0, 2) < 60) & time.isNotNull()
+    return F.when(c.isNull() | sound, time).otherwise(
+        F.raise_error(F.concat(F.lit("not a date of the form yyyyMMddHHmmss: "), c.cast("string"))).cast("timestamp_ntz"))
 
 
 def ts_to_int_date(col) -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from outletlens.session import materialise
+
 
 def first_non_null(col: str, order: Column) -> Column:
     """Value of ``col`` from the row with the smallest ``order`` among rows where
@@ -47,14 +49,33 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
     return out
 
 
+def bounded_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A join side with at most a fixed number of rows per key: broadcast without keys; with
+    keys their number is data, and Spark decides by the side's size."""
+    return df if keys else F.broadcast(df)
+
+
+def running_total(df: DataFrame, amount: str, order: Sequence[Column], name: str) -> DataFrame:
+    """``df``, written in global order, with ``name``: the sum of ``amount`` over all rows before a row.
+    No task sees more than its range: totals per range are summed over the ranges (one row
+    each), rows inside their own. Rows equal in ``order`` follow each other in any order."""
+    ranges = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = (ranges.groupBy("_range").agg(F.sum(amount).alias("_sum"))
+              .select("_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start")))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranges.withColumn("_within", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+            .join(starts, "_range").withColumn(name, F.col("_start") + F.col("_within"))
+            .drop("_range", "_within", "_start"))
+
+
 def group_scalar_filter(df: DataFrame, per_key: DataFrame, keys: Sequence[str],
                         predicate: Callable[[Column], Column]) -> DataFrame:
     """Filter ``df`` with a predicate on one aggregate value per key.
 
     ``per_key`` holds the key columns and one value column. No keys: the value is
     a scalar subquery (one small job, then a literal in the filter; no join).
-    With keys: a join with ``per_key``, one row per key, broadcast since its size
-    is the number of keys (datasets), not the data.
+    With keys: a join with ``per_key``, one row per key.
     """
     value_col = [c for c in per_key.columns if c not in keys]
     if len(value_col) != 1:
@@ -63,5 +84,5 @@ def group_scalar_filter(df: DataFrame, per_key: DataFrame, keys: Sequence[str],
         return df.where(predicate(per_key.scalar()))
     v = value_col[0]
     tmp = f"__{v}"
-    joined = df.join(F.broadcast(per_key.withColumnRenamed(v, tmp)), list(keys))
+    joined = df.join(per_key.withColumnRenamed(v, tmp), list(keys))
     return joined.where(predicate(F.col(tmp))).drop(tmp)

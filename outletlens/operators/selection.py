@@ -23,9 +23,10 @@ sort-merge join whose hot partitions AQE splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outletlens.functions.keyed import running_total
 from outletlens.params import Params
 from outletlens.session import materialise
 from outletlens.sources.fixtures import SourceTables
@@ -144,22 +145,28 @@ def best_events_folded(mentions: DataFrame, p: Params, with_rows: bool = False)
             .drop("_any_conf", "_any_chosen"))
 
 
-def cut_at_limit(per_event: DataFrame, limit: int) -> DataFrame:
-    """Per-event rows whose mentions can be among the first ``limit`` flat rows.
+def cut_at_limit(per_event: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Where the limit falls: the per-event rows whose mentions are all among the first ``limit`` flat
+    rows, those of the event that the limit cuts (None if there is none), and how many of
+    its mentions are left.
 
     Flat rows are ordered by ``eventSourceCount`` (= distinctSourceCount) and then by event, so
-    whole events fill the limit in that order until the next one starts beyond it. An event
-    that counts has at least one row, so the first ``limit`` of them are enough to look at: that
-    bounds the top-k and its running sum. The cut is the last event that starts within the limit;
-    ties of the source count are cut as well, rows of one repeated event id stay together. Exact:
-    the final ordering and limit still run on what is left."""
+    whole events fill the limit in that order, up to the one that starts within it and ends
+    beyond. Rows of one repeated event id stay together. The running sum over the events is a sum
+    per range of the order plus a sum over the ranges (``running_total``), so the limit may be of
+    any size; where all rows fit, their number is all that is computed."""
+    per_event = per_event.where(F.col("_rows") > 0)
+    if (per_event.agg(F.sum("_rows")).first()[0] or 0) <= limit:
+        return per_event.drop("_rows"), None, 0
     rank = F.struct((-F.col("distinctSourceCount")).alias("c"), F.col(ID).alias("id"))
-    events = (per_event.where(F.col("_rows") > 0).groupBy(rank.alias("rank")).agg(F.sum("_rows").alias("_n"))
-              .orderBy("rank").limit(limit))
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    last = (events.select("rank", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-            .where(F.col("_before") < limit).agg(F.max("rank")).scalar())
-    return per_event.where((F.col("_rows") > 0) & (rank <= last)).drop("_rows")
+    events = per_event.groupBy(rank.alias("rank")).agg(F.sum("_rows").alias("_n"))
+    starts = running_total(events, "_n", [F.col("rank")], "_before")
+    cut = (starts.where(F.col("_before") <= limit).agg(F.max(F.struct("rank", "_before"))).first()[0])
+    at = F.struct(F.lit(cut["rank"]["c"]).cast("long").alias("c"), F.lit(cut["rank"]["id"]).cast("long").alias("id"))
+    per_event = per_event.drop("_rows")
+    whole, last = per_event.where(rank < at), per_event.where(F.col(ID) == F.lit(cut["rank"]["id"]))
+    left = limit - cut["_before"]
+    return whole, last.where(rank == at) if left else None, left
 
 
 def mentions_of_best(confident: DataFrame, best: DataFrame, p: Params) -> DataFrame:
@@ -186,13 +193,11 @@ def project_flat(j: DataFrame) -> DataFrame:
     )
 
 
-def apply_limit(flat: DataFrame, limit: int | None) -> DataFrame:
-    """Top ``limit`` rows in ``flat_order()`` (TakeOrderedAndProject); ``None``
-    keeps every row. ``select_flat`` cuts the events first (``cut_at_limit``),
-    so the single-task merge sees about ``limit`` rows plus ties."""
-    if limit is None:
-        return flat
-    return flat.orderBy(*flat_order()).limit(limit).select(*FLAT_COLUMNS)
+def first_rows(flat: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows in ``flat_order()``, by their numbers in that order rather than by a merge
+    of all partitions' first rows in one task."""
+    numbered = running_total(flat.withColumn("_one", F.lit(1)), "_one", flat_order(), "_place")
+    return numbered.where(F.col("_place") < n).select(*FLAT_COLUMNS)
 
 
 def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> DataFrame:
@@ -206,7 +211,9 @@ def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> Data
       map-side combined (event, source) rows, so a hot event is harmless.
     * ``"restrict"``: the id search runs first and its distinct ids are written once; they
       restrict the (event, source) rows and the events by left semi-joins. The written size
-      lets Spark decide on a broadcast by its own threshold.
+      lets Spark decide on a broadcast by its own threshold. The ids' range is a literal bound
+      that reaches the scans, and where the ids are too many to broadcast, Spark's runtime filter
+      puts a Bloom filter of them on the scan of the mentions, below the first exchange.
 
     ``"auto"`` takes ``restrict`` with a regex, which scans the URLs anyway and usually leaves few
     ids, and ``fold`` without one.
@@ -217,8 +224,8 @@ def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> Data
     whose other side has a known size: Spark broadcasts it when it is under the
     broadcast threshold (the mentions are then never shuffled), otherwise it
     runs a sort-merge join whose hot partitions AQE splits. With a limit, the
-    per-event table is first cut to the events that can reach the first
-    ``limit`` rows (``cut_at_limit``).
+    per-event table is first cut to the events that lie in the first ``limit`` rows as
+    a whole (``cut_at_limit``); the one event that the limit splits is numbered by itself.
     """
     if strategy == "auto":
         strategy = "restrict" if p.filter_mention_id else "fold"
@@ -228,17 +235,25 @@ def select_flat(tables: SourceTables, p: Params, strategy: str = "auto") -> Data
     with_rows = p.limit is not None
     if strategy == "restrict":
         ids = materialise(distinct_event_ids(tables.mentions, p), how="table")
-        events = events_in_window(tables.events, ids, p)
+        low, high = ids.agg(F.min(ID), F.max(ID)).first()
+        within = F.col(ID).between(F.lit(low).cast("long"), F.lit(high).cast("long"))
+        ids, confident = ids.where(within), confident.where(within)
+        events = events_in_window(tables.events.where(within), ids, p)
         best = best_events(confident, p, with_rows, ids)
     else:
         events = (tables.events.where(partition_window(p))
                   .select(ID, "DATEADDED", "Actor1Name", "Actor2Name", "GoldsteinScale"))
         best = best_events_folded(tables.mentions, p, with_rows)
     per_event = materialise(best.join(events, ID), how="table")
-    if p.limit:
-        per_event = cut_at_limit(per_event, p.limit)
     in_range = confident.where(F.col("MentionTimeDate").between(p.begin_int, p.end_int))
-    return apply_limit(project_flat(in_range.join(per_event, ID)), p.limit)
+    if p.limit is None:
+        return project_flat(in_range.join(per_event, ID))
+    whole, last, left = cut_at_limit(per_event, p.limit)
+    flat = project_flat(in_range.join(whole, ID))
+    if last is None:
+        return flat
+    rest = in_range.where(F.col(ID) == last.select(ID).first()[0])  # one event: a literal for the scan
+    return flat.unionByName(first_rows(project_flat(rest.join(last, ID)), left))
 
 
 def empty_guard(flat: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -17,6 +20,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # a join too large to broadcast filters the larger side's scan by a Bloom filter of the smaller
+    # side's keys, up to this size of it (Spark's default: 10 MB, where it would broadcast anyway)
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "512m",
     # checkpoint files of intermediate results are removed once unreferenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -81,6 +87,14 @@ def fs_delete(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
+def fs_list(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in ``path``, sorted; empty if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def fs_touch(spark: SparkSession, path: str) -> None:
     """Create an empty marker file through the Hadoop file system."""
     jvm = spark.sparkContext._jvm
@@ -103,27 +117,52 @@ def materialise(df, spark: SparkSession | None = None, how: str = "table"):
         ensure_checkpoint_dir(spark)
         return df.checkpoint(eager=True)
     path = scratch_path(spark, "materialised", spark.sparkContext.applicationId, uuid.uuid4().hex)
-    for owned in _OWNED[-1:]:
+    if (owned := _OWNED.get()) is not None:
         owned.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
-_OWNED: list[list[str]] = []
+# tables of the innermost block; each thread has its own, and ``side_by_side`` hands it on
+_OWNED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
 
 
 @contextmanager
 def owned_tables(spark: SparkSession):
     """Tables that ``materialise`` writes inside the block are removed at its end: for jobs
     that have written their results by then."""
-    _OWNED.append([])
+    paths: list[str] = []
+    token = _OWNED.set(paths)
     try:
         yield
     finally:
-        for path in _OWNED.pop():
+        _OWNED.reset(token)
+        for path in paths:
             fs_delete(spark, path)
 
 
+def side_by_side(calls: Sequence[Callable[[], object]], workers: int = 4, pool: str = "parts") -> list:
+    """Results of ``calls``, each of which runs Spark jobs of its own, ``workers`` at a time: small
+    independent jobs then share the executors instead of waiting for each other's last task.
+    With ``spark.scheduler.mode=FAIR`` they are in one pool. The first error is raised when all
+    calls have ended."""
+    from pyspark import inheritable_thread_target
+
+    spark = SparkSession.getActiveSession()
+
+    def started(call):
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+            return call()
+        return inheritable_thread_target(spark)(run)
+
+    if workers <= 1 or len(calls) <= 1 or spark is None:
+        return [call() for call in calls]
+    with ThreadPoolExecutor(min(workers, len(calls))) as threads:
+        jobs = [threads.submit(contextvars.copy_context().run, started(call)) for call in calls]
+    return [job.result() for job in jobs]
+
+
 def clear_materialised(spark: SparkSession) -> None:
     """Delete the tables this application wrote with ``materialise`` (call when
     the DataFrames built on them are no longer used, e.g. at the end of a job;
