@@ -1,15 +1,20 @@
-"""End-to-end run of one parameter set, cached by its full parameter set.
-
-On a miss: the selection is written once as a parquet table in the cache
-folder and read back (one computation, lineage cut at a shared, fault-tolerant
-copy), every registered task part is written next to it, then a ``_DONE``
-marker. On a hit the parts are read back. An empty selection is reported as
-``{"empty": True}`` and not cached.
+"""End-to-end run of one parameter set, cached by its full parameter set and its inputs.
+
+The cache key holds the parameters, the tasks and a fingerprint of the files that the tables
+read for the window's days, so changed or appended tables are another key and nothing stale is
+served. On a miss the selection is written once as a parquet table in a fresh folder
+and read back (one computation, lineage cut at a shared, fault-tolerant copy), every
+registered task part is written next to it, and only then the folder is published by an empty
+marker file, whose creation is one atomic operation on any store. Readers take the newest
+published folder: a run that fails leaves the served result as it is, and of two runs that race
+the one published last is served. On a hit the parts are read back. An empty selection is
+reported as ``{"empty": True}`` and not cached.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +23,8 @@ from pyspark.sql.types import StructType
 from outletlens.operators.selection import select_flat
 from outletlens.params import Params
 from outletlens.plans.tasks import TASKS, Task, run_dataset_pipeline
-from outletlens.session import fs_delete, fs_exists, fs_touch, materialise, owned_tables
-from outletlens.sources.files import list_dirs, read_flat_csv, read_parts, write_flat_csv, write_parts
+from outletlens.session import fs_delete, fs_list, fs_touch, materialise, owned_tables
+from outletlens.sources.files import list_dirs, read_flat_csv, read_parts, snapshot, write_flat_csv, write_parts
 from outletlens.sources.fixtures import SourceTables
 from outletlens.sources.tables import FLAT_SCHEMA
 
@@ -33,33 +38,62 @@ def task_text(tasks: Sequence[Task]) -> str:
     return json.dumps([[t.task_name, vars(t)] for t in tasks], sort_keys=True, default=str)
 
 
-def cache_folder(cache_root: str, params: Params, source: str = "", tasks: Sequence[Task] = TASKS) -> str:
-    return f"{cache_root.rstrip('/')}/query_id={params.query_id(source, task_text(tasks))}"
+def cache_folder(cache_root: str, params: Params, source: str = "", tasks: Sequence[Task] = TASKS,
+                 inputs: str = "") -> str:
+    key = params.query_id(json.dumps([source, inputs]) if inputs else source, task_text(tasks))
+    return f"{cache_root.rstrip('/')}/query_id={key}"
+
+
+def input_snapshot(spark: SparkSession, tables: SourceTables, params: Params) -> str:
+    """Fingerprint of the files of both tables that the parameters' window reads."""
+    days = (params.begin_day.isoformat(), params.end_day_exclusive.isoformat())
+    return snapshot(spark, (tables.mentions, tables.events), days)
+
+
+def published(spark: SparkSession, root: str) -> list[str]:
+    """Names of the published results in ``root``, the served one last."""
+    return [name.split(".", 1)[1] for name in fs_list(spark, f"{root}/_published") if "." in name]
+
+
+def publish(spark: SparkSession, root: str, name: str) -> None:
+    """Serve the result folder ``name``. The one served before stays for its readers; older ones go."""
+    markers = [m for m in fs_list(spark, f"{root}/_published") if "." in m]
+    number = int(markers[-1].split(".", 1)[0]) + 1 if markers else 1
+    fs_touch(spark, f"{root}/_published/{number:012d}.{name}")
+    for old in markers[:-1]:
+        fs_delete(spark, f"{root}/_published/{old}")
+        fs_delete(spark, f"{root}/{old.split('.', 1)[1]}")
 
 
 def run_pipeline(spark: SparkSession, tables: SourceTables, params: Params, cache_root: str | None,
                  tasks: Sequence[Task] = TASKS, source: str = "",
                  refresh: bool = False) -> dict:
     """``{task: {part: DataFrame}}`` for ``params`` (or ``{"empty": True}``).
-    ``source`` names the tables (both of them). ``refresh=True`` recomputes and overwrites this
-    parameter set's folder. Without a ``cache_root`` nothing is kept beyond the session's
+    ``source`` names the tables (both of them); what their files hold is found out. ``refresh=True``
+    recomputes and publishes anew; the result served so far stays readable until the next
+    refresh. Without a ``cache_root`` nothing is kept beyond the session's
     own tables: the parts are planned over the selection, written once."""
     if cache_root is None:
         flat = materialise(select_flat(tables, params))
         return {"empty": True} if flat.isEmpty() else run_dataset_pipeline(flat, tasks)
-    root = cache_folder(cache_root, params, source, tasks)
-    if not refresh and fs_exists(spark, f"{root}/_DONE"):
-        return read_parts(spark, root)
-    if fs_exists(spark, root):
-        fs_delete(spark, root)
-    with owned_tables(spark):
-        flat = materialise_flat(spark, select_flat(tables, params), f"{root}/flat")
-        if flat.isEmpty():
-            fs_delete(spark, root)
-            return {"empty": True}
-        write_parts(run_dataset_pipeline(flat, tasks), root)
-    fs_touch(spark, f"{root}/_DONE")
-    return read_parts(spark, root)
+    root = cache_folder(cache_root, params, source, tasks, input_snapshot(spark, tables, params))
+    served = [] if refresh else published(spark, root)
+    if served:
+        return read_parts(spark, f"{root}/{served[-1]}")
+    name = f"run-{uuid.uuid4().hex}"
+    fresh = f"{root}/{name}"
+    try:
+        with owned_tables(spark):
+            flat = materialise_flat(spark, select_flat(tables, params), f"{fresh}/flat")
+            if flat.isEmpty():
+                fs_delete(spark, root)
+                return {"empty": True}
+            write_parts(run_dataset_pipeline(flat, tasks), fresh)
+    except BaseException:
+        fs_delete(spark, fresh)
+        raise
+    publish(spark, root, name)
+    return read_parts(spark, fresh)
 
 
 def materialise_flat(spark: SparkSession, flat: DataFrame, path: str) -> DataFrame:
@@ -69,10 +103,11 @@ def materialise_flat(spark: SparkSession, flat: DataFrame, path: str) -> DataFra
 
 
 def invalidate_cache(spark: SparkSession, cache_root: str, params: Params | None = None,
-                     source: str = "", tasks: Sequence[Task] = TASKS) -> None:
-    """Drop one parameter set's cached results, or all of them."""
+                     source: str = "", tasks: Sequence[Task] = TASKS, tables: SourceTables | None = None) -> None:
+    """Drop one parameter set's cached results (over ``tables`` as they are now), or all of them."""
     if params is not None:
-        fs_delete(spark, cache_folder(cache_root, params, source, tasks))
+        inputs = "" if tables is None else input_snapshot(spark, tables, params)
+        fs_delete(spark, cache_folder(cache_root, params, source, tasks, inputs))
         return
     for name in list_dirs(spark, cache_root):
         if name.startswith("query_id="):

@@ -14,12 +14,15 @@ from pyspark.sql import types as T
 from outletlens.operators.selection import select_flat
 from outletlens.params import Params
 from outletlens.plans.batch import run_all_datasets
+from outletlens.plans.incremental import update_datasets
 from outletlens.plans.pipeline import run_pipeline
-from outletlens.plans.tasks import (TASKS, ExampleTask, GraphTask, StackedGraphTask,
+from outletlens.plans.tasks import (TASKS, ExampleTask, GraphTask, StackedGraphTask, Task,
                                    run_dataset_pipeline)
 from outletlens.session import materialise, scratch_path
-from outletlens.sources.files import read_flat_csv, read_json, write_flat_csv, write_json
+from outletlens.sources.documents import read_graph_document, write_graph_document
+from outletlens.sources.files import read_flat_csv, read_json, read_ordered, write_flat_csv, write_json, write_parts
 from outletlens.sources.fixtures import SourceTables
+from outletlens.sources.tables import read_events, read_mentions, write_bucketed, write_partitioned
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
@@ -75,8 +78,7 @@ def batch_datasets(spark: SparkSession, flats: Mapping[str, DataFrame], task: st
     root = fresh_dir(spark, "datasets")
     for name, flat in flats.items():
         write_flat_csv(flat, f"{root}/{name}.csv")
-    tasks = {"graph": (GraphTask(),), "stackedGraph": (StackedGraphTask(),)}[task]
-    return run_all_datasets(spark, root, tasks=tasks)[task][part]
+    return run_all_datasets(spark, root, tasks=PART_TASKS[task])[task][part]
 
 
 def cache_hit(spark: SparkSession, tables: SourceTables, params: Params, source: str,
@@ -92,3 +94,62 @@ def cache_hit(spark: SparkSession, tables: SourceTables, params: Params, source:
     if "empty" in res:
         return run_dataset_pipeline(select_flat(last, params), (GraphTask(),))["graph"]["edges"]
     return res["graph"]["edges"]
+
+
+def cache_appended(spark: SparkSession, tables: SourceTables, params: Params, source: str) -> DataFrame:
+    """Run the cached pipeline over half of the mentions, append the others to the table and run it
+    again under the same name: the appended files are another snapshot, so nothing stale comes back."""
+    root = fresh_dir(spark, "appended")
+    write_partitioned(tables.events, f"{root}/events")
+    half = F.xxhash64("GLOBALEVENTID", "MentionTimeDate", "MentionIdentifier") % 2 == 0
+    for mode, part in (("overwrite", tables.mentions.where(half)), ("append", tables.mentions.where(~half))):
+        write_partitioned(part, f"{root}/mentions", mode)
+        now = SourceTables(read_mentions(spark, f"{root}/mentions"), read_events(spark, f"{root}/events"))
+        res = run_pipeline(spark, now, params, f"{root}/cache", source=source)
+    return res["graph"]["edges"]
+
+
+def graph_document(spark: SparkSession, flat: DataFrame, part: str = "edge_events") -> DataFrame:
+    """The graph task's parts as one nested document, and one part read back from it."""
+    path = fresh_dir(spark, "document")
+    write_graph_document(run_dataset_pipeline(materialise(flat), (GraphTask(),))["graph"], path)
+    return read_graph_document(spark, path)[part]
+
+
+def ordered_part(spark: SparkSession, flat: DataFrame, task: Task, part: str) -> DataFrame:
+    """A part written in its presentation order and read back with each row's place in it."""
+    root = fresh_dir(spark, "ordered")
+    parts = run_dataset_pipeline(materialise(flat), (task,))[task.task_name]
+    [path] = write_parts({task.task_name: {part: parts[part]}}, root, ordered=True)
+    return read_ordered(spark, path)
+
+
+def bucketed_selection(spark: SparkSession, tables: SourceTables, params: Params, buckets: int = 8) -> DataFrame:
+    """The selection over both tables in the bucketed layout."""
+    return select_flat(bucketed_tables(spark, tables, buckets), params)
+
+
+def bucketed_tables(spark: SparkSession, tables: SourceTables, buckets: int) -> SourceTables:
+    tag = uuid.uuid4().hex
+    out = []
+    for name, df in (("mentions", tables.mentions), ("events", tables.events)):
+        write_bucketed(df, f"{name}_{tag}", scratch_path(spark, "bucketed", tag, name), buckets)
+        out.append(spark.table(f"{name}_{tag}"))
+    return SourceTables(*out)
+
+
+def batch_incremental(spark: SparkSession, flats: Mapping[str, DataFrame], task: str = "graph", part: str = "edges") -> DataFrame:
+    """Each flat table is saved in two files, the second one after a first run of the incremental
+    batch; the results after the second run, which reads the new files only."""
+    root = fresh_dir(spark, "arriving")
+    second = F.pmod(F.xxhash64("mentionIdentifier", "mentionDateAdded"), F.lit(2)) == 1
+    saved = {name: materialise(flat) for name, flat in flats.items()}
+    for late in (False, True):
+        for name, flat in saved.items():
+            write_flat_csv(flat.where(second if late else ~second), f"{root}/datasets/{name}.csv", mode="append")
+        update_datasets(spark, f"{root}/datasets", f"{root}/state", f"{root}/results")
+    schema = run_dataset_pipeline(next(iter(saved.values())).withColumn("dataset", F.lit("")), PART_TASKS[task], keys=("dataset",))[task][part].schema
+    return spark.read.schema(schema).parquet(f"{root}/results/{task}/{part}")
+
+
+PART_TASKS = {"graph": (GraphTask(),), "stackedGraph": (StackedGraphTask(),)}

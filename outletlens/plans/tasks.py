@@ -8,6 +8,7 @@ every registered task over one shared, lazily planned input.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from outletlens.operators import example, graph, stacked
 from outletlens.operators.prepare import Prepared, prepare
 from outletlens.params import STACKED_TOP_OUTLETS
+from outletlens.session import side_by_side
 
 
 class Task(Protocol):
@@ -76,7 +78,8 @@ def registry(tasks: Sequence[Task]) -> dict[str, Task]:
 
 def run_dataset_pipeline(flat: DataFrame, tasks: Sequence[Task] = TASKS,
                          keys: Sequence[str] = ()) -> dict[str, dict[str, DataFrame]]:
-    """Plan every task over ``flat``: ``{task_name: {part: DataFrame}}``."""
+    """Plan every task over ``flat``: ``{task_name: {part: DataFrame}}``. Tasks write their shared
+    tables while they plan; those jobs of different tasks run side by side."""
     named = registry(tasks)
     prepared = prepare(flat, keys)
-    return {name: task.run(prepared) for name, task in named.items()}
+    return dict(zip(named, side_by_side([partial(task.run, prepared) for task in named.values()])))

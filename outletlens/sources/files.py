@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outletlens.functions.exprs import iso_z_label
-from outletlens.sources.tables import FLAT_SCHEMA
+from outletlens.session import side_by_side
+from outletlens.sources.tables import FLAT_SCHEMA, PART_COL
 
 
 # --- CSV datasets (the reference's saved query results) -------------------------------
@@ -46,17 +48,22 @@ def qualified(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(p).toString()).rstrip("/")
 
 
-def dataset_name(spark: SparkSession, root: str):
-    """Dataset name of a file below ``root``: the first path component below
+def name_below(spark: SparkSession, root: str, path: Column) -> Column:
+    """Dataset name of the file ``path`` below ``root``: the first path component below
     ``root`` up to its first dot. A plain file ``root/khashoggi.csv`` and a
     Spark-written folder ``root/khashoggi.csv/part-*`` both give ``khashoggi``."""
     prefix = qualified(spark, root) + "/"
-    # the metadata path is percent-encoded; a plus sign in it stands for itself
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     rel = F.substring(F.regexp_replace(path, "^(\\w+:)/*", "$1/"), len(re.sub(r"^(\w+:)/*", r"\1/", prefix)) + 1, 1 << 30)
     return F.substring_index(F.substring_index(rel, "/", 1), ".", 1)
 
 
+def dataset_name(spark: SparkSession, root: str) -> Column:
+    """``name_below`` of the file a row was read from."""
+    # the metadata path is percent-encoded; a plus sign in it stands for itself
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return name_below(spark, root, path)
+
+
 def read_dataset_dir(spark: SparkSession, root: str, schema: T.StructType = FLAT_SCHEMA,
                      name_col: str = "dataset") -> DataFrame:
     """Every CSV dataset below ``root`` in one scan, with a ``dataset`` column
@@ -121,33 +128,80 @@ def presentation_order(part: str, df: DataFrame, keys: Sequence[str] = ()) -> li
     cols = [F.col(k) for k in keys]
     cols += [F.col(c).desc() for c in desc_first.get(part, []) if c in df.columns]
     cols += [F.col(c).asc() for c in by.get(part, []) if c in df.columns]
+    used = {*keys, *desc_first.get(part, []), *by.get(part, [])}
+    # the other plain columns break ties, so that the order is total
+    cols += [F.col(f.name).asc_nulls_first() for f in df.schema
+             if cols and f.name not in used and isinstance(f.dataType, T.AtomicType)]
     return cols
 
+
 def write_parts(results: Mapping[str, Mapping[str, DataFrame]], root: str, fmt: str = "parquet",
                 partition_by: Sequence[str] = (), mode: str = "overwrite",
-                dynamic: bool = False, ordered: bool = False) -> list[str]:
+                dynamic: bool = False, ordered: bool = False, workers: int = 4) -> list[str]:
     """Write every ``task/part`` below ``root``; returns the written paths.
     ``dynamic`` replaces only the ``partition_by`` values present in the data
     (dynamic partition overwrite), leaving the other datasets' results.
-    ``ordered`` writes each part in its presentation order (files in order)."""
-    written = []
-    for task, parts in results.items():
-        for part, df in parts.items():
-            path = f"{root}/{task}/{part}"
-            if ordered:
-                order = presentation_order(part, df)
-                df = df.orderBy(*order) if order else df
-            data = json_ready(df) if fmt == "json" else df
-            w = data.write.mode(mode)
-            if fmt == "json":
-                w = w.option("ignoreNullFields", False)
-            if dynamic:
-                w = w.option("partitionOverwriteMode", "dynamic")
-            if partition_by:
-                w = w.partitionBy(*partition_by)
-            w.format(fmt).save(path)
-            written.append(path)
-    return written
+    ``ordered`` writes each part in its presentation order (files in order).
+    Parts are jobs of their own, ``workers`` of them at a time."""
+    def write(part: str, df: DataFrame, path: str) -> str:
+        if ordered:
+            order = presentation_order(part, df)
+            df = df.orderBy(*order) if order else df
+        w = (json_ready(df) if fmt == "json" else df).write.mode(mode)
+        if fmt == "json":
+            w = w.option("ignoreNullFields", False)
+        if dynamic:
+            w = w.option("partitionOverwriteMode", "dynamic")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.format(fmt).save(path)
+        return path
+
+    return side_by_side([lambda part=part, df=df, path=f"{root}/{task}/{part}": write(part, df, path)
+                         for task, parts in results.items() for part, df in parts.items()], workers)
+
+
+def read_ordered(spark: SparkSession, path: str, rank: str = "rank") -> DataFrame:
+    """A parquet part that was written in order, with each row's number from 1 in that order:
+    files follow each other by name, rows inside a file by position. Only a count per file is
+    summed over all files, no row is sorted."""
+    at = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    rows = spark.read.parquet(path)
+    rows = rows.select(*rows.columns, *at)
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = (rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+              .select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    return (rows.join(starts, "_file").withColumn(rank, F.col("_start") + F.col("_row") + 1)
+            .drop("_file", "_row", "_start"))
+
+
+# --- what a table's files are ---------------------------------------------------------
+
+def literal(path: str) -> str:
+    """``path`` with nothing in it taken for a wildcard."""
+    return re.sub(r"([\\[\]{}*?])", r"\\\1", path)
+
+
+def file_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, length, changed) of the files ``paths`` or the files below these folders; their
+    contents are not read."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load([literal(p) for p in paths])
+            .select("path", "length", F.unix_micros("modificationTime").alias("changed")))
+
+
+def snapshot(spark: SparkSession, tables: Sequence[DataFrame], days: tuple[str, str] | None = None) -> str:
+    """Fingerprint of the files that ``tables`` read: their paths, sizes and times of change. With
+    ``days`` (first, first not read; ISO) only files of these partition days count, and files
+    outside any day's folder. Tables that read no files have an empty one."""
+    paths = sorted({unquote(f) for t in tables for f in t.inputFiles()})
+    if days:
+        day = {p: m[1] if (m := re.search(rf"/{PART_COL}=(\d{{4}}-\d\d-\d\d)/", p)) else None for p in paths}
+        paths = [p for p in paths if day[p] is None or days[0] <= day[p] < days[1]]
+    if not paths:
+        return ""
+    each = F.xxhash64("path", "length", "changed").cast("decimal(38,0)")
+    n, total = file_list(spark, paths).agg(F.count(F.lit(1)), F.sum(each)).first()
+    return f"{n}:{total}"
 
 
 def list_dirs(spark: SparkSession, path: str) -> list[str]:

@@ -67,6 +67,33 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite") -> None
     df.write.mode(mode).partitionBy(PART_COL).parquet(path)
 
 
+# --- bucketed layout ------------------------------------------------------------------
+
+EVENT_COL = "GLOBALEVENTID"
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Write a source table as ``table`` (files below ``path``): one folder per day, inside it one file
+    per bucket of the event id, sorted by it. Grouping by event and joining on it then read their
+    input in place: a task takes a bucket's files of all days of the window, and the mentions are
+    never shuffled. ``buckets`` should be at least ``spark.sql.shuffle.partitions`` (else Spark
+    may prefer to shuffle) and large enough that a bucket's window fits a task; an event is
+    in one bucket however large it is, so data with an event that dominates its day is better
+    kept unbucketed, where AQE splits it."""
+    (df.repartition(buckets, EVENT_COL).write.mode("overwrite").format("parquet").option("path", path)
+     .partitionBy(PART_COL).bucketBy(buckets, EVENT_COL).sortBy(EVENT_COL).saveAsTable(table))
+
+
+def register_bucketed(spark: SparkSession, table: str, path: str, schema: T.StructType, buckets: int) -> DataFrame:
+    """Make a bucketed layout written elsewhere known to this session's catalog, days that came
+    since included, and read it."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({PART_COL}) "
+              f"CLUSTERED BY ({EVENT_COL}) SORTED BY ({EVENT_COL}) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    spark.catalog.recoverPartitions(table)
+    return spark.table(table)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast/select to ``schema``; missing columns are an error."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
