@@ -163,6 +163,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from outletlens.plans import plumbing as PL  # I/O keys (write, then read back)
+    from outletlens.plans.tasks import ExampleTask, GraphTask, StackedGraphTask
 
     return {
         # selection
@@ -240,6 +241,23 @@ def _core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cache_hit": lambda s, d: PL.cache_hit(s, _tables(s, d), P1, f"fx1:{d}"),
         # other tables under the name of cached ones: served from the cache, unless refreshed
         "cache_served": lambda s, d: PL.cache_hit(s, _tables(s, d), P1, "same name", _tables(s, d, "fx3")),
+        # files appended between two runs under one name
+        "cache_appended": lambda s, d: PL.cache_appended(s, _tables(s, d), P1, "same name"),
+        # one nested document, taken apart again
+        "graph_document": lambda s, d: PL.graph_document(s, _flat(s, d, P1)),
+        "graph_document_edges": lambda s, d: PL.graph_document(s, _flat(s, d, P1), "edges"),
+        "hot_graph_document": lambda s, d: PL.graph_document(s, _flat(s, d, P1, "fx3")),
+        # presentation orders, with each row's place
+        "io_ordered_nodes": lambda s, d: PL.ordered_part(s, _flat(s, d, P1), GraphTask(), "nodes"),
+        "io_ordered_mentions": lambda s, d: PL.ordered_part(s, _flat(s, d, P1), ExampleTask(), "mentions"),
+        "io_ordered_dates": lambda s, d: PL.ordered_part(s, _flat(s, d, P1), StackedGraphTask(), "dates"),
+        "io_ordered_edges": lambda s, d: PL.ordered_part(s, _flat(s, d, P1), GraphTask(), "edges"),
+        # both tables bucketed by event
+        "sel_flat_bucketed": lambda s, d: PL.bucketed_selection(s, _tables(s, d), P1),
+        "hot_sel_flat_bucketed": lambda s, d: PL.bucketed_selection(s, _tables(s, d, "fx3"), P2),
+        # datasets whose files arrive in two runs
+        "batch_incremental": lambda s, d: PL.batch_incremental(s, _two_datasets(s, d)),
+        "batch_incremental_drilldown": lambda s, d: PL.batch_incremental(s, _two_datasets(s, d), "stackedGraph", "drilldown"),
         "cache_refreshed": lambda s, d: PL.cache_hit(s, _tables(s, d), P1, "same name", _tables(s, d, "fx3"), refresh=True),
     }
 
@@ -332,6 +350,24 @@ def _core_oracle_sql() -> dict[str, str]:
         "io_json_nested": W(P1, documents, stacked=True),
         "cache_hit": W(P1, edges, graph=True),
         "cache_served": W(P1, edges, graph=True),
+        "cache_appended": W(P1, edges, graph=True),
+        "graph_document": W(P1, edge_events, graph=True),
+        "graph_document_edges": W(P1, edges, graph=True),
+        "hot_graph_document": W(P1, edge_events, fixture="fx3", graph=True),
+        "io_ordered_nodes": W(P1, f"SELECT *, row_number() OVER (ORDER BY mentionnedEventsCount DESC, mentionSourceName) AS rank FROM ({nodes})",
+                              graph=True),
+        "io_ordered_mentions": W(P1, "SELECT *, row_number() OVER (ORDER BY eventId, mentionDateAdded, mentionSourceName NULLS FIRST, "
+                                     "mentionIdentifier NULLS FIRST, mentionDocTone NULLS FIRST) AS rank "
+                                     "FROM prep_m WHERE eventId IN (SELECT eventId FROM prep_ev "
+                                     "ORDER BY eventSourceCount DESC NULLS LAST, eventId LIMIT 10)", prep=True),
+        "io_ordered_dates": W(P1, "SELECT mentionInterval, strftime(mentionInterval, '%Y-%m-%d %H:%M:%SZ') AS label, "
+                                  "row_number() OVER (ORDER BY mentionInterval) AS rank "
+                                  "FROM (SELECT DISTINCT roundedMentionDate AS mentionInterval FROM dedup)", stacked=True),
+        "io_ordered_edges": W(P1, "SELECT *, row_number() OVER (ORDER BY source1, source2) AS rank FROM edges", graph=True),
+        "sel_flat_bucketed": W(P1, flat_cols),
+        "hot_sel_flat_bucketed": W(P2, flat_cols, fixture="fx3"),
+        "batch_incremental": batch(edges, graph=True),
+        "batch_incremental_drilldown": batch(drilldown, stacked=True),
         "cache_refreshed": W(P1, edges, fixture="fx3", graph=True),
         "task_registry": W(P1, """
 SELECT 'graph' AS task, 'edges' AS part, count(*) AS "rows" FROM edges

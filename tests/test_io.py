@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import shutil
 import tempfile
 
 import pandas as pd
@@ -12,13 +13,14 @@ from pyspark.sql import types as T
 import __spark_entry__ as E
 from compare import rows_of_spark
 from paths import SF001
-from outletlens.operators import selection
+from outletlens.operators import graph, selection
 from outletlens.params import Params
 from outletlens.operators.prepare import prepare
 from outletlens.plans.batch import run_all_datasets
-from outletlens.plans.pipeline import EmptySelection, cache_folder, create_dataset, invalidate_cache, run_pipeline
+from outletlens.plans.pipeline import (EmptySelection, cache_folder, create_dataset, input_snapshot, invalidate_cache,
+                                       publish, published, run_pipeline)
 from outletlens.plans.tasks import GraphTask
-from outletlens.session import fs_exists
+from outletlens.session import fs_exists, materialise
 from outletlens.sources.files import (read_dataset_dir, read_flat_csv, write_flat_csv,
                                       write_json, write_parts)
 from outletlens.sources.fixtures import fx1_tables
@@ -58,23 +60,97 @@ def test_json_sink_formats_timestamps_and_keeps_nulls(spark, tmp):
     assert [json.loads(line) for line in lines] == [{"s": "a", "t": "2024-01-05T06:00:00Z", "n": None}]
 
 
+def served(spark, tables, root, source="fx1", params=P, tasks=None):
+    kw = {} if tasks is None else {"tasks": tasks}
+    folder = cache_folder(root, params, source, inputs=input_snapshot(spark, tables, params), **kw)
+    return folder, published(spark, folder)
+
+
 def test_cache_hit_refresh_and_invalidation(spark, tmp):
     tables = fx1_tables(spark, SF001)
     first = run_pipeline(spark, tables, P, tmp, source="fx1")
-    root = cache_folder(tmp, P, "fx1")
-    assert fs_exists(spark, f"{root}/_DONE")
+    root, names = served(spark, tables, tmp)
+    assert len(names) == 1
     assert set(first) == {"graph", "stackedGraph"}
     assert set(first["graph"]) >= {"edges", "edge_events", "nodes", "totals"}
     drill = rows_of_spark(first["stackedGraph"]["drilldown"])
     hit = run_pipeline(spark, tables, P, tmp, source="fx1")
     assert rows_of_spark(hit["graph"]["edges"]) == rows_of_spark(first["graph"]["edges"])
-    # a refresh replaces the files the earlier readers point at
+    # a refresh publishes a folder of its own; who reads the one before may go on
     again = run_pipeline(spark, tables, P, tmp, source="fx1", refresh=True)
-    assert rows_of_spark(again["stackedGraph"]["drilldown"]) == drill
+    assert rows_of_spark(again["stackedGraph"]["drilldown"]) == drill == rows_of_spark(first["stackedGraph"]["drilldown"])
+    assert len(served(spark, tables, tmp)[1]) == 2
+    run_pipeline(spark, tables, P, tmp, source="fx1", refresh=True)
+    now = served(spark, tables, tmp)[1]
+    assert len(now) == 2 and names[0] not in now  # the oldest is gone
+    assert sorted(n for n in os.listdir(root) if n.startswith("run-")) == sorted(now)
+    invalidate_cache(spark, tmp, P, "fx1", tables=tables)
+    assert not fs_exists(spark, root)
+    run_pipeline(spark, tables, P, tmp, source="fx1")
     invalidate_cache(spark, tmp)
     assert not fs_exists(spark, root)
 
 
+class Broken(GraphTask):
+    """Fails while its parts are written, if its flag file is there."""
+
+    def __init__(self, flag):
+        super().__init__()
+        self.flag = flag
+
+    def run(self, prepared):
+        from pyspark.sql import functions as F
+
+        parts = super().run(prepared)
+        if os.path.exists(self.flag):
+            parts["nodes"] = parts["nodes"].withColumn("avgTone", F.raise_error(F.lit("lost")).cast("double"))
+        return parts
+
+
+def test_a_failing_refresh_leaves_the_served_result(spark, tmp):
+    tables, tasks = fx1_tables(spark, SF001), (Broken(f"{tmp}/flag"),)
+    first = run_pipeline(spark, tables, P, f"{tmp}/cache", tasks=tasks)
+    nodes = rows_of_spark(first["graph"]["nodes"])
+    root, names = served(spark, tables, f"{tmp}/cache", "", tasks=tasks)
+    open(f"{tmp}/flag", "w").close()
+    with pytest.raises(Exception, match="lost"):
+        run_pipeline(spark, tables, P, f"{tmp}/cache", tasks=tasks, refresh=True)
+    assert rows_of_spark(run_pipeline(spark, tables, P, f"{tmp}/cache", tasks=tasks)["graph"]["nodes"]) == nodes
+    assert [n for n in os.listdir(root) if n.startswith("run-")] == names  # nothing of the failed run
+    # a run that died without a trace of its own is never served
+    os.makedirs(f"{root}/run-dead/graph/nodes")
+    assert served(spark, tables, f"{tmp}/cache", "", tasks=tasks)[1] == names
+
+
+def test_two_runs_that_race_serve_the_one_published_last(spark, tmp):
+    for name in ("run-a", "run-b"):
+        os.makedirs(f"{tmp}/{name}")
+    os.makedirs(f"{tmp}/_published")
+    for name in ("run-b", "run-a"):  # both saw an empty folder and took number 1
+        open(f"{tmp}/_published/{1:012d}.{name}", "w").close()
+    assert published(spark, tmp)[-1] == "run-b"
+    publish(spark, tmp, "run-c")
+    assert published(spark, tmp) == ["run-b", "run-c"]
+
+
+def test_cache_sees_changed_and_appended_files_of_its_days(spark, tmp):
+    from outletlens.sources.fixtures import SourceTables
+    from outletlens.sources.tables import read_events, read_mentions, write_partitioned
+
+    made = fx1_tables(spark, SF001)
+    write_partitioned(made.mentions.coalesce(1), f"{tmp}/m")
+    write_partitioned(made.events.coalesce(1), f"{tmp}/e")
+    key = lambda: input_snapshot(spark, SourceTables(read_mentions(spark, f"{tmp}/m"), read_events(spark, f"{tmp}/e")), P)
+    first = key()
+    assert first == key() and first
+    day = made.mentions.where(f"part_day = '{P.begin_day}'")
+    write_partitioned(made.mentions.where("part_day = '2024-01-20'").coalesce(1), f"{tmp}/m", "append")  # outside the window
+    assert key() == first
+    write_partitioned(day.coalesce(1), f"{tmp}/m", "append")
+    assert key() != first
+    assert input_snapshot(spark, SourceTables(spark.range(1).toDF("a"), spark.range(1).toDF("a")), P) == ""
+
+
 def test_empty_selection_is_flagged_and_not_cached(spark, tmp):
     tables = fx1_tables(spark, SF001)
     assert run_pipeline(spark, tables, Params(), tmp) == {"empty": True}
@@ -116,6 +192,78 @@ def test_pandas_written_csv_is_read_exactly(spark, tmp):
     assert rows_of_spark(read_flat_csv(spark, f"{tmp}/again")) == rows_of_spark(back)
 
 
+def test_incremental_batch_reads_new_files_only(spark, tmp):
+    from outletlens.plans.incremental import update_datasets
+
+    tables = fx1_tables(spark, SF001)
+    ds, st, out, full = (f"{tmp}/{x}" for x in ("ds", "state", "out", "full"))
+    flat = materialise(selection.select_flat(tables, P))
+    write_flat_csv(flat.where("mentionDateAdded % 2 = 0").coalesce(1), f"{ds}/a b+c.csv", mode="append")
+    write_flat_csv(flat.coalesce(1), f"{ds}/still.csv")
+    assert len(update_datasets(spark, ds, st, out)) == 2
+    assert update_datasets(spark, ds, st, out) == []
+    write_flat_csv(flat.where("mentionDateAdded % 2 = 1").coalesce(1), f"{ds}/a b+c.csv", mode="append")
+    read = update_datasets(spark, ds, st, out)
+    assert len(read) == 1 and "a b+c" in read[0]
+
+    def same():
+        run_all_datasets(spark, ds, full, fmt="parquet")
+        for part in ("graph/edges", "graph/nodes", "stackedGraph/drilldown", "stackedGraph/streamgraph"):
+            assert rows_of_spark(spark.read.parquet(f"{out}/{part}")) == rows_of_spark(spark.read.parquet(f"{full}/{part}")), part
+
+    same()
+    # a changed file: its dataset starts anew, the other one is not read
+    flat.where("mentionDateAdded % 3 = 0").toPandas().to_csv(f"{ds}/still.csv/part-new.csv", index=False)
+    for f in os.listdir(f"{ds}/still.csv"):
+        if f.startswith("part-0"):
+            os.remove(f"{ds}/still.csv/{f}")
+    read = update_datasets(spark, ds, st, out)
+    assert len(read) == 1 and "part-new" in read[0]
+    same()
+    # a run that stopped between two state tables: both files are read again, once
+    part = [f for f in os.listdir(f"{st}/newest") if "a%20b" in f or "a b" in f]
+    shutil.rmtree(f"{st}/newest/{part[0]}")
+    assert len(update_datasets(spark, ds, st, out)) == 2
+    same()
+
+
+def test_document_of_no_edge_and_of_odd_names(spark, tmp):
+    from frames import flat as flat_of
+    from outletlens.sources.documents import read_graph_document, write_graph_document
+
+    odd = ['a"b.com', "b\\c.com", "d\ne.com", "f/{}.com", " ", "ü.com"]
+    rows = [dict(eventId=e, mentionSourceName=s, mentionIdentifier=None if e == 2 else f'{s}"/{{}},\n', mentionDocTone=None if e == 3 else float(e))
+            for e in (1, 2, 3) for s in odd]
+    for data in (rows, rows[:1]):
+        parts = graph.graph(prepare(flat_of(spark, data)).mentions)
+        write_graph_document(parts, f"{tmp}/doc")
+        doc = json.loads("".join(open(f"{tmp}/doc/{f}").read() for f in sorted(os.listdir(f"{tmp}/doc")) if f.startswith("part")))
+        edges = {(a, b): e for a, x in doc["edgesData"].items() for b, e in x.items()}
+        assert {k: (e["eventsSharedCount"], e["meanToneDist"]) for k, e in edges.items()} == {
+            (r.source1, r.source2): (r.eventsSharedCount, r.meanToneDist) for r in parts["edges"].collect()}
+        assert sum(len(e["events"]) for e in edges.values()) == parts["edge_events"].count()
+        assert set(doc["nodes"]) == {r.mentionSourceName for r in parts["nodes"].collect()}
+        back = read_graph_document(spark, f"{tmp}/doc")
+        for name in back:
+            assert rows_of_spark(back[name]) == rows_of_spark(parts[name]), name
+
+
+def test_parts_are_written_side_by_side(spark, tmp):
+    import threading
+
+    from outletlens.session import owned_tables, side_by_side
+
+    both = threading.Barrier(2, timeout=60)
+    assert side_by_side([lambda: both.wait() >= 0, lambda: both.wait() >= 0]) == [True, True]  # each waits for the other
+    with owned_tables(spark):  # what threads write inside the block goes with it
+        made = side_by_side([lambda: materialise(spark.range(3)), lambda: materialise(spark.range(4))])
+        assert [m.count() for m in made] == [3, 4]
+        paths = [m.inputFiles()[0] for m in made]
+    assert not any(fs_exists(spark, p) for p in paths)
+    with pytest.raises(ZeroDivisionError):
+        side_by_side([lambda: 1 // 0, lambda: 1])
+
+
 def test_dataset_names_below_a_root_with_a_space(spark, tmp):
     flat = selection.select_flat(fx1_tables(spark, SF001), P).limit(2)
     write_flat_csv(flat, f"{tmp}/my data/khashoggi.csv")

@@ -7,10 +7,13 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from compare import rows_of_spark
 from paths import SF001
-from outletlens.operators import graph, selection
+from outletlens.operators import graph, selection, stacked
 from outletlens.operators.prepare import prepare
-from outletlens.sources.fixtures import stage
+from outletlens.plans.plumbing import bucketed_tables
+from outletlens.session import materialise
+from outletlens.sources.fixtures import fx1_tables, stage
 
 
 def plan(df) -> str:
@@ -102,3 +105,75 @@ def test_fold_plan_has_one_mention_join_and_no_id_search(staged, no_auto_broadca
     text = plan(selection.select_flat(staged, E.P1.with_(limit=None)))
     assert "LeftSemi" not in text
     assert tree_ops(text, "SortMergeJoin") == 1
+
+
+def test_ids_too_many_to_broadcast_filter_the_scan_of_the_mentions(spark, staged, no_auto_broadcast):
+    """The id list reaches the mentions as a Bloom filter and a range, below the first exchange."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"  # 10 GB
+    spark.conf.set(key, "0")
+    try:
+        p = E.P2.with_(limit=None, minimum_distinct_source_count=3)
+        ids = materialise(selection.distinct_event_ids(staged.mentions, p))
+        low, high = ids.agg({"GLOBALEVENTID": "min"}).first()[0], ids.agg({"GLOBALEVENTID": "max"}).first()[0]
+        within = f"GLOBALEVENTID between {low} and {high}"
+        best = selection.best_events(selection.confident_mentions(staged.mentions, p).where(within), p, True, ids.where(within))
+        text = plan(best)
+        tree = text[:text.index("(1) ")]
+        assert re.search(r"Exchange \(5\)\s+:\s+\+- HashAggregate \(4\)\s+:\s+\+- Project \(3\)\s+:\s+\+- Filter \(2\)\s+:\s+\+- Scan", tree)
+        scan, kept = text[text.index("(1) Scan"):text.index("(2) Filter")], text[text.index("(2) Filter"):text.index("(3) ")]
+        assert "might_contain" in kept and f"LessThanOrEqual(GLOBALEVENTID,{high})" in scan and "part_day" in scan
+        got = rows_of_spark(best)
+    finally:
+        spark.conf.unset(key)
+    plain = selection.best_events(selection.confident_mentions(staged.mentions, p).join(ids, "GLOBALEVENTID", "left_semi"), p, True)
+    assert got == rows_of_spark(plain) and got[1]
+
+
+def test_limit_has_no_window_or_merge_over_all_rows_in_one_task(spark, staged):
+    p = E.P1.with_(minimum_distinct_source_count=3, limit=37)
+    df = selection.select_flat(staged, p)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in text and "GlobalLimit" not in text and df.count() == 37
+    alone = re.findall(r"windowspecdefinition\((?!_range)[^)]*\)", text)
+    assert all(w.startswith("windowspecdefinition(_range") or "_range" in w for w in alone)
+    assert not re.search(r"Window \[[^\]]*\], \[(eventSourceCount|rank)", text)
+    for limit in (0, 1, 36, 37, 38, 10 ** 6):
+        part = selection.select_flat(staged, p.with_(limit=limit))
+        first = selection.select_flat(staged, p.with_(limit=None)).orderBy(*selection.flat_order()).limit(limit)
+        assert rows_of_spark(part) == rows_of_spark(first), limit
+
+
+def test_bucketed_tables_leave_the_mentions_in_place(spark, staged, no_auto_broadcast):
+    tables = bucketed_tables(spark, fx1_tables(spark, SF001), 8)
+    for p in (E.P1, E.P2):
+        p = p.with_(limit=None, minimum_distinct_source_count=3)
+        whole = selection.select_flat(tables, p)
+        tree = whole._jdf.queryExecution().executedPlan().toString()
+        assert tree_ops(tree, "Exchange") == 1           # the written per-event side
+        mentions = tree[tree.index(":- "):tree.index("+- Sort [GLOBALEVENTID", tree.index(":- ") + 1)]
+        assert "Exchange" not in mentions and "mentions_" in mentions and "PartitionFilters: [isnotnull(part_day" in tree
+        assert rows_of_spark(whole) == rows_of_spark(selection.select_flat(staged, p)) and whole.count()
+    folded = selection.best_events_folded(tables.mentions, E.P1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in folded
+    assert "Exchange" in selection.best_events_folded(staged.mentions, E.P1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_layout_known_to_another_catalog(spark, tmp_path):
+    from outletlens.sources.tables import MENTIONS_SCHEMA, register_bucketed, write_bucketed
+
+    mentions = fx1_tables(spark, SF001).mentions
+    write_bucketed(mentions, "bucketed_once", str(tmp_path / "m"), 4)
+    spark.sql("DROP TABLE bucketed_once")  # external: the files stay
+    again = register_bucketed(spark, "bucketed_again", str(tmp_path / "m"), MENTIONS_SCHEMA, 4)
+    assert rows_of_spark(again) == rows_of_spark(mentions)
+    assert "Exchange" not in again.groupBy("GLOBALEVENTID").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keyed_lists_are_broadcast_by_size_only(spark, no_auto_broadcast):
+    flat = prepare(materialise(E._flat(spark, SF001).selectExpr("'d' AS dataset", "*")), ("dataset",))
+    tone = graph.outlet_tone(flat.mentions, flat.keys)
+    kept = graph.filtered(tone, graph.top_sources(tone, flat.keys), flat.keys)
+    dd = stacked.hour_dedup(flat.full, flat.keys)
+    ranks = stacked.ranked_counts(dd, stacked.dom_outlets(dd, flat.keys), flat.keys)
+    for df in (kept, ranks):
+        assert "Broadcast" not in plan(df)

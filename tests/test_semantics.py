@@ -284,8 +284,42 @@ def test_restrict_plan_holds_no_broadcast_hint(spark):
 def test_limit_cut_keeps_whole_events_up_to_the_limit(spark):
     per_event = spark.createDataFrame([(i, 7 if i < 50 else 3, 0.0, 2) for i in range(200)],
                                       "GLOBALEVENTID long, distinctSourceCount long, avgDocTone double, _rows long")
-    kept = sorted(r[0] for r in selection.cut_at_limit(per_event, 11).select("GLOBALEVENTID").collect())
-    assert kept == [0, 1, 2, 3, 4, 5]
+    ids = lambda df: sorted(r[0] for r in df.select("GLOBALEVENTID").collect())
+    whole, last, left = selection.cut_at_limit(per_event, 11)
+    assert (ids(whole), ids(last), left) == ([0, 1, 2, 3, 4], [5], 1)
+    whole, last, left = selection.cut_at_limit(per_event, 104)  # over to the next source count
+    assert (ids(whole), last, left) == (list(range(52)), None, 0)
+    whole, last, left = selection.cut_at_limit(per_event, 400)
+    assert (ids(whole), last, left) == (list(range(200)), None, 0)
+    whole, last, left = selection.cut_at_limit(per_event, 0)
+    assert (ids(whole), last, left) == ([], None, 0)
+
+
+def test_running_total_over_ranges(spark):
+    from outletlens.functions.keyed import running_total
+
+    rows = [(i % 50, i) for i in range(300)]
+    got = running_total(spark.createDataFrame(rows, "k long, n long"), "n", [F.col("k"), F.col("n")], "before").collect()
+    total = 0
+    for r in sorted(got, key=lambda r: (r.k, r.n)):
+        assert r.before == total
+        total += r.n
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_malformed_date_raises_whatever_the_session(spark, ansi):
+    from outletlens.functions.exprs import int_date_to_ts
+
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        at = lambda *v: [r[0] for r in spark.createDataFrame([(x,) for x in v], "d long").select(int_date_to_ts("d").cast("string")).collect()]
+        assert at(20240229235959, None, 19990101000000) == ["2024-02-29 23:59:59", None, "1999-01-01 00:00:00"]
+        for bad in (20230229000000, 20241301000000, 20240101240000, 20240101006000, 20240101000060, 20240101, 0, -20240101000000, 120240101000000):
+            with pytest.raises(Exception, match="not a date of the form"):
+                at(20240101000000, bad)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def test_graph_and_stacked_parts_read_written_tables(spark):
