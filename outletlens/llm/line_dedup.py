@@ -8,56 +8,63 @@ from pyspark.sql import functions as F
 from outletlens.llm.common import components, materialise
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of the i-th of ``parts`` nearly equal segments of a string of
-    the given length; the last ones are a character longer."""
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts  # so many segments at the end
-    extra = F.greatest(F.lit(i) - (F.lit(parts) - longer), F.lit(0))
-    return (short * i + extra + 1).cast("int"), (short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)).cast("int")
-
-
-def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys under which a line meets all lines within so many edits and not longer.
-
-    Indexed: its own ``edits + 1`` segments. Probed, for every admissible length of the other line
-    and each of its segments: the substrings that can equal it. Where the i-th segment is the
-    first to match, at most i edits lie before it and the others after it, which bounds the shift
-    on either side."""
-    parts, keys = edits + 1, []
-    for i in range(parts):
-        for gap in range(edits + 1):
-            other = length - gap
-            start, size = segment(other, i, parts)
-            for shift in range(max(-i, gap - (edits - i)), min(i, gap + edits - i) + 1):
-                at = start + shift
-                key = F.xxhash64(F.substring(line, at, size), F.lit(i), other)
-                keys.append(F.when((other >= parts) & (at >= 1) & (at + size - 1 <= length), key))
-    return F.array(*keys)  # null where the line is too short for a key
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, gap, shift): where a line looks for the segments of lines up to ``edits`` shorter.
+
+    Where the i-th of ``edits + 1`` segments is the first to match, at most i edits lie before it
+    and the others after it, which bounds the shift on either side. Gap and shift 0 is the
+    line's own segment, under which it is found itself."""
+    return [(i, gap, shift) for i in range(edits + 1) for gap in range(edits + 1)
+            for shift in range(max(-i, gap - (edits - i)), min(i, gap + edits - i) + 1)]
+
+
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(rid, key): keys under which a line of ``lines(rid, line, n)`` meets all lines within so many edits and
+    not longer: its own segments, and for every admissible length of the other line the substrings
+    that can equal one of that line's. Segments are nearly equal, the last ones a character longer.
+    One row per probe first and then one small expression for all of them: a row of all keys
+    would be a method too large for the JVM's compiler."""
+    parts = edits + 1
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(gap).alias("gap"), F.lit(shift).alias("shift")) for i, gap, shift in probes(edits)))
+    rows = lines.select("rid", "line", "n", F.inline(each))
+    rows = rows.withColumn("other", F.col("n") - F.col("gap")).filter(F.col("other") >= parts)
+    rows = rows.withColumn("short", F.expr(f"cast(other div {parts} as int)"))
+    # segments before the i-th that are a character longer, and whether it is one
+    rows = rows.withColumn("ahead", F.col("i") - (F.lit(parts) - F.pmod("other", F.lit(parts))))
+    rows = rows.withColumn("at", F.col("short") * F.col("i") + F.greatest("ahead", F.lit(0)) + 1 + F.col("shift"))
+    rows = rows.withColumn("size", F.col("short") + F.when(F.col("ahead") >= 0, 1).otherwise(0))
+    rows = rows.filter((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
+    return rows.select("rid", F.xxhash64(F.substring("line", F.col("at"), F.col("size")), "i", "other").alias("key"))
 
 
 def line_links(lines: DataFrame, edits: int) -> DataFrame:
     """Components ``(id, component)`` of distinct ``lines(rid, line, n)``, n characters long, linked by
     at most ``edits`` edits.
 
-    Lines of a key are first compared with one of them each, which joins the copies of one
-    line however many they are; what is left of a key in several components is compared
+    Nearly all keys belong to one line, so the first pass sends a key's least and largest line and
+    their number only. A key of two lines is a pair by that. Keys of more lines are joined with
+    the keys once more: their lines are compared with one of them each, which joins the copies
+    of one line however many they are, and what is left of a key in several components is compared
     in full by a self join, whose condition holds the edit distance, so that only links come out of
-    it. Keys of one line never get further than their count."""
-    line = F.col("line")
-    keyed = lines.select("rid", F.explode(segment_keys(line, F.col("n"), edits)).alias("key")).filter("key is not null")
-    lead = keyed.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).filter("lead < last").drop("last")
-    met = materialise(keyed.join(lead, "key"))
-    text = lambda name: lines.select(F.col("rid").alias(name), line.alias(f"t_{name}"))
+    it. Texts are fetched once, for lines that met another."""
+    keys = segment_keys(lines, edits)
+    keys = materialise(keys.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.count(F.lit(1)).alias("m"))
+                       .filter("lead < last"))
+    met = materialise(segment_keys(lines, edits).join(keys.filter("m > 2").select("key", "lead"), "key"))
+    pairs = materialise(keys.filter("m = 2").select("lead", F.col("last").alias("rid"))
+                        .union(met.filter("rid <> lead").select("lead", "rid")).distinct())
+    seen = materialise(pairs.select("rid").union(pairs.select("lead")).distinct())
+    texts = materialise(lines.join(seen, "rid", "left_semi").select("rid", "line", "n"))
+    text = lambda name: texts.select(F.col("rid").alias(name), F.col("line").alias(f"t_{name}"))
     near = F.levenshtein("t_x", "t_y", edits).between(0, edits)
-    pairs = met.filter("rid <> lead").select(F.col("lead").alias("x"), F.col("rid").alias("y")).distinct()
-    star = materialise(pairs.join(text("y"), "y").join(text("x"), "x").filter(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    star = materialise(pairs.select(F.col("lead").alias("x"), F.col("rid").alias("y")).join(text("y"), "y").join(text("x"), "x")
+                       .filter(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
     comp = components(star)
 
-    one = (met.select("key", "rid").join(comp.withColumnRenamed("id", "rid"), "rid", "left")
+    one = (met.select("key", "rid").distinct().join(comp.withColumnRenamed("id", "rid"), "rid", "left")
            .withColumn("component", F.coalesce("component", "rid")))
     mixed = one.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = materialise(one.join(mixed, "key").join(lines, "rid"))
+    open_ = materialise(one.join(mixed, "key").join(texts, "rid"))
     side = lambda name: open_.select("key", F.col("rid").alias(name), F.col("component").alias(f"c_{name}"),
                                      F.col("line").alias(f"t_{name}"), F.col("n").alias(f"n_{name}"))
     rest = (side("x").join(side("y"), "key")
@@ -67,49 +74,71 @@ def line_links(lines: DataFrame, edits: int) -> DataFrame:
     return components(materialise(star.union(rest)))
 
 
+def line_spots(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tkey, pos, line) of every line that is not blank."""
+    return (docs.select(F.col(id_col).alias("doc_id"), row_text_key(text_col).alias("tkey"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+            .filter(F.col("line").rlike(r"\S")))
+
+
+def row_text_key(text_col: str) -> Column:
+    return F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
+
+
 def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 25, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """Lines that repeat an earlier line up to ``edits`` edits.
+    """Lines that repeat an earlier line, exactly or up to ``edits`` edits.
 
-    Lines are what newlines separate; those with at least ``min_chars`` characters are linked when
-    their edit distance is at most ``edits``, and of every component of links the first line in the
-    order of ids, text keys and line numbers stays. Shorter lines always stay.
+    Lines are what newlines separate. Equal lines of any length are repeats of each other; lines of
+    at least ``min_chars`` characters are also linked when their edit distance is at most ``edits``
+    (in shorter ones two edits can change the sense). Of every component of links the first line
+    in the order of ids, text keys, copies and line numbers stays. Blank lines always stay.
 
-    One row per input row: ``doc_id, tkey, n_lines, n_removed, removed`` (numbers from 0 of the lines
+    One row per input row: ``doc_id, tkey, copy, n_lines, n_removed, removed`` (numbers from 0 of the lines
     that go, ascending). A null text has no lines, an empty one has one; a null id comes first in
-    the order; rows that agree in id and text are one document, answered once each; other
-    columns are not read; an empty table gives no rows."""
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tkey"),
-                       F.split(text, "\n").alias("ls"))
-    spots = (rows.select("doc_id", "tkey", F.posexplode("ls").alias("pos", "line"))
-             .filter(F.char_length("line") >= min_chars))
+    the order. Rows that agree in id and text, null ids included, are copies 1, 2, ... of a
+    document: the first is answered as the others were not there, and all lines but the blank ones
+    of the others go. Other columns are not read; an empty table gives no rows."""
+    spots = line_spots(docs, id_col, text_col)
+    lkey = F.unhex(F.md5("line"))
+    lines = materialise(spots.groupBy("line").agg(F.count(F.lit(1)).alias("m"))
+                        .select(F.monotonically_increasing_id().alias("rid"), "line", F.char_length("line").alias("n"), "m", lkey.alias("lkey")))
+    comp = line_links(lines.filter(F.col("n") >= min_chars).select("rid", "line", "n"), edits).withColumnRenamed("id", "rid")
+    known = materialise(lines.select("rid", "m", "lkey").join(comp, "rid", "left").filter("component is not null or m > 1")
+                        .select("lkey", F.coalesce("component", "rid").alias("component")))
     place = F.struct("doc_id", "tkey", "pos")
-    lines = materialise(spots.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-                        .withColumn("rid", F.monotonically_increasing_id()).withColumn("n", F.char_length("line")))
-    comp = line_links(lines.select("rid", "line", "n"), edits).withColumnRenamed("id", "rid")
-    # lines that occur twice or have a near copy, with the first place of their component
-    known = (lines.join(comp, "rid", "left").filter("component is not null or first <> last")
-             .withColumn("component", F.coalesce("component", "rid")))
-    least = known.groupBy("component").agg(F.min("first").alias("stays"))
-    known = known.join(least, "component").select(F.unhex(F.md5("line")).alias("lkey"), "stays")
-    gone = (spots.select("doc_id", "tkey", "pos", F.unhex(F.md5("line")).alias("lkey")).join(known, "lkey")
-            .filter(~place.eqNullSafe(F.col("stays")))
+    hits = materialise(spots.select("doc_id", "tkey", "pos", lkey.alias("lkey")).join(known, "lkey").select("doc_id", "tkey", "pos", "component"))
+    # written, so that the join shuffles both sides itself and can split a component of many lines
+    stays = materialise(hits.groupBy("component").agg(F.min(place).alias("stays")))
+    gone = (hits.join(stays, "component").filter(~place.eqNullSafe(F.col("stays")))
             .groupBy(F.col("doc_id").alias("d2"), F.col("tkey").alias("t2")).agg(F.sort_array(F.collect_set("pos")).alias("removed")))
-    out = rows.select("doc_id", "tkey", F.coalesce(F.size("ls"), F.lit(0)).alias("n_lines"))
-    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tkey") == F.col("t2")), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", "tkey", F.greatest("n_lines", F.lit(0)).alias("n_lines"),
-                      F.size(removed).alias("n_removed"), removed.alias("removed"))
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), row_text_key(text_col).alias("tkey"),
+                                   F.greatest(F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)), F.lit(0)).alias("n_lines"))
+                       .groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("copies"), F.max("n_lines").alias("n_lines")))
+    again = rows.filter("copies > 1").select(F.col("doc_id").alias("d3"), F.col("tkey").alias("t3"))
+    same = F.col("doc_id").eqNullSafe(F.col("d3")) & (F.col("tkey") == F.col("t3"))
+    whole = (hits.join(again, same, "left_semi").groupBy(F.col("doc_id").alias("d3"), F.col("tkey").alias("t3"))
+             .agg(F.sort_array(F.collect_set("pos")).alias("whole")))  # every line of a copied row is a hit
+    none = F.array().cast("array<int>")
+    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tkey") == F.col("t2")), "left").join(whole, same, "left")
+    out = out.select("doc_id", "tkey", "n_lines", "removed", "whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    removed = F.coalesce(F.when(F.col("copy") == 1, F.col("removed")).otherwise(F.col("whole")), none)
+    return out.select("doc_id", "tkey", "copy", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
 def without_repeats(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with the repeated lines cut from their texts; rows that agree in id and text
-    are cut alike."""
-    got = (repeated_lines(docs, **params).filter("n_removed > 0").select(
-        F.struct("doc_id", "tkey").alias("__k"), "removed").dropDuplicates(["__k"]))
-    key = F.struct("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tkey"))
-    left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(__removed, i)), '\\n')")
-    out = docs.withColumn("__k", key).join(got.withColumnRenamed("removed", "__removed").withColumnRenamed("__k", "__g"),
-                                           F.col("__k").eqNullSafe(F.col("__g")), "left")
-    return out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    """``docs`` with the repeated lines cut from their texts. Of rows that agree in id and text one (any)
+    is the first copy; they may differ in other columns."""
+    got = materialise(repeated_lines(docs, **params).filter("n_removed > 0")).select(
+        F.struct("doc_id", "tkey").alias("__g"), F.least("copy", F.lit(2)).alias("__c"), F.col("removed").alias("__removed")).distinct()
+    id_col, text_col = params.get("id_col", "doc_id"), params.get("text_col", "text")
+    key = F.struct(F.col(id_col).alias("doc_id"), row_text_key(text_col).alias("tkey"))
+    left = F.expr("array_join(filter(split(__text, '\\n'), (x, i) -> not array_contains(__removed, i)), '\\n')")
+    rows = docs.withColumn("__k", key)
+    copied = got.filter("__c = 2").select(F.col("__g").alias("__k")).distinct()  # their rows are numbered
+    twice = materialise(rows.join(copied, "__k", "left_semi").withColumn("__n", F.monotonically_increasing_id()))
+    first = twice.groupBy("__k").agg(F.min("__n").alias("__first"))
+    twice = twice.join(first, "__k").withColumn("__c", F.when(F.col("__n") == F.col("__first"), 1).otherwise(2)).drop("__n", "__first")
+    every = rows.join(copied, "__k", "left_anti").withColumn("__c", F.lit(1)).unionByName(twice)
+    out = every.withColumn("__text", F.col(text_col)).join(
+        got.withColumnRenamed("__c", "__d"), F.col("__k").eqNullSafe(F.col("__g")) & (F.col("__c") == F.col("__d")), "left")
+    return out.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)

@@ -180,10 +180,10 @@ def test_near_lines_against_all_pairs(spark, odd, none):
                 at = rnd.randrange(len(line) + 1)
                 line[at:at + rnd.randint(0, 1)] = rnd.choice(["", "q", "é"])
             lines.append("".join(line))
-        rows.append((i, "\n".join(lines + ["short", ""])))
-    spots = [(i, p, x) for i, t in rows for p, x in enumerate(t.split("\n")) if len(x) >= 25]
-    links = [(a, b) for a in range(len(spots)) for b in range(a)
-             if abs(len(spots[a][2]) - len(spots[b][2])) <= 2 and edits(spots[a][2], spots[b][2]) <= 2]
+        rows.append((i, "\n".join(lines + [f"short{i % 7}", f"no repeat {i}", "", "} "])))
+    spots = [(i, p, x) for i, t in rows for p, x in enumerate(t.split("\n")) if x.strip()]
+    links = [(a, b) for a in range(len(spots)) for b in range(a) if spots[a][2] == spots[b][2] or
+             min(len(spots[a][2]), len(spots[b][2])) >= 25 and abs(len(spots[a][2]) - len(spots[b][2])) <= 2 and edits(spots[a][2], spots[b][2]) <= 2]
     comp = components(len(spots), links)
     want = defaultdict(list)
     for k, (i, p, _) in enumerate(spots):
@@ -200,9 +200,23 @@ def test_near_lines_of_odd_rows(spark, odd, odd_rows):
     assert Counter(r.doc_id for r in got) == Counter(k for k, _ in odd_rows)
     by = _by(got, lambda r: r.doc_id, lambda r: (r.n_lines, tuple(r.removed)))
     assert by[3] == {(1, (0,))} and by[2] == {(1, ())} and by[6] == {(0, ())} and by[5] == {(1, ())} and by[13] == {(2, (1,))}
+    assert by[7] == {(2, ())} and by[8] == {(1, ())} and by[9] == {(1, (0,))}  # blank lines stay, short ones are grouped when equal
+    assert by[10] == {(1, ()), (1, (0,))}  # of a repeated row one copy stays
     kept = line_dedup.without_repeats(odd)
     assert kept.columns == odd.columns and kept.count() == len(odd_rows)
     assert {r.text for r in kept.filter("doc_id = 3").collect()} == {""}
+    assert sorted(len(r.text) > 0 for r in kept.filter("doc_id = 10").collect()) == [False, True]
+
+
+def test_copies_of_a_text_under_null_ids(spark):
+    line = text(1)
+    rows = [(None, line + "\n\nno"), (None, line + "\n\nno"), (None, line + "\n\nno"), (None, "no"), (3, line + " x\nyes\nyes"), (3, "other")]
+    got = Counter((r.doc_id, r.n_lines, tuple(r.removed)) for r in line_dedup.repeated_lines(docs_of(spark, rows)).collect())
+    short = (None, 1, ()) in got  # which of the null rows comes first is decided by the text key
+    assert got == Counter({(None, 3, (0, 2)): 2, (None, 3, (2,) if short else ()): 1, (None, 1, () if short else (0,)): 1,
+                           (3, 3, (0, 2)): 1, (3, 1, ()): 1})
+    cut = Counter(r.text for r in line_dedup.without_repeats(docs_of(spark, rows)).collect())
+    assert cut == Counter({"": 2 if short else 3, (line + "\n") if short else (line + "\n\nno"): 1, "yes": 1, "other": 1} | ({"no": 1} if short else {}))
 
 
 def test_line_dedup_plan_is_native(spark):
