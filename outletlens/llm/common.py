@@ -4,6 +4,7 @@ without a single-task window, word hashing on Arrow buffers, connected component
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +93,23 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+@contextmanager
+def scan_filters(spark: SparkSession):
+    """Inside the block, a join whose smaller side is not broadcast filters the larger side's scan by a
+    Bloom filter of the smaller one's keys (Spark's runtime filter), at any size of the scan; Spark's own
+    settings start it at 10 GB. The smaller side has to have a condition. For jobs that run in the block."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    settings = {f"{prefix}enabled": "true", f"{prefix}applicationSideScanSizeThreshold": "1m", f"{prefix}creationSideThreshold": "512m"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 # --- words of Arrow text batches, hashed without a Python loop ---------------------
 
 _BLANK = np.zeros(256, bool)

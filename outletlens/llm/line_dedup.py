@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outletlens.llm.common import components, materialise
+from outletlens.llm.common import components, materialise, scan_filters
+
+COUNTED = "etainos0123"  # characters whose numbers are compared before lines are
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -46,15 +51,20 @@ def line_links(lines: DataFrame, edits: int) -> DataFrame:
     the keys once more: their lines are compared with one of them each, which joins the copies
     of one line however many they are, and what is left of a key in several components is compared
     in full by a self join, whose condition holds the edit distance, so that only links come out of
-    it. Texts are fetched once, for lines that met another."""
+    it; the numbers of some letters, which an edit changes by two in all, spare most distances.
+    Texts are fetched once, for lines that met another. What these two joins look for is a small part
+    of all keys and lines, so it filters their scans."""
+    spark = lines.sparkSession
     keys = segment_keys(lines, edits)
     keys = materialise(keys.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.count(F.lit(1)).alias("m"))
                        .filter("lead < last"))
-    met = materialise(segment_keys(lines, edits).join(keys.filter("m > 2").select("key", "lead"), "key"))
+    with scan_filters(spark):
+        met = materialise(segment_keys(lines, edits).join(keys.filter("m > 2").select("key", "lead"), "key"))
     pairs = materialise(keys.filter("m = 2").select("lead", F.col("last").alias("rid"))
                         .union(met.filter("rid <> lead").select("lead", "rid")).distinct())
     seen = materialise(pairs.select("rid").union(pairs.select("lead")).distinct())
-    texts = materialise(lines.join(seen, "rid", "left_semi").select("rid", "line", "n"))
+    with scan_filters(spark):
+        texts = materialise(lines.join(seen.filter("rid >= 0"), "rid", "left_semi").select("rid", "line", "n"))
     text = lambda name: texts.select(F.col("rid").alias(name), F.col("line").alias(f"t_{name}"))
     near = F.levenshtein("t_x", "t_y", edits).between(0, edits)
     star = materialise(pairs.select(F.col("lead").alias("x"), F.col("rid").alias("y")).join(text("y"), "y").join(text("x"), "x")
@@ -64,12 +74,14 @@ def line_links(lines: DataFrame, edits: int) -> DataFrame:
     one = (met.select("key", "rid").distinct().join(comp.withColumnRenamed("id", "rid"), "rid", "left")
            .withColumn("component", F.coalesce("component", "rid")))
     mixed = one.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = materialise(one.join(mixed, "key").join(texts, "rid"))
+    counts = [(F.col("n") - F.char_length(F.replace("line", F.lit(c)))).alias(c) for c in COUNTED]
+    open_ = materialise(one.join(mixed, "key").join(texts, "rid").select("key", "rid", "component", "line", "n", *counts))
     side = lambda name: open_.select("key", F.col("rid").alias(name), F.col("component").alias(f"c_{name}"),
-                                     F.col("line").alias(f"t_{name}"), F.col("n").alias(f"n_{name}"))
+                                     F.col("line").alias(f"t_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("n", *COUNTED)))
+    other = lambda c: F.abs(F.col(f"{c}_x") - F.col(f"{c}_y"))
     rest = (side("x").join(side("y"), "key")
-            .filter((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y"))
-                    & (F.abs(F.col("n_x") - F.col("n_y")) <= edits) & near)
+            .filter((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & (other("n") <= edits)
+                    & (reduce(add, map(other, COUNTED)) <= 2 * edits) & near)
             .select(F.col("x").alias("a"), F.col("y").alias("b")))
     return components(materialise(star.union(rest)))
 

@@ -222,7 +222,10 @@ def corpus_findings(docs: DataFrame, n: int) -> list[tuple[bytes, bytes, bytes,
     """Candidates of ``n`` texts (those with the least hash) that no cue word or sign points to: what runs of key
     characters usually are in this corpus."""
     out = []
-    for row in docs.filter("text is not null").orderBy(F.xxhash64("text"), "text").limit(n).collect():  # n is a parameter
+    hashed = docs.filter("text is not null").withColumn("h", F.xxhash64("text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]  # only hashes are sorted
+    drawn = hashed.filter(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min(F.struct("text", "path")).alias("row"))
+    for (row,) in drawn.orderBy("h").select("row").collect():  # n texts at most, a parameter
         raw = np.frombuffer(row["text"].encode(), np.uint8)
         for s, e, _ in zip(*candidates(raw, np.array([0, len(raw)])), strict=True):
             before, after = raw[max(0, s - BEFORE):s].tobytes(), raw[e:e + AFTER].tobytes()
