@@ -74,14 +74,14 @@ def line_links(lines: DataFrame, edits: int) -> DataFrame:
     one = (met.select("key", "rid").distinct().join(comp.withColumnRenamed("id", "rid"), "rid", "left")
            .withColumn("component", F.coalesce("component", "rid")))
     mixed = one.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    counts = [(F.col("n") - F.char_length(F.replace("line", F.lit(c)))).alias(c) for c in COUNTED]
+    counts = [(F.col("n") - F.char_length(F.replace("line", F.lit(c)))).alias(f"has_{c}") for c in COUNTED]
     open_ = materialise(one.join(mixed, "key").join(texts, "rid").select("key", "rid", "component", "line", "n", *counts))
     side = lambda name: open_.select("key", F.col("rid").alias(name), F.col("component").alias(f"c_{name}"),
-                                     F.col("line").alias(f"t_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("n", *COUNTED)))
+                                     F.col("line").alias(f"t_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("n", *(f"has_{c}" for c in COUNTED))))
     other = lambda c: F.abs(F.col(f"{c}_x") - F.col(f"{c}_y"))
     rest = (side("x").join(side("y"), "key")
             .filter((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & (other("n") <= edits)
-                    & (reduce(add, map(other, COUNTED)) <= 2 * edits) & near)
+                    & (reduce(add, (other(f"has_{c}") for c in COUNTED)) <= 2 * edits) & near)
             .select(F.col("x").alias("a"), F.col("y").alias("b")))
     return components(materialise(star.union(rest)))
 
