@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from outletlens.llm.common import components, materialise, scan_filters
 
 COUNTED = "etainos0123"  # characters whose numbers are compared before lines are
+COARSE = 1 << 20  # remainders that keys are filtered by
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -53,13 +54,17 @@ def line_links(lines: DataFrame, edits: int) -> DataFrame:
     in full by a self join, whose condition holds the edit distance, so that only links come out of
     it; the numbers of some letters, which an edit changes by two in all, spare most distances.
     Texts are fetched once, for lines that met another. What these two joins look for is a small part
-    of all keys and lines, so it filters their scans."""
+    of all keys and lines, so it filters their input: the keys by the remainders of the keys looked for
+    (of which there are a fixed number), the scan of the lines by Spark's runtime filter."""
     spark = lines.sparkSession
     keys = segment_keys(lines, edits)
     keys = materialise(keys.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.count(F.lit(1)).alias("m"))
                        .filter("lead < last"))
-    with scan_filters(spark):
-        met = materialise(segment_keys(lines, edits).join(keys.filter("m > 2").select("key", "lead"), "key"))
+    many = keys.filter("m > 2").select("key", "lead")
+    part = F.pmod("key", F.lit(COARSE)).cast("int")
+    there = many.select(part.alias("__part")).distinct()  # at most COARSE numbers, whatever the input
+    met = materialise(segment_keys(lines, edits).withColumn("__part", part).join(F.broadcast(there), "__part", "left_semi")
+                      .select("rid", "key").join(many, "key"))
     pairs = materialise(keys.filter("m = 2").select("lead", F.col("last").alias("rid"))
                         .union(met.filter("rid <> lead").select("lead", "rid")).distinct())
     seen = materialise(pairs.select("rid").union(pairs.select("lead")).distinct())
@@ -124,7 +129,7 @@ def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 25, id_col:
     gone = (hits.join(stays, "component").filter(~place.eqNullSafe(F.col("stays")))
             .groupBy(F.col("doc_id").alias("d2"), F.col("tkey").alias("t2")).agg(F.sort_array(F.collect_set("pos")).alias("removed")))
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), row_text_key(text_col).alias("tkey"),
-                                   F.greatest(F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)), F.lit(0)).alias("n_lines"))
+                                   F.coalesce(F.char_length(text_col) - F.char_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"))
                        .groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("copies"), F.max("n_lines").alias("n_lines")))
     again = rows.filter("copies > 1").select(F.col("doc_id").alias("d3"), F.col("tkey").alias("t3"))
     same = F.col("doc_id").eqNullSafe(F.col("d3")) & (F.col("tkey") == F.col("t3"))
