@@ -38,6 +38,19 @@ TEMPLATES = {
     "MPL": ["subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0"],
     "Proprietary": ["all rights reserved", "proprietary and confidential, unauthorized copying of this file is strictly prohibited"],
 }
+# Short names of the families, as in identifiers and one-line statements.
+NAMES = {"AGPL": ["AGPL", "AGPLv3", "AGPL-3.0"], "Apache": ["Apache", "Apache-2.0", "Apache 2.0"], "BSD": ["BSD", "BSD-3-Clause", "BSD-2-Clause"],
+         "CC0": ["CC0", "CC0-1.0"], "CC-BY": ["CC-BY-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC-BY-SA": ["CC-BY-SA-4.0"],
+         "GPL": ["GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0"], "ISC": ["ISC"], "LGPL": ["LGPL", "LGPLv3", "LGPL-2.1", "LGPL-3.0"], "MIT": ["MIT"],
+         "MPL": ["MPL", "MPL-2.0"]}
+STATEMENTS = ("SPDX-License-Identifier: {}", "{} License", "License: {}", "Licensed under {}", "Released under {}", "Licensed under the {} License")
+for _family, _names in NAMES.items():
+    TEMPLATES[_family] += [s.format(n) for n in _names for s in STATEMENTS]
+# Statements of rights of no family above; {} is any word.
+UNKNOWN = ["licensed under the {} {} license", "this work is distributed under the {} licence", "released under the terms of the {} public license",
+           "Copyright (c) 2020 {} {}", "Copyright 2019 {} {}", "Copyright (C) 1998, 2003 {}", "(c) 2015 {} {}. All rights reserved",
+           "License: {}", "SPDX-License-Identifier: {}", "see the LICENSE file for the terms of use of this {}",
+           "use of this {} is subject to the {} license agreement", "permission to copy and use this {} is granted under the {} license"]
 # Sentences about licences that grant none.
 OTHER = ["the driver must carry a valid license at all times", "the city issued a new license to the bar on the corner",
          "read the license before you install the program", "public rights are discussed in general terms",
@@ -45,10 +58,10 @@ OTHER = ["the driver must carry a valid license at all times", "the city issued
          "the general public was invited to the opening", "conditions of any kind are possible in the mountains",
          "under the terms of the contract the price is fixed", "the foundation published a report on free speech",
          "the version of the story that we know", "copies of the book are available in the library"]
-BITS = 16
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
 _PAIR = 0xE7037ED1A0B428DB
+COARSE = 20  # leading bits of an n-gram's hash that are looked up first
 
 
 def grams(raw: np.ndarray, off: np.ndarray):
@@ -68,152 +81,210 @@ def grams(raw: np.ndarray, off: np.ndarray):
     return out, ps, pe, pf
 
 
-def vectorised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature of every n-gram of the texts, one paragraph each."""
-    data = [t.replace("\n", " ").encode() or b" " for t in texts]
-    raw = np.frombuffer(b"\n".join(data), np.uint8)
-    found, ps, _, _ = grams(raw, np.array([0, len(raw)]))
-    begin = np.cumsum([0, *(len(t) + 1 for t in data)])[:-1]
-    row = np.searchsorted(begin, ps, "right") - 1
-    return (np.concatenate([row[of] for of, _, _ in found]),
-            np.concatenate([(h >> np.uint64(64 - BITS)).astype(np.int64) for _, h, _ in found]))
-
-
 def softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
 
 
+class Vocabulary:
+    """Places of n-gram hashes among those seen in training; a table of their leading bits spares most searches."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.there = np.zeros(1 << COARSE, bool)
+        self.there[(self.hashes >> np.uint64(64 - COARSE)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of ``h`` that are known, and their places."""
+        at = np.flatnonzero(self.there[(h >> np.uint64(64 - COARSE)).astype(np.int64)])
+        place = np.searchsorted(self.hashes, h[at])
+        known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == h[at]
+        return at[known], place[known]
+
+
+def paragraph_features(found, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Paragraph and place of every known n-gram, each once a paragraph however often it is repeated."""
+    of, place = [], []
+    for paragraph, h, _ in found:
+        at, where = vocabulary.find(h)
+        of.append(paragraph[at])
+        place.append(where)
+    size = max(len(vocabulary.hashes), 1)
+    return np.divmod(np.unique(np.concatenate(of) * size + np.concatenate(place)), size)
+
+
+def one_line(text: str) -> np.ndarray:
+    return np.frombuffer(text.replace("\n", " ").encode() or b" ", np.uint8)
+
+
 class Model:
-    """Multinomial logistic regression over hashed n-grams; class 0 is no licence."""
+    """Multinomial logistic regression over the word n-grams seen in training, with an intercept; class 0 is no
+    licence. Unseen n-grams weigh nothing."""
 
     def __init__(self, texts: list[str], classes: np.ndarray, n_classes: int, epochs: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.w = np.zeros((1 << BITS, n_classes), np.float32)
-        self.temperature = 1.0
+        each = [one_line(t) for t in texts]
+        found = [grams(raw, np.array([0, len(raw)]))[0] for raw in each]
+        self.vocabulary = Vocabulary(np.concatenate([h for one in found for _, h, _ in one]))
+        self.w = np.zeros((len(self.vocabulary.hashes), n_classes), np.float32)
+        self.bias = np.zeros(n_classes)
+        self.temperature, self.held_out_accuracy = 1.0, float("nan")
+        places = [paragraph_features(one, self.vocabulary)[1] for one in found]
+        size = np.array([len(p) for p in places])
         fold = rng.random(len(texts)) < 0.2
-        row, feature = vectorised(texts)
-        order = np.argsort(row, kind="stable")
-        row, feature = row[order], feature[order]
-        cut = np.searchsorted(row, np.arange(len(texts) + 1))
         grad2 = np.full(self.w.shape, 1e-3, np.float32)
-        train = np.flatnonzero(~fold)
+        bias2 = np.full(n_classes, 1e-3)
+
+        def z(batch):
+            of = np.repeat(np.arange(len(batch)), size[batch])
+            place = np.concatenate([places[i] for i in batch]) if len(batch) else np.zeros(0, np.int64)
+            return of, place, self.logits(of, place, len(batch))
+
         for _ in range(epochs):
-            for batch in np.array_split(rng.permutation(train), max(1, len(train) // 64)):
-                at = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in batch])
-                of = np.repeat(np.arange(len(batch)), cut[batch + 1] - cut[batch])
-                p = softmax(self.logits(of, feature[at], len(batch)))
+            train = rng.permutation(np.flatnonzero(~fold))
+            for batch in np.array_split(train, max(1, len(train) // 64)):
+                of, place, logits = z(batch)
+                p = softmax(logits)
                 p[np.arange(len(batch)), classes[batch]] -= 1
-                size = np.maximum(cut[batch + 1] - cut[batch], 1)
-                g = np.zeros_like(self.w)
-                np.add.at(g, feature[at], (p / np.sqrt(size)[:, None]).astype(np.float32)[of])
-                hit = np.unique(feature[at])
-                grad2[hit] += g[hit] ** 2
-                self.w[hit] -= 0.3 * g[hit] / np.sqrt(grad2[hit])
+                hit, back = np.unique(place, return_inverse=True)
+                g = np.zeros((len(hit), n_classes), np.float32)
+                np.add.at(g, back, (p / np.sqrt(np.maximum(size[batch], 1))[:, None]).astype(np.float32)[of])
+                grad2[hit] += g ** 2
+                self.w[hit] -= 0.3 * g / np.sqrt(grad2[hit])
+                bias2 += p.sum(axis=0) ** 2
+                self.bias -= 0.1 * p.sum(axis=0) / np.sqrt(bias2)
         held = np.flatnonzero(fold)
-        at = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in held]) if len(held) else np.zeros(0, int)
-        z = self.logits(np.repeat(np.arange(len(held)), cut[held + 1] - cut[held]), feature[at], len(held))
-        # one temperature for all classes, by held-out likelihood
-        loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(held)), classes[held]], 1e-12)).mean()
         if len(held):
+            logits = z(held)[2]
+            # one temperature for all classes, by held-out likelihood
+            loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(held)), classes[held]], 1e-12)).mean()
             self.temperature = min(np.geomspace(0.25, 8, 25), key=loss)
-            self.held_out_accuracy = float((z.argmax(axis=1) == classes[held]).mean())
+            self.held_out_accuracy = float((logits.argmax(axis=1) == classes[held]).mean())
+
+    def logits(self, of: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        """Scores of ``n`` paragraphs with the n-grams at ``place``, the i-th in paragraph ``of[i]`` (ascending)."""
+        out = np.zeros((n, self.w.shape[1]))
+        for lo in range(0, len(of), 1 << 16):  # so that the rows of weights stay in cache
+            part = of[lo:lo + (1 << 16)]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            out[part[first]] += np.add.reduceat(self.w[place[lo:lo + (1 << 16)]], first, axis=0)
+        return out / np.sqrt(np.maximum(np.bincount(of, minlength=n), 1))[:, None] + self.bias
 
-    def logits(self, of: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        z, size = np.zeros((n, self.w.shape[1])), np.maximum(np.bincount(of, minlength=n), 1)
-        np.add.at(z, of, self.w[feature])
-        return z / np.sqrt(size)[:, None]
+    def probabilities(self, of: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        return softmax(self.logits(of, place, n) / self.temperature)
 
 
 def training_texts(background: list[str], copies: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """Reworded notices of every family (words dropped, cases changed, text around them),
-    sentences that only speak of licences, and background lines."""
+    """Reworded notices of every family (words dropped, cases changed, text around them), statements of no family
+    (the last class), sentences that only speak of licences, and background lines."""
     rng = np.random.default_rng(seed)
     pool = [w for t in background for w in t.split()] or ["the"]
-    some = lambda: " ".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(0, 12)))
+    word = lambda: pool[rng.integers(0, len(pool))]
+    some = lambda: " ".join(word() for _ in range(rng.integers(0, 12)))
     texts, classes = [], []
-    for k, family in enumerate([None, *TEMPLATES]):
-        for notice in OTHER if family is None else TEMPLATES[family]:
-            for _ in range(copies):
-                words = [w for w in notice.split() if rng.random() > 0.08]
+    for k, notices in enumerate([OTHER, *TEMPLATES.values(), UNKNOWN]):
+        for notice in notices:
+            for _ in range(copies if len(notices) < 20 else max(8, copies // 5)):
+                filled = "".join(part + (word() if i < notice.count("{}") else "") for i, part in enumerate(notice.split("{}")))
+                words = [w for w in filled.split() if len(filled.split()) < 6 or rng.random() > 0.08]
                 text = " ".join(words)
                 text = text.upper() if rng.random() < 0.1 else text.lower() if rng.random() < 0.3 else text
-                texts.append(f"{some()} {text} {some()}")
+                texts.append(f"{some()} {text} {some()}" if rng.random() < 0.8 else text)
                 classes.append(k)
+    # a word of a notice alone says nothing
+    alone = sorted({w for notices in (*TEMPLATES.values(), UNKNOWN) for n in notices for w in n.split()} - {"{}"})
+    for w in alone * max(1, copies // 6):
+        few = [word() for _ in range(rng.integers(0, 5))]
+        few.insert(int(rng.integers(0, len(few) + 1)), w)
+        texts.append(" ".join(few).capitalize() if rng.random() < 0.5 else " ".join(few))
+        classes.append(0)
+    # nor do the words that stand around
+    texts += [" ".join(word() for _ in range(rng.integers(1, 60))) for _ in range(20 * copies)]
+    classes += [0] * (20 * copies)
     return texts + background, np.array(classes + [0] * len(background))
 
 
+def background_lines(rows: DataFrame, fit_lines: int, seed: int) -> list[str]:
+    """About ``fit_lines`` distinct lines, drawn by hash from all lines of all texts; of a line over 2000
+    characters that many from a place given by the hash."""
+    n = rows.agg(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    lines = rows.select(F.explode(F.split("text", "\n")).alias("t")).filter(F.col("t").rlike(r"\S"))
+    h = F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1_000_003))
+    drawn = lines.filter(h / 1_000_003 < fit_lines / n).select(
+        F.substring("t", (F.lit(1) + F.pmod(h, F.greatest(F.char_length("t") - 2000, F.lit(1)))).cast("int"), F.lit(2000)).alias("t")).distinct()
+    return sorted(r["t"] for r in drawn.limit(2 * fit_lines).collect())
+
+
 def find_licenses(docs: DataFrame, fit_lines: int = 4000, copies: int = 60, confirm: float = 0.6, sure: float = 0.5,
                   seed: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence paragraphs of all documents.
 
-    The classifier is fitted on the driver on reworded notices and on about ``fit_lines`` lines
-    of the documents without two word pairs of any notice (a documented bound; never twice that); its probabilities are
-    calibrated on a held-out fifth. Every paragraph (line) of every text is read; those that share two
-    word pairs with the notices are classified. A prediction of a family with at least ``sure``
-    stands if the paragraph holds ``confirm`` of the word pairs of one of the family's notices; a
-    paragraph that is likelier a licence than not, but is not confirmed, is ``unknown``.
+    The classifier is fitted on the driver on reworded notices, on statements of rights of no known family, and on about ``fit_lines``
+    lines of the documents without two word pairs of any notice (a documented bound; never twice that); its probabilities
+    are calibrated on a held-out fifth. Every line of every text is classified. Lines likelier a licence than not
+    that follow each other without a blank line are one paragraph, which is classified again as a whole; where a line before or behind it
+    (a wrapped notice) raises its agreement with a notice, it belongs to it. A prediction of a family
+    with at least ``sure`` stands if the paragraph holds ``confirm`` of the word pairs of one of the family's
+    notices; else the paragraph is ``unknown``.
 
     One row per licence paragraph: ``doc_id, line`` (number from 0 among the lines that are not
-    empty), ``start`` (byte), ``family, probability, overlap``. Null and empty texts have none; repeated rows
+    empty), ``lines`` (how many), ``start`` (byte), ``family, probability`` (of the family, or of any licence where unknown), ``overlap``. Null and empty texts
+    have none; a text that is one long line has one paragraph at most; null ids and repeated rows
     are reported each; other columns are not read; an empty table gives no rows."""
     names = list(TEMPLATES)
-    pairs = {f: [np.unique(grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0][1][1])
-                 for t in ts] for f, ts in TEMPLATES.items()}
-    known = np.unique(np.concatenate([p for ps in pairs.values() for p in ps]))
-    table = np.zeros(1 << 20, bool)
-    table[(known >> np.uint64(44)).astype(np.int64)] = True
+    pairs = {f: [np.unique(grams(one_line(t), np.array([0, len(one_line(t))]))[0][1][1]) for t in ts] for f, ts in TEMPLATES.items()}
+    known = Vocabulary(np.concatenate([p for ps in pairs.values() for p in ps]))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def hits(found) -> tuple[np.ndarray, np.ndarray]:
-        """Paragraphs and hashes of the word pairs that some notice has."""
-        of, h, _ = found[1] if len(found) > 1 else (np.zeros(0, int), np.zeros(0, np.uint64), 2)
-        at = np.flatnonzero(table[(h >> np.uint64(44)).astype(np.int64)])
-        at = at[np.isin(h[at], known)]
-        return of[at], h[at]
-
-    n = max(rows.count(), 1)
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003 < fit_lines / n).limit(2 * fit_lines)
-    lines = drawn.select(F.element_at(F.split("text", "\n"), 1).alias("t")).filter("length(t) between 20 and 2000")
-    background = sorted(r["t"] for r in lines.collect())
-    free = []
-    for t in background:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        if len(hits(grams(raw, np.array([0, len(raw)]))[0])[0]) < 2:
-            free.append(t)
-    model = Model(*training_texts(free, copies, seed), len(names) + 1, 4, seed)
+    def pairs_of(raw: np.ndarray) -> np.ndarray:
+        found = grams(raw, np.array([0, len(raw)]))[0]
+        return found[1][1] if len(found) > 1 else np.zeros(0, np.uint64)
+
+    background = [t for t in background_lines(rows, fit_lines, seed) if len(known.find(pairs_of(one_line(t)))[0]) < 2]
+    model = Model(*training_texts(background, copies, seed), len(names) + 2, 4, seed)
+
+    def judged(piece: bytes) -> tuple[float, float, str, float]:
+        """Agreement with the best family's notices, its probability, the family, and the probability of any."""
+        raw = np.frombuffer(piece.replace(b"\n", b" "), np.uint8)
+        found = grams(raw, np.array([0, len(raw)]))[0]
+        p = model.probabilities(*paragraph_features(found, model.vocabulary), 1)[0]
+        best = int(p[1:-1].argmax())
+        mine = np.unique(found[1][1]) if len(found) > 1 else np.zeros(0, np.uint64)
+        return max(float(np.isin(t, mine).mean()) for t in pairs[names[best]]), float(p[best + 1]), names[best], float(1 - p[0])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, off in pieces(batch, "text"):
                 found, ps, pe, pf = grams(raw, off)
-                of, h = hits(found)
-                par = np.flatnonzero(np.bincount(of, minlength=len(ps)) >= 2)
-                if not len(par):
+                if not len(ps):
                     continue
-                place = np.full(len(ps), -1)
-                place[par] = np.arange(len(par))
-                row = np.concatenate([place[o] for o, _, _ in found])
-                feature = np.concatenate([(g >> np.uint64(64 - BITS)).astype(np.int64) for _, g, _ in found])
-                p = softmax(model.logits(row[row >= 0], feature[row >= 0], len(par)) / model.temperature)
-                out = []
-                for i, k in enumerate(par.tolist()):
-                    mine = np.unique(h[of == k])
-                    best = int(p[i, 1:].argmax())
-                    share = lambda f, mine=mine: max(np.isin(t, mine).mean() for t in pairs[f])
-                    overlap = share(names[best])
-                    if p[i, 0] >= sure:
-                        continue
-                    sound = p[i, best + 1] >= sure and overlap >= confirm
-                    text = int(np.searchsorted(pf, k, "right")) - 1
-                    out.append((text, k - int(pf[text]), int(ps[k] - off[text]), names[best] if sound else "unknown",
-                                float(p[i, best + 1]), float(overlap)))
+                p = model.probabilities(*paragraph_features(found, model.vocabulary), len(ps))
+                hit = np.flatnonzero(p[:, 0] < sure)
+                data, text = raw.tobytes(), np.searchsorted(pf, np.arange(len(ps)), "right") - 1
+                # the next line of the same text, with one newline between
+                joined = lambda k: k + 1 < len(ps) and text[k] == text[k + 1] and data[pe[k]:ps[k + 1]].count(b"\n") < 2
+                out, at = [], 0
+                while at < len(hit):
+                    a = b = int(hit[at])
+                    while at + 1 < len(hit) and hit[at + 1] == b + 1 and joined(b):
+                        at, b = at + 1, b + 1
+                    at += 1
+                    before = [a - 1, a] if a and joined(a - 1) else [a]
+                    behind = [b, b + 1] if joined(b) else [b]
+                    spans_ = sorted(((x, y) for x in before for y in behind), key=lambda s, a=a, b=b: s[1] - s[0])
+                    tried = [(judged(data[ps[x]:pe[y]]), x, y) for x, y in spans_]
+                    (overlap, chance, family, any_), x, y = max(tried, key=lambda r: (r[0][1] >= sure and r[0][0] >= confirm, r[0][0]))
+                    if not (chance >= sure and overlap >= confirm):
+                        (overlap, chance, family, any_), x, y = tried[0]
+                        family, chance = "unknown", any_
+                    t = int(text[x])
+                    out.append((t, x - int(pf[t]), y - x + 1, int(ps[x] - off[t]), family, chance, overlap))
                 if out:
                     cols = list(zip(*out, strict=True))
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                         pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.float64())],
-                        ["doc_id", "line", "start", "family", "probability", "overlap"])
+                        [part.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))],
+                        ["doc_id", "line", "lines", "start", "family", "probability", "overlap"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scan, f"doc_id {kind}, line long, start long, family string, probability double, overlap double")
+    return rows.mapInArrow(scan, f"doc_id {kind}, line long, lines long, start long, family string, probability double, overlap double")

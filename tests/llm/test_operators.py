@@ -77,6 +77,33 @@ def test_license_lines_are_found(spark, odd, none):
     assert licenses.find_licenses(odd).count() == 0 and licenses.find_licenses(none).count() == 0
 
 
+def test_license_lines_of_the_corpus_and_no_others(spark):
+    rows = {r.doc_id: [x for x in (r.text or "").split("\n") if x] for r in table(spark, SF01, "documents").collect()}
+    want = {(k, i) for k, ls in rows.items() for i, x in enumerate(ls) if re.search("(?i)licen[sc]e|copyright|rights reserved", x)}
+    got = queries.QUERIES["op2_license_paragraphs"](spark, SF01).collect()
+    hit = {(r.doc_id, r.line + j) for r in got for j in range(r.lines)}
+    assert len(want) > 40 and want <= hit and len(hit - want) <= 1
+
+
+def test_short_wrapped_and_unknown_licenses(spark):
+    forms = {"SPDX-License-Identifier: MIT": ("MIT", 1), "MIT License": ("MIT", 1), "License: GPL-3.0": ("GPL", 1), "Licensed under GPLv3": ("GPL", 1),
+             "Released under MIT": ("MIT", 1), "Copyright (c) 2020 Jane Doe": ("unknown", 1),
+             "This tool is licensed under the Frobnicate Commons License": ("unknown", 1),
+             "Licensed under the Apache License,\nVersion 2.0": ("Apache", 1), "Licensed under the Apache\nLicense, Version 2.0": ("Apache", 2),
+             "Licensed under the Apache License, \nVersion 2.0 of 2004\n\nVersion 3.0": ("Apache", 1),  # the first line says it by itself
+             "he has a driving permit and reads the news": None, "Apache": None, "mit und ohne": None}
+    plain = [(100 + k, t) for k, t in texts(spark, SF001) if not re.search("(?i)licen|rights|copyr", t or "")]
+    rows = [(i, f"Some first words of prose.\n\n{f}\n\nand an end") for i, f in enumerate(forms)]
+    long = "word " * 30_000 + "released under the MIT License"
+    odd_ones = [(None, "Released under the MIT License"), (None, "Released under the MIT License"), (50, long), (51, long + "\n" + "Released under the MIT License")]
+    got = licenses.find_licenses(docs_of(spark, rows + plain + odd_ones)).collect()
+    assert {r.doc_id: (r.family, r.lines) for r in got if r.doc_id is not None and r.doc_id < 50} == {
+        i: w for i, w in enumerate(forms.values()) if w}
+    assert [(r.family, r.line) for r in got if r.doc_id is None] == [("MIT", 0)] * 2
+    assert any(r.line <= 1 < r.line + r.lines for r in got if r.doc_id == 51)
+    assert not [r for r in got if r.doc_id is not None and r.doc_id >= 100]
+
+
 # 3
 def test_repeated_windows_of_odd_rows(spark, odd, odd_rows, none):
     got = substring_dedup.remove_repeats(odd).collect()
