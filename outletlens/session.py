@@ -117,8 +117,7 @@ def materialise(df, spark: SparkSession | None = None, how: str = "table"):
         ensure_checkpoint_dir(spark)
         return df.checkpoint(eager=True)
     path = scratch_path(spark, "materialised", spark.sparkContext.applicationId, uuid.uuid4().hex)
-    if (owned := _OWNED.get()) is not None:
-        owned.append(path)
+    own(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -127,6 +126,12 @@ def materialise(df, spark: SparkSession | None = None, how: str = "table"):
 _OWNED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
 
 
+def own(path: str) -> None:
+    """Have ``path`` removed with the tables of the block it is written in, if there is one."""
+    if (owned := _OWNED.get()) is not None:
+        owned.append(path)
+
+
 @contextmanager
 def owned_tables(spark: SparkSession):
     """Tables that ``materialise`` writes inside the block are removed at its end: for jobs
