@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from outletlens.llm import decontamination, minhash_dedup, mixing, quality, sharding
 from outletlens.llm.common import table
-from outletlens.session import owned_tables, scratch_path
+from outletlens.session import fs_delete, own, owned_tables, scratch_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +49,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
+    """All stages over ``documents``; each result is written and read again. A stage's folder goes when the next
+    one's is there, and what a stage wrote on its way with its end; the last one's belongs to
+    the caller's ``owned_tables``, if it has opened any."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
         path = scratch_path(spark, "pipeline", uuid.uuid4().hex)
-        with owned_tables(spark):  # what the stage wrote on its way goes when its result is there
+        with owned_tables(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            fs_delete(spark, before)
+        before = path
+    own(before)
+    return docs

@@ -318,13 +318,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
 def one_per_class(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` with one row of every class: the least id (null only where the class has
-    no other) and, among rows of that id in the class, the least text key. Rows without words all
-    stay."""
+    no other) and, among rows of that id in the class, the least text key; of rows that agree in
+    both, the least in the order of the columns. Rows without words all stay."""
     got = near_duplicates(docs, **params)
     chosen = (got.filter("component is not null").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("k"))
         .select(F.struct("k.doc_id", "k.tkey").alias("__k")))
     keyed = docs.select(F.struct("doc_id", text_key(F.col("text")).alias("tkey")).alias("key"),
                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = keyed.join(chosen, F.col("key").eqNullSafe(F.col("__k"))).dropDuplicates(["key"]).select("row.*")
+    kept = keyed.join(chosen, F.col("key").eqNullSafe(F.col("__k"))).groupBy("key").agg(F.min("row").alias("row")).select("row.*")
     return kept.unionByName(docs.filter(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0))

@@ -99,13 +99,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
 
 
 def mixed_rows(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them, each as often as it is taken."""
+    """The rows of ``docs`` as the mix takes them, each as often as it is taken. Rows that agree in id, source and text
+    but not in other columns come out as the least of them, in the order of the columns."""
     key = [F.col("doc_id"), F.col("source"), F.coalesce(F.xxhash64("text"), F.lit(0))]
     got = (mix(docs, **params).filter("copies > 0").groupBy("doc_id", "source", "tkey")
            .agg(F.sum("copies").alias("__n"))
            .select(F.struct("doc_id", "source", "tkey").alias("__k"), "__n"))
     # rows that agree in id, source and text are one entry here, taken as often as all of them
     once = docs.select(F.struct(key[0].alias("doc_id"), key[1].alias("source"), key[2].alias("tkey")).alias("__q"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(["__q"])
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).groupBy("__q").agg(F.min("row").alias("row"))
     return (once.join(got, F.col("__q").eqNullSafe(F.col("__k")))
             .withColumn("__copy", F.explode(F.expr("sequence(1, cast(__n as int))"))).select("row.*"))

@@ -171,7 +171,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, th
                 yield pa.RecordBatch.from_arrays([part.column("pos"), pa.array([r.tobytes() for r in x], pa.binary())], ["pos", "x"])
 
     # at most 4 x fit_rows ids: broadcast has a proven bound
-    sample = free.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id", "pos"]).select("text", "pos").mapInArrow(
+    # of the texts of a repeated id the least, so that reruns fit the same net
+    sample = free.join(F.broadcast(pick), "doc_id").groupBy("doc_id", "pos").agg(F.min("text").alias("text")).select("text", "pos").mapInArrow(
         describe, "pos boolean, x binary").orderBy("pos", "x").toArrow()
     x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(float)
     is_pos = np.array(sample["pos"].to_pylist(), bool)

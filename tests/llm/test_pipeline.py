@@ -2,11 +2,12 @@
 
 from collections import Counter
 
-from brute import classes, words
+from brute import classes, text, words
 from brute import SF001
 
 import corpus_pipeline as P
-from outletlens.session import materialise
+from outletlens.llm import minhash_dedup, mixing
+from outletlens.session import fs_list, materialise, owned_tables, scratch_path
 
 
 def test_stages_keep_what_they_should(spark):
@@ -37,6 +38,20 @@ def test_stages_keep_what_they_should(spark):
     assert list(sizes) == [n for n, _ in P.STAGES] and all(sizes.values())
 
 
-def test_run_gives_the_shards_of_the_last_stage(spark):
-    out = P.run(spark, SF001)
-    assert {"doc_id", "size", "shard", "slot"} <= set(out.columns) and out.count() > 0
+def test_run_gives_the_shards_of_the_last_stage_and_leaves_nothing(spark):
+    folder = scratch_path(spark, "pipeline")
+    before = fs_list(spark, folder)
+    with owned_tables(spark):
+        out = P.run(spark, SF001)
+        assert {"doc_id", "size", "shard", "slot"} <= set(out.columns) and out.count() > 0
+        assert len(fs_list(spark, folder)) == len(before) + 1
+    assert fs_list(spark, folder) == before
+
+
+def test_of_rows_that_differ_elsewhere_the_least_is_taken(spark):
+    rows = [(1, text(1), "b", 5), (1, text(1), "a", 9), (1, text(1), "a", 7), (2, text(1), "a", 0), (None, text(2), "z", 1), (None, text(2), "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, x int").repartition(3)
+    kept = {(r.doc_id, r.source, r.x) for r in minhash_dedup.one_per_class(docs).collect()}
+    assert kept == {(1, "a", 7), (None, "y", 2)}
+    mixed = {(r.doc_id, r.source): r.x for r in mixing.mixed_rows(docs.filter("doc_id is not null")).collect()}
+    assert mixed and all(x == {(1, "b"): 5, (1, "a"): 7, (2, "a"): 0}[k] for k, x in mixed.items())
