@@ -18,6 +18,7 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    "spark.scheduler.mode": "FAIR",  # parts are written as small jobs side by side
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # a join too large to broadcast filters the larger side's scan by a Bloom filter of the smaller
