@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from outletlens.llm.common import components, materialise, scan_filters
 
 COUNTED = "etainos0123"  # characters whose numbers are compared before lines are
-COARSE = 1 << 20  # remainders that keys are filtered by
+FEW = 1 << 20  # keys of many lines that are broadcast, at most (16 bytes each)
+KEY_BITS = 48  # of a key's hash; a key only proposes pairs, so a chance meeting costs one comparison
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -29,10 +30,12 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     not longer: its own segments, and for every admissible length of the other line the substrings
     that can equal one of that line's. Segments are nearly equal, the last ones a character longer.
     One row per probe first and then one small expression for all of them: a row of all keys
-    would be a method too large for the JVM's compiler."""
+    would be a method too large for the JVM's compiler. In a line of one-byte characters a substring is cut
+    from its bytes, without counting characters; its hash is that of the same characters in any line."""
     parts = edits + 1
     each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(gap).alias("gap"), F.lit(shift).alias("shift")) for i, gap, shift in probes(edits)))
-    rows = lines.select("rid", "line", "n", F.inline(each))
+    rows = lines.withColumn("raw", F.col("line").cast("binary")).withColumn("plain", F.octet_length("line") == F.col("n"))
+    rows = rows.select("*", F.inline(each))
     rows = rows.withColumn("other", F.col("n") - F.col("gap")).filter(F.col("other") >= parts)
     rows = rows.withColumn("short", F.expr(f"cast(other div {parts} as int)"))
     # segments before the i-th that are a character longer, and whether it is one
@@ -40,7 +43,9 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     rows = rows.withColumn("at", F.col("short") * F.col("i") + F.greatest("ahead", F.lit(0)) + 1 + F.col("shift"))
     rows = rows.withColumn("size", F.col("short") + F.when(F.col("ahead") >= 0, 1).otherwise(0))
     rows = rows.filter((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
-    return rows.select("rid", F.xxhash64(F.substring("line", F.col("at"), F.col("size")), "i", "other").alias("key"))
+    cut = lambda c: F.xxhash64(F.substr(c, F.col("at"), F.col("size")), "i", "other")
+    key = F.when(F.col("plain"), cut("raw")).otherwise(cut("line"))
+    return rows.select("rid", key.bitwiseAND(F.lit(-(1 << 64 - KEY_BITS))).alias("key"))
 
 
 def line_links(lines: DataFrame, edits: int) -> DataFrame:
@@ -53,18 +58,15 @@ def line_links(lines: DataFrame, edits: int) -> DataFrame:
     of one line however many they are, and what is left of a key in several components is compared
     in full by a self join, whose condition holds the edit distance, so that only links come out of
     it; the numbers of some letters, which an edit changes by two in all, spare most distances.
-    Texts are fetched once, for lines that met another. What these two joins look for is a small part
-    of all keys and lines, so it filters their input: the keys by the remainders of the keys looked for
-    (of which there are a fixed number), the scan of the lines by Spark's runtime filter."""
+    Up to ``FEW`` such keys, counted first, are broadcast to it; more are joined by a shuffle. Texts are
+    fetched once, for lines that met another, a small part of all; they filter the scan by Spark's runtime filter."""
     spark = lines.sparkSession
     keys = segment_keys(lines, edits)
     keys = materialise(keys.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.count(F.lit(1)).alias("m"))
                        .filter("lead < last"))
     many = keys.filter("m > 2").select("key", "lead")
-    part = F.pmod("key", F.lit(COARSE)).cast("int")
-    there = many.select(part.alias("__part")).distinct()  # at most COARSE numbers, whatever the input
-    met = materialise(segment_keys(lines, edits).withColumn("__part", part).join(F.broadcast(there), "__part", "left_semi")
-                      .select("rid", "key").join(many, "key"))
+    near_by = F.broadcast(many) if many.count() <= FEW else many
+    met = materialise(segment_keys(lines, edits).join(near_by, "key").select("rid", "key", "lead"))
     pairs = materialise(keys.filter("m = 2").select("lead", F.col("last").alias("rid"))
                         .union(met.filter("rid <> lead").select("lead", "rid")).distinct())
     seen = materialise(pairs.select("rid").union(pairs.select("lead")).distinct())

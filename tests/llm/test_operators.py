@@ -311,6 +311,14 @@ def test_copies_of_a_text_under_null_ids(spark):
     assert cut == Counter({"": 2 if short else 3, (line + "\n") if short else (line + "\n\nno"): 1, "yes": 1, "other": 1} | ({"no": 1} if short else {}))
 
 
+def test_keys_of_many_lines_beyond_the_broadcast(spark, monkeypatch):
+    line = text(1)[:60]
+    rows = [(i, line[:30] + f"{'é' if i % 2 else 'e'}{i % 10}" + line[30:]) for i in range(12)]  # one and two-byte characters
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    got = {r.doc_id: r.n_removed for r in line_dedup.repeated_lines(docs_of(spark, rows)).collect()}
+    assert got == {i: int(i > 0) for i, _ in rows}
+
+
 def test_line_dedup_plan_is_native(spark):
     plan = line_dedup.repeated_lines(table(spark, SF001, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
