@@ -3,6 +3,7 @@ cosine on the original vectors."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +28,30 @@ def fit_itq(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 8) -> tuple[
     return mean, axes @ rot
 
 
-def link_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 4, radius: int = 16,
-                 fit_rows: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def table_shape(n: int, cosine: float, miss: float) -> tuple[int, int, int]:
+    """Bits of a substring, number of tables and Hamming radius for ``n`` vectors. Substrings grow
+    with log2 n, so that the vectors that share a key by chance stay few at any ``n``; there are as
+    many tables as bring the chance that a pair at the threshold meets in none below ``miss``,
+    a bit differing by the angle's share of a half turn; the radius is four deviations above the mean."""
+    bits = max(16, math.ceil(math.log2(max(n, 2))))
+    p = min(max(math.acos(min(max(cosine, -1.0), 1.0)) / math.pi, 1e-6), 0.5)
+    meet = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    tables = max(1, math.ceil(math.log(miss) / math.log1p(-meet)))
+    whole = tables * bits
+    return bits, tables, round(whole * p + 4 * math.sqrt(whole * p * (1 - p)))
+
+
+def link_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.06, fit_rows: int = 20_000,
+                 id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Links of all pairs of vectors with at least the given cosine, and their components.
 
-    Equal vectors are first folded into one with a count. The rotation is fitted on at most
-    ``fit_rows`` of the distinct vectors (the lowest hashes); every vector is coded. A code of
-    up to 64 bits is cut into ``tables`` substrings; two codes meet when some substring differs
+    Equal vectors are first folded into one with a count. The rotations are fitted on at most
+    ``fit_rows`` of the distinct vectors (the lowest hashes), as many as the code has multiples of
+    the dimensions (64 at most each); every vector is coded. The code is cut into substrings, one a
+    table, whose length and number ``table_shape`` takes from the number of vectors (four of 16
+    bits up to 65,536 vectors at 0.95); two codes meet when some substring differs
     in at most one bit, that is, when they agree in it with one bit masked out. A pair is taken
-    up in the first table and mask where it meets, and only within ``radius`` bits in all; then
+    up in the first table and mask where it meets, and only within the radius in all; then
     the cosine of the original vectors decides, in double precision. Hot keys are left to
     skew-splitting sort-merge joins; a pair is written once.
 
@@ -53,7 +69,9 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 4, radi
     reps = materialise(rows.filter(v.isNotNull()).groupBy("vec").agg(F.count(F.lit(1)).alias("n"),
                                                                      F.min("vec_id").alias("least"))
                        .withColumn("norm", norm).withColumn("rid", F.monotonically_increasing_id()))
-    dim = reps.agg(F.max(F.size("vec"))).first()[0] or 1
+    dim, n = reps.agg(F.max(F.size("vec")), F.count(F.lit(1))).first()
+    dim = dim or 1
+    width, tables, radius = table_shape(n, cosine, miss)
     unit = F.transform("vec", lambda x: x / F.col("norm"))
     sample = reps.select("rid", unit.alias("u")).orderBy(F.xxhash64("rid")).limit(fit_rows)
 
@@ -63,27 +81,31 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 4, radi
             out[i, :len(x)] = x
         return out
 
-    mean, proj = fit_itq(padded([r["u"] for r in sample.collect()]), min(dim, 64))
-    bits = proj.shape[1]
-    weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    x, own = padded([r["u"] for r in sample.collect()]), min(dim, 64)
+    fits = [fit_itq(x, own, seed=8 + i) for i in range(-(-width * tables // own))]
+    mean, proj = fits[0][0], np.concatenate([axes for _, axes in fits], axis=1)[:, :width * tables]
+    held = 64 // width  # substrings in a 64-bit word of the code
+    words = [slice(lo * width, min(lo + held, tables) * width) for lo in range(0, tables, held)]
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             signs = (padded(b["u"]) - mean) @ proj >= 0
-            yield pd.DataFrame({"rid": b["rid"], "code": (signs * weights).sum(axis=1, dtype=np.uint64).view(np.int64)})
+            packed = {f"code{w}": (signs[:, at] * (np.uint64(1) << np.arange(at.stop - at.start, dtype=np.uint64)))
+                      .sum(axis=1, dtype=np.uint64).view(np.int64) for w, at in enumerate(words)}
+            yield pd.DataFrame({"rid": b["rid"], **packed})
 
-    codes = materialise(reps.select("rid", unit.alias("u")).mapInPandas(coded, "rid long, code long"))
+    names = [f"code{w}" for w in range(len(words))]
+    codes = materialise(reps.select("rid", unit.alias("u")).mapInPandas(coded, "rid long, " + ", ".join(f"{c} long" for c in names)))
     # every bit position is one mask: its table keeps the other bits of its substring
-    cuts = [bits * i // tables for i in range(tables + 1)]
-    part = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo]
+    part = [(t // held, ((1 << width) - 1) << (t % held * width)) for t in range(tables)]
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    masks = [(t, signed(1 << i), signed(whole & ~(1 << i))) for t, whole in enumerate(part) for i in range(bits) if whole >> i & 1]
-    keys = codes.select("rid", "code", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("t"), F.lit(bit).alias("bit"), F.col("code").bitwiseAND(F.lit(keep)).alias("key"))
-        for t, bit, keep in masks])).alias("k")).select("rid", "code", "k.*")
+    masks = [(t, signed(1 << i), signed(whole & ~(1 << i))) for t, (_, whole) in enumerate(part) for i in range(64) if whole >> i & 1]
+    keys = codes.select("rid", *names, F.explode(F.array(*[
+        F.struct(F.lit(t).alias("t"), F.lit(bit).alias("bit"), F.col(names[part[t][0]]).bitwiseAND(F.lit(keep)).alias("key"))
+        for t, bit, keep in masks])).alias("k")).select("rid", *names, "k.*")
     a, b = keys.alias("a"), keys.alias("b")
-    diff = F.col("a.code").bitwiseXOR(F.col("b.code"))
-    within = [diff.bitwiseAND(F.lit(signed(whole))) for whole in part]
+    diff = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in names]
+    within = [diff[w].bitwiseAND(F.lit(signed(whole))) for w, whole in part]
     lowest = {t: min((m for m in masks if m[0] == t), key=lambda m: m[1] % 2**64)[1] for t, _, _ in masks}
     first = F.lit(False)
     for t, d in enumerate(within):
@@ -93,7 +115,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 4, radi
         first = first | ((F.col("a.t") == t) & here)
     pairs = (a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.bit") == F.col("b.bit"))
                     & (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid"))
-                    & (F.bit_count(diff) <= radius) & first)
+                    & (sum((F.bit_count(d) for d in diff), F.lit(0)) <= radius) & first)
              .select(F.col("a.rid").alias("x"), F.col("b.rid").alias("y")))
     side = lambda name: reps.select(F.col("rid").alias(name), F.col("vec").alias(f"v{name}"),
                                     F.col("norm").alias(f"n{name}"), F.col("n").alias(f"c{name}"))

@@ -418,6 +418,33 @@ def test_vectors_against_all_pairs(spark):
     assert vector_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shape", [None, (20, 6, 25), (34, 21, 104)])
+def test_recall_of_pairs_just_above_the_threshold_in_64_dimensions(spark, monkeypatch, shape):
+    if shape:  # as for a million and for ten billion vectors
+        monkeypatch.setattr(vector_dedup, "table_shape", lambda n, cosine, miss: shape)
+    rng = np.random.default_rng(64)
+    base = rng.normal(size=(600, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(axis=1)[:, None] * base
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    cos = rng.uniform(0.9505, 0.965, len(base))[:, None]
+    x = np.concatenate([base, base * cos + off * np.sqrt(1 - cos**2)])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in vector_dedup.link_vectors(
+        spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    assert sum(got.values()) >= 0.93 * true.sum() and all(got[i] <= n for i, n in enumerate(true))
+
+
+def test_tables_grow_with_the_logarithm_of_the_vectors():
+    assert vector_dedup.table_shape(0, 0.95, 0.06) == vector_dedup.table_shape(65_536, 0.95, 0.06) == (16, 4, 16)
+    for n in (10**6, 10**8, 10**10):
+        bits, tables, _ = vector_dedup.table_shape(n, 0.95, 0.06)
+        assert bits * tables * n / 2 ** (bits - 1) <= 2 * bits * tables  # chance partners of a vector, over all masks
+        assert bits * tables <= 30 * bits
+
+
 # 9
 def test_mix_takes_near_its_targets(spark, odd, odd_rows, none):
     got = queries.QUERIES["op9_fair_mix"](spark, SF01).toPandas()
