@@ -19,6 +19,8 @@ HOT = 8  # a slot counts as hot from so many times the mean
 _STEP = 0xD1342543DE82EF95
 _LINE = np.zeros(256, bool)
 _LINE[[10, 32]] = True
+# what a bucket returns: covered word ranges of row (a, b), or super-k-mers for the second level
+_FOUND = "bucket int, texts binary, places binary, a long, b long, lo long, hi long"
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -93,9 +95,11 @@ def add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": pdf["part"][:1], "counts": [total.tobytes()]})
 
 
-def cut_super_kmers(n: int, m: int, hot: np.ndarray, buckets: int, flush: int = 24 << 20):
+def cut_super_kmers(n: int, m: int, hot: np.ndarray, shares: np.ndarray, buckets: int, flush: int = 24 << 20):
     """Texts to super-k-mers: runs of windows with the same minimiser, as strings of their
-    words, packed by bucket. Equal strings of a pack are stored once with all places."""
+    words, packed by bucket. Equal strings of a pack are stored once with all places. ``shares``
+    holds the parts of every slot: where there are several, a pack of a bucket goes to the part
+    (``salt``, else -1) that its first place draws."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -104,12 +108,13 @@ def cut_super_kmers(n: int, m: int, hot: np.ndarray, buckets: int, flush: int =
         size = 0
 
         def packed() -> pa.RecordBatch:
-            bucket = np.concatenate([x[0] for x in held])
+            bucket, parts = (np.concatenate([x[0][i] for x in held]) for i in (0, 1))
             place = np.concatenate([x[1] for x in held])
             texts = [t for x in held for t in x[2]]
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-            out = ([], [], [])
+            order = np.lexsort((parts, bucket))
+            new = (np.diff(bucket[order], prepend=-1, append=-1) != 0) | (np.diff(parts[order], prepend=0, append=0) != 0)
+            cuts = np.flatnonzero(new)
+            out = ([], [], [], [])
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 rows = order[lo:hi]
                 known: dict = {}
@@ -117,9 +122,11 @@ def cut_super_kmers(n: int, m: int, hot: np.ndarray, buckets: int, flush: int =
                 out[0].append(int(bucket[rows[0]]))
                 out[1].append(pack(b"\n".join(known)))
                 out[2].append(pack(np.ascontiguousarray(np.column_stack([which, place[rows]]).T).tobytes()))
+                drawn = mix64(place[rows[:1], 0].view(np.uint64))[0] % np.uint64(parts[rows[0]])
+                out[3].append(int(drawn) if parts[rows[0]] > 1 else -1)
             held.clear()
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(out[0], pa.int32()), "texts": pa.array(out[1], pa.binary()),
-                                               "places": pa.array(out[2], pa.binary())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(out[0], pa.int32()), "salt": pa.array(out[3], pa.int32()),
+                                               "texts": pa.array(out[1], pa.binary()), "places": pa.array(out[2], pa.binary())})
 
         for batch in batches:
             for rows, raw, off in pieces(batch, "text"):
@@ -140,7 +147,8 @@ def cut_super_kmers(n: int, m: int, hot: np.ndarray, buckets: int, flush: int =
                 begin, stop = start[at[lo]].tolist(), end[at[hi] + n - 1].tolist()
                 strings = [b" ".join(data[s:e].split()) for s, e in zip(begin, stop, strict=True)]
                 key = np.column_stack([rows.column("a").to_numpy(), rows.column("b").to_numpy()])[text]
-                held.append(((mix64(least[lo]) % np.uint64(buckets)).astype(np.int64),
+                slot = (least[lo] >> np.uint64(47)).astype(np.int64) & (SLOTS - 1)
+                held.append((((mix64(least[lo]) % np.uint64(buckets)).astype(np.int64), shares[slot]),
                              np.column_stack([key, at[lo] - first[text]]), strings))
                 size += sum(map(len, strings))
                 if size > flush:
@@ -153,23 +161,33 @@ def cut_super_kmers(n: int, m: int, hot: np.ndarray, buckets: int, flush: int =
 
 def repeated_windows(n: int):
     """All super-k-mers of a bucket to the word ranges that windows seen twice cover. Windows are
-    sorted by a 64-bit hash; neighbours that agree are compared word for word."""
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+    sorted by a 64-bit hash; neighbours that agree are compared word for word. Of a salted part
+    the distinct super-k-mers come out as well: those whose windows are not all found here with
+    their places, the others, which need no more than to be seen by them, without."""
+    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        bucket, salted = int(key[0]), len(key) > 1 and key[1] >= 0
         blobs = [unpack(x) for x in pdf["texts"]]
         lines = np.array([x.count(b"\n") + 1 for x in blobs])
         data = b"\n".join(blobs)
         del blobs
+        places = [np.frombuffer(unpack(x), np.int64).reshape(4, -1) for x in pdf["places"]]
+        # without places: found twice in its part
+        times = np.repeat([0 if x.shape[1] else 2 for x in places], lines)
+        place = np.concatenate([x + np.array([[base], [0], [0], [0]]) for x, base in
+                                zip(places, np.cumsum(lines) - lines, strict=True)], axis=1)
+        if salted:  # equal super-k-mers of several packs
+            known: dict = {}
+            which = np.array([known.setdefault(x, len(known)) for x in data.split(b"\n")], np.int64)
+            data, times = b"\n".join(known), np.zeros(len(known), np.int64)
+            place[0] = which[place[0]]
+        times = times + np.bincount(place[0], minlength=len(times))
         raw = np.frombuffer(data, np.uint8)
         off = np.concatenate([[0], np.flatnonzero(raw == 10) + 1, [len(raw)]])
         start, end, first = spans(raw, off, _LINE)
         words = np.diff(first)
-        places = [np.frombuffer(unpack(x), np.int64).reshape(4, -1) for x in pdf["places"]]
-        place = np.concatenate([x + np.array([[base], [0], [0], [0]]) for x, base in
-                                zip(places, np.cumsum(lines) - lines, strict=True)], axis=1)
-        times = np.bincount(place[0], minlength=len(words))
         wh = span_hashes(raw, start, end)
         h = run_hashes(wh, n, 0x9FB21C651E98DF25)
         line = np.repeat(np.arange(len(words)), words)
@@ -201,7 +219,21 @@ def repeated_windows(n: int):
         span = pd.DataFrame({"k": of, "lo": begin - first[of], "hi": stop - first[of] + n})
         occ = pd.DataFrame({"k": place[0], "a": place[1], "b": place[2], "at": place[3]})
         out = occ.merge(span, on="k")
-        return pd.DataFrame({"a": out["a"], "b": out["b"], "lo": out["at"] + out["lo"], "hi": out["at"] + out["hi"]})
+        none = [None] * len(out)
+        out = pd.DataFrame({"bucket": bucket, "texts": none, "places": none, "a": out["a"], "b": out["b"],
+                            "lo": out["at"] + out["lo"], "hi": out["at"] + out["hi"]})
+        out = out.astype({c: "Int64" for c in ("a", "b", "lo", "hi")})
+        if salted:
+            whole = np.bincount(line[at], minlength=len(words)) == np.bincount(line[order[twice]], minlength=len(words))
+            strings, on = data.split(b"\n"), []
+            for some in (np.flatnonzero(~whole), np.flatnonzero(whole)):
+                if len(some):
+                    new = np.full(len(words), -1)
+                    new[some] = np.arange(len(some)) if not whole[some[0]] else -1
+                    its = np.concatenate([new[place[:1]], place[1:]])[:, new[place[0]] >= 0]
+                    on.append((bucket, pack(b"\n".join(strings[i] for i in some)), pack(np.ascontiguousarray(its).tobytes())))
+            out = pd.concat([out, pd.DataFrame(on, columns=["bucket", "texts", "places"])], ignore_index=True)
+        return out
     return find
 
 
@@ -240,7 +272,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, run: int = 4, bucket_words
     line which many texts share does not gather all their windows in one bucket. A second pass cuts
     the texts into super-k-mers and sends them to their buckets (about ``bucket_words`` windows
     each) as packed strings; equal strings of a pack travel once. In a bucket, sorting brings equal
-    windows together. The covered ranges go back to the texts by a 128-bit row key.
+    windows together. A hot slot with more runs than a bucket has super-k-mers is dealt over parts:
+    a part settles what it sees twice, and its distinct super-k-mers, with the places of those
+    not settled, meet in a second level. The covered ranges go back to the texts by a 128-bit row key.
 
     One row per input row: ``doc_id, n_words, n_removed, kept_sha256`` and, if asked for,
     ``kept_text``. A null or empty text has no words (sha256 of the empty string); texts shorter
@@ -256,9 +290,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, run: int = 4, bucket_words
         slots.reshape(32, -1)[part] = np.frombuffer(data, np.int64)
     hot = slots > HOT * max(1.0, slots.mean())
     buckets = max(64, int(slots.sum()) // bucket_words)
-    ranges = (rows.select("text", "a", "b")
-              .mapInArrow(cut_super_kmers(window, run, hot, buckets), "bucket int, texts binary, places binary")
-              .groupBy("bucket").applyInPandas(repeated_windows(window), "a long, b long, lo long, hi long"))
+    # a bucket's super-k-mers, each of about half a window's length of windows
+    share = max(1, int(slots.sum()) // buckets // max(1, (window - run + 1) // 2))
+    shares = np.where(hot, -(-slots // share), 1)
+    found = materialise(rows.select("text", "a", "b")
+                        .mapInArrow(cut_super_kmers(window, run, hot, shares, buckets),
+                                    "bucket int, salt int, texts binary, places binary")
+                        .groupBy("bucket", "salt").applyInPandas(repeated_windows(window), _FOUND))
+    rest = found.filter("texts is not null").groupBy("bucket").applyInPandas(repeated_windows(window), _FOUND)
+    ranges = found.union(rest).filter("texts is null")
     ranges = materialise(ranges.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
     out = "doc_id {}, n_words long, n_removed long, kept_sha256 string, kept_text string".format(
         rows.schema["doc_id"].dataType.simpleString())

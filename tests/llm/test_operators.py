@@ -120,6 +120,25 @@ def test_repeated_windows_in_many_small_buckets(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(repeats(rows, 12))
 
 
+def test_a_passage_of_most_rows_is_dealt_over_parts(spark, monkeypatch):
+    import random
+
+    parts = []
+    cut = substring_dedup.cut_super_kmers
+    monkeypatch.setattr(substring_dedup, "cut_super_kmers", lambda n, m, hot, shares, buckets: (
+        parts.append(shares.max()), cut(n, m, hot, shares, buckets, 2_000))[1])
+    rnd = random.Random(3)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        lo, hi = (0, 60) if i % 3 else sorted(rnd.sample(range(61), 2))  # whole, or a piece of any length
+        mixed = shared[lo:hi] + ([f"s{rnd.randrange(60)}"] if i % 5 == 0 else []) + shared[:rnd.randrange(30)]
+        rows.append((i, " ".join([f"w{i}_{j}" for j in range(rnd.randrange(20))] + mixed + [f"t{i}"])))
+    got = substring_dedup.remove_repeats(docs_of(spark, rows).repartition(7), window=12, run=3, bucket_words=50).collect()
+    assert parts[0] > 20
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(repeats(rows, 12))
+
+
 # 4
 def test_placing_many_equal_items_is_the_greedy_choice():
     rng = np.random.default_rng(4)
