@@ -183,6 +183,11 @@ def proof(path: Column) -> Column:
     return F.sha2(F.array_join(F.transform(path, lambda s: F.concat(s["left"], s["right"])), ""), 256)
 
 
+def folded(leaf: Column, path: Column) -> Column:
+    """The root that ``leaf`` and its siblings make: hashed up the path, level by level."""
+    return F.aggregate(path, leaf, lambda node, s: F.sha2(F.concat(s["left"], node, s["right"]), 256))
+
+
 def versions(tree: DataFrame) -> DataFrame:
     """The nodes that the versions in ``manifest`` copied: (doc_id, source, level, node), leaves at level 0."""
     return tree.select("doc_id", "source", F.posexplode("copied").alias("level", "node"))

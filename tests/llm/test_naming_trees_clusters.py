@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from outletlens.llm import exact_dedup, merkle_manifest, pivot_clusters
+from outletlens.llm import exact_dedup, merkle_manifest, pivot_clusters, queries
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -132,6 +132,18 @@ def test_manifest_of_odd_rows(spark, odd, none):
     assert Counter(same) == Counter(trees([(a, None, c, d, e) for a, _, c, d, e in rows], even, 3))
 
 
+def test_every_leaf_is_folded_up_its_path(spark, tmp_path, monkeypatch):
+    rows = [(i, "ab"[i % 2], "en", i, f"t{i}\n{i}" if i % 3 else f"flat {i}") for i in range(40)] + [(None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op12_merkle_versions(spark, str(tmp_path)).collect():
+        assert r.verified == (r.folded_root == r.root) == (r.doc_id is None or not (even((r.doc_id,)) and r.doc_id % 3))
+    made = merkle_manifest.manifest
+    spoilt = F.transform("path", lambda s: F.struct(F.concat(s["left"], F.lit("0")).alias("left"), s["right"].alias("right")))
+    monkeypatch.setattr(merkle_manifest, "manifest", lambda *a: made(*a).withColumn("path", spoilt))
+    for r in queries.op12_merkle_versions(spark, str(tmp_path)).collect():  # proofs with a wrong sibling verify nothing
+        assert (r.doc_id is not None and even((r.doc_id,))) or not r.verified
+
+
 # 13
 def clustered(rows, k, rounds, dims):
     kept = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows
