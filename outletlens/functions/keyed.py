@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from outletlens.session import materialise
 
+ROWS_A_TASK = 250_000  # rows of a chain of keyed joins and aggregates in one task
+
 
 def first_non_null(col: str, order: Column) -> Column:
     """Value of ``col`` from the row with the smallest ``order`` among rows where
@@ -55,6 +57,19 @@ def bounded_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df if keys else F.broadcast(df)
 
 
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` dealt by ``key`` over as many partitions as keep each near ``ROWS_A_TASK`` of ``rows`` rows, for one
+    exchange that a chain of joins and aggregates by that key goes on from: AQE joins partitions up to
+    64 MB of compressed shuffle, and every sort and hash table of the chain then holds their rows
+    unpacked in one task. Sides to be joined take the same ``rows``. As long as a task a core is enough,
+    which AQE sees to, ``df`` is left as it is."""
+    spark = df.sparkSession
+    if rows <= ROWS_A_TASK * spark.sparkContext.defaultParallelism:
+        return df
+    # not below Spark's own number, for which a later join would shuffle once more
+    return df.repartition(max(-(-rows // ROWS_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def running_total(df: DataFrame, amount: str, order: Sequence[Column], name: str) -> DataFrame:
     """``df``, written in global order, with ``name``: the sum of ``amount`` over all rows before a row.
     No task sees more than its range: totals per range are summed over the ranges (one row

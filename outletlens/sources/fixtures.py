@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outletlens.functions.exprs import ts_to_int_date
+from outletlens.functions.keyed import spread
 from outletlens.session import fs_exists, fs_touch, scratch_path
 from outletlens.sources.tables import (EVENTS_SCHEMA, MENTIONS_SCHEMA, PART_COL,
                                       conform, read_events, read_mentions,
@@ -121,7 +122,9 @@ def fx2_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
-    j = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    # the selection aggregates and joins by event where this join leaves the rows
+    rows = li.count()
+    j = spread(li, "l_orderkey", rows).join(spread(orders, "o_orderkey", rows), F.col("l_orderkey") == F.col("o_orderkey"))
     supp = F.col("l_suppkey").cast("string")
     mentions = j.select(
         F.col("l_orderkey").alias("GLOBALEVENTID"),

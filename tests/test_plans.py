@@ -5,15 +5,17 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from compare import rows_of_spark
 from paths import SF001
+from outletlens.functions import keyed
 from outletlens.operators import graph, selection, stacked
 from outletlens.operators.prepare import prepare
 from outletlens.plans.plumbing import bucketed_tables
 from outletlens.session import materialise
-from outletlens.sources.fixtures import fx1_tables, stage
+from outletlens.sources.fixtures import fx1_tables, fx2_tables, stage
 
 
 def plan(df) -> str:
@@ -169,6 +171,19 @@ def test_bucketed_layout_known_to_another_catalog(spark, tmp_path):
     assert "Exchange" not in again.groupBy("GLOBALEVENTID").count()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_of_a_task_do_not_grow_with_the_fx2_tables(spark, tmp_path, monkeypatch):
+    spark.range(400).selectExpr("id AS o_orderkey", "timestamp'1996-01-01' + make_interval(0, 0, 0, cast(id AS int)) AS o_orderdate").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    spark.range(2000).selectExpr("id % 410 AS l_orderkey", "id AS l_partkey", "id % 7 AS l_suppkey", "cast(id div 410 AS int) AS l_linenumber",
+                                 "cast(id % 50 AS double) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = rows_of_spark(selection.select_flat(fx2_tables(spark, str(tmp_path)), E.FX2))
+    monkeypatch.setattr(keyed, "ROWS_A_TASK", 50)
+    spread = fx2_tables(spark, str(tmp_path))
+    tasks = spread.mentions.withColumn("task", F.spark_partition_id()).groupBy("task").count()
+    assert tasks.agg(F.max("count")).first()[0] <= 3 * 50
+    assert sorted(rows_of_spark(selection.select_flat(spread, E.FX2)), key=repr) == sorted(few, key=repr) and few
+
+
 def test_keyed_lists_are_broadcast_by_size_only(spark, no_auto_broadcast):
     flat = prepare(materialise(E._flat(spark, SF001).selectExpr("'d' AS dataset", "*")), ("dataset",))
     tone = graph.outlet_tone(flat.mentions, flat.keys)
