@@ -5,10 +5,12 @@ import heapq
 import os
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import classes, components, edits, repeats, targets, text, words
 from brute import SF001, SF01
@@ -46,6 +48,20 @@ def test_quality_on_held_out_labels(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got.doc_id, got.held_out))
 
 
+def test_features_of_a_text_whatever_its_batch():
+    rnd = np.random.default_rng(0)
+    letters = [" ".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 30)) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(letters)})
+    (_, together), = quality.described(batch)
+    assert (together == np.concatenate([f for i in range(300) for _, f in quality.described(batch.slice(i, 1))])).all()
+    large = pa.RecordBatch.from_pydict({"text": pa.array([text(1, 700) for _ in range(200)] * 12)})
+    tracemalloc.start()
+    assert sum(len(f) for _, f in quality.described(large)) == 2400 and large.nbytes > 8 << 20
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20, peak
+
+
 def test_quality_of_odd_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1), (4, None), (10, 1), (14, 1)], "doc_id long, quality int")
     got = quality.score_quality(odd, labels).collect()
