@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from outletlens.llm import (decontamination, licenses, line_dedup, minhash_dedup, mixing, quality, queries, secrets,
                             sharding, substring_dedup, vector_dedup)
-from outletlens.llm.common import table
+from outletlens.llm.common import table, text_bytes
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from compare import compare, duck  # noqa: E402
@@ -48,18 +48,17 @@ def test_quality_on_held_out_labels(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got.doc_id, got.held_out))
 
 
-def test_features_of_a_text_whatever_its_batch():
-    rnd = np.random.default_rng(0)
-    letters = [" ".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 30)) for _ in range(300)]
-    batch = pa.RecordBatch.from_pydict({"text": pa.array(letters)})
-    (_, together), = quality.described(batch)
-    assert (together == np.concatenate([f for i in range(300) for _, f in quality.described(batch.slice(i, 1))])).all()
-    large = pa.RecordBatch.from_pydict({"text": pa.array([text(1, 700) for _ in range(200)] * 12)})
+def test_memory_of_features(monkeypatch):
+    rows = [text(i, 700) + "\n\n" + "x" * (i % 7) for i in range(400)] * 2 + ["", " \n", "x" * 2_000_000 + "\ny"]
+    raw, off = text_bytes(pa.array(rows))
+    assert len(raw) > 4 << 20
     tracemalloc.start()
-    assert sum(len(f) for _, f in quality.described(large)) == 2400 and large.nbytes > 8 << 20
+    some = quality.features(raw, off)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 200 << 20, peak
+    assert peak < 30 * len(raw), peak
+    monkeypatch.setattr(quality, "_RUN", 1 << 62)
+    assert (quality.features(raw, off) == some).all()
 
 
 def test_quality_of_odd_rows(spark, odd, odd_rows, none):
